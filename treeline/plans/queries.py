@@ -7,15 +7,12 @@ names.  Scores and other doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-from typing import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.io import table
 from treeline.operators import search, text_index, vectors
-
-REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from treeline.plans import oracle
+from treeline.plans.registry import register
 
 # Driver-binding parameters (fixed for the registered queries).
 PHRASE = "the on"
@@ -24,13 +21,6 @@ KNN_K = 10
 QUERY_VEC_ID = 0
 
 
-def register(name: str):
-    def deco(fn):
-        REGISTRY[name] = fn
-        return fn
-    return deco
-
-
 def r6(c):
     return F.round(c, 6)
 
@@ -42,13 +32,13 @@ def _postings(spark, sf_dir):
     return text_index.build_postings(docs, "doc_id", ["text"]), text_index.build_doc_stats(docs, "doc_id", ["text"])
 
 
-@register("x1_postings")
+@register("x1_postings", oracle.ORACLE["x1_postings"])
 def x1_postings(spark, sf_dir):
     postings, _ = _postings(spark, sf_dir)
     return postings
 
 
-@register("x2_phrase_bm25")
+@register("x2_phrase_bm25", oracle.ORACLE["x2_phrase_bm25"])
 def x2_phrase_bm25(spark, sf_dir):
     postings, stats = _postings(spark, sf_dir)
     hits = text_index.phrase_search(postings, stats, PHRASE, limit=20)
@@ -62,7 +52,7 @@ def _semantic_hits(spark, sf_dir, k):
     return vectors.knn(emb, q, k, id_col="vec_id", vec_col="embedding", n_queries=1)
 
 
-@register("x5_knn")
+@register("x5_knn", oracle.ORACLE["x5_knn"])
 def x5_knn(spark, sf_dir):
     res = _semantic_hits(spark, sf_dir, KNN_K)
     return res.select("query_id", "id", r6(F.col("distance")).alias("distance"),
@@ -81,14 +71,14 @@ def hybrid_plan(spark, sf_dir, limit=HYBRID_LIMIT, with_semantic=True):
     return search.hybrid(fts, sem, limit)
 
 
-@register("x6_hybrid")
+@register("x6_hybrid", oracle.ORACLE["x6_hybrid"])
 def x6_hybrid(spark, sf_dir):
     res = hybrid_plan(spark, sf_dir)
     return res.select("id", r6(F.col("fts_score")).alias("fts_score"), r6(F.col("sem_score")).alias("sem_score"),
                       r6(F.col("score")).alias("score"))
 
 
-@register("x11_hybrid_no_vectors")
+@register("x11_hybrid_no_vectors", oracle.ORACLE["x11_hybrid_no_vectors"])
 def x11_hybrid_no_vectors(spark, sf_dir):
     res = hybrid_plan(spark, sf_dir, with_semantic=False)
     return res.select("id", r6(F.col("fts_score")).alias("fts_score"), r6(F.col("sem_score")).alias("sem_score"),

@@ -29,27 +29,48 @@ SEP = "\u001f"
 def file_tree(spark: SparkSession, sf_dir: str, with_content: bool = True) -> DataFrame:
     """``documents`` as a tree of files, one project per ``source``.
 
-    path = source/ + (.git/ | node_modules/ | src/) + doc_id + suffix
+    path = folder + ('.' for every 17th doc) + doc_id + suffix, where the
+    folder is ``.git/`` (doc_id % 7 = 0), ``node_modules/`` (% 11), the
+    project root (% 13), ``src/lib/`` (% 19) or ``src/``; the suffix cycles
+    through .py .js .rs .md and none.  mtime = 2024-01-01 + doc_id minutes.
     """
     d = table(spark, sf_dir, "documents")
-    folder = (F.when(F.col("doc_id") % 7 == 0, F.lit(".git/"))
-              .when(F.col("doc_id") % 11 == 0, F.lit("node_modules/"))
+    i = F.col("doc_id")
+    folder = (F.when(i % 7 == 0, F.lit(".git/"))
+              .when(i % 11 == 0, F.lit("node_modules/"))
+              .when(i % 13 == 0, F.lit(""))
+              .when(i % 19 == 0, F.lit("src/lib/"))
               .otherwise(F.lit("src/")))
-    m = F.col("doc_id") % 5
+    m = i % 5
     suffix = (F.when(m == 0, ".py").when(m == 1, ".js").when(m == 2, ".rs").when(m == 3, ".md").otherwise(""))
-    rel = F.concat(folder, F.col("doc_id").cast("string"), suffix)
+    name = F.concat(F.when(i % 17 == 0, F.lit(".")).otherwise(F.lit("")), i.cast("string"), suffix)
     cols = [
         F.col("source").alias("project"),
-        rel.alias("path"),
-        F.element_at(F.split(rel, "/"), -1).alias("name"),
+        F.concat(folder, name).alias("path"),
+        name.alias("name"),
         F.col("n_chars").cast("long").alias("size_bytes"),
-        (F.lit(EPOCH_FILES).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("modified_at"),
+        (F.lit(EPOCH_FILES).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), i.cast("int"))).alias("modified_at"),
     ]
     if with_content:
         cols.append(F.col("text").alias("content"))
     return d.select(*cols)
 
 
+# The same tree in DuckDB SQL (a CTE named ``tree``).
+TREE_SQL = """tree AS (
+  SELECT source AS project,
+         CASE WHEN doc_id % 7 = 0 THEN '.git/' WHEN doc_id % 11 = 0 THEN 'node_modules/'
+              WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 19 = 0 THEN 'src/lib/' ELSE 'src/' END
+         || CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END || doc_id::VARCHAR
+         || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.rs' WHEN 3 THEN '.md' ELSE '' END AS path,
+         CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END || doc_id::VARCHAR
+         || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.rs' WHEN 3 THEN '.md' ELSE '' END AS name,
+         n_chars AS size_bytes,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS modified_at,
+         text AS content
+  FROM documents)"""
+
+
 def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as exported commit-log lines (one per event)."""
     e = table(spark, sf_dir, "events")
