@@ -83,3 +83,20 @@ def x11_hybrid_no_vectors(spark, sf_dir):
     res = hybrid_plan(spark, sf_dir, with_semantic=False)
     return res.select("id", r6(F.col("fts_score")).alias("fts_score"), r6(F.col("sem_score")).alias("sem_score"),
                       r6(F.col("score")).alias("score"))
+
+
+@register("u1_union_ids", oracle._bm25_top(40) + ",\n" + oracle._KNN + """
+SELECT doc_id AS id FROM fts UNION SELECT id FROM knn_r WHERE rank <= 40""")
+def u1_union_ids(spark, sf_dir):
+    postings, stats = _postings(spark, sf_dir)
+    fts = text_index.phrase_search(postings, stats, PHRASE, limit=40).select(F.col("doc_id").alias("id"))
+    sem = _semantic_hits(spark, sf_dir, 40).select("id")
+    return search.union_ids(fts, sem)
+
+
+@register("u2_known_ids", "WITH " + oracle._KNN + """
+SELECT id FROM knn_r WHERE rank <= 40 AND id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)""")
+def u2_known_ids(spark, sf_dir):
+    sem = _semantic_hits(spark, sf_dir, 40).select("id")
+    catalog = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("id"))
+    return search.known_ids(sem, catalog)

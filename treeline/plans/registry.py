@@ -29,4 +29,5 @@ def load_all() -> None:
     from treeline.plans import (  # noqa: F401
         queries,
         scan_queries,
+        browse_queries,
     )

@@ -100,28 +100,76 @@ def loc_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """distinct (project_id, keyword) from lineitem x part."""
+    """Deduplicated (project_id, keyword): a customer's orders' part types and
+    brands, lower-cased and trimmed."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return (li.join(p, li.l_partkey == p.p_partkey)
-            .select(F.col("l_orderkey").alias("project_id"), F.lower(F.trim(F.col("p_type"))).alias("keyword"))
-            .distinct())
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    kw = F.explode(F.array(F.lower(F.trim(F.col("p_type"))), F.lower(F.trim(F.col("p_brand")))))
+    return j.select(F.col("o_custkey").alias("project_id"), kw.alias("keyword")).distinct()
+
+
+BRIDGE_SQL = """bridge AS (
+  SELECT DISTINCT o.o_custkey AS project_id, unnest([lower(trim(p.p_type)), lower(trim(p.p_brand))]) AS keyword
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as the modules of the customer projects."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("module_id"),
+        F.col("o_custkey").alias("project_id"),
+        F.concat(F.lit("mod"), F.col("o_orderkey").cast("string")).alias("name"),
+        F.concat(F.lit("pkg/"), F.col("o_orderpriority"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"),
+        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("Status "), F.col("o_orderstatus"))).otherwise(F.lit("")).alias("description"),
+    )
+
+
+MODULES_SQL = """mods AS (
+  SELECT o_orderkey AS module_id, o_custkey AS project_id, 'mod' || o_orderkey::VARCHAR AS name,
+         'pkg/' || o_orderpriority || '/' || o_orderkey::VARCHAR AS path,
+         CASE WHEN o_orderstatus <> 'P' THEN 'Status ' || o_orderstatus ELSE '' END AS description
+  FROM orders)"""
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``customer`` as catalog projects."""
+    """``customer`` as catalog projects (with some nulls on purpose)."""
     c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    ki = k.cast("int")
     return c.select(
-        F.col("c_custkey").alias("id"),
+        k.alias("id"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("/code/"), F.col("c_name")).alias("path"),
-        F.lower(F.col("c_mktsegment")).alias("primary_language"),
-        F.floor(F.col("c_acctbal") * 100).cast("long").alias("lines_of_code"),
-        (F.col("c_nationkey").cast("long") * 10 + F.col("c_custkey") % 10).alias("file_count"),
-        (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("c_custkey").cast("int"))).alias("project_created_at"),
-        (F.lit("2023-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("c_custkey").cast("int") % 5000)).alias("last_code_modified_at"),
-        (F.lit("2024-06-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("c_custkey").cast("int"))).alias("scanned_at"),
+        F.when(k % 9 == 0, F.lit(None).cast("string")).otherwise(F.lower(F.col("c_mktsegment"))).alias("primary_language"),
+        F.when(k % 23 == 0, F.lit(None).cast("long")).otherwise(F.floor(F.col("c_acctbal") * 100).cast("long")).alias("lines_of_code"),
+        (F.col("c_nationkey").cast("long") * 10 + k % 10).alias("file_count"),
+        (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(ki)).alias("project_created_at"),
+        F.when(k % 31 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
+            F.lit("2023-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), ki % 5000)).alias("last_code_modified_at"),
+        (F.lit("2024-06-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), ki)).alias("scanned_at"),
         F.concat(F.lit("Segment "), F.col("c_mktsegment"), F.lit(" account ")).alias("short_description"),
-        (F.col("c_custkey") % 4 != 0).alias("is_git_repo"),
+        (k % 4 != 0).alias("is_git_repo"),
+        F.when(k % 2 == 0, F.concat(F.lit("Readme of "), F.col("c_name"))).alias("readme_content"),
+        F.when(k % 3 == 0, F.concat(F.lit('{"name": "'), F.col("c_name"), F.lit('"}'))).alias("metadata_json"),
         F.col("c_nationkey").alias("nation"),
     )
+
+
+PROJECTS_SQL = """proj AS (
+  SELECT c_custkey AS id, c_name AS name, '/code/' || c_name AS path,
+         CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE lower(c_mktsegment) END AS primary_language,
+         CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE floor(c_acctbal * 100)::BIGINT END AS lines_of_code,
+         c_nationkey::BIGINT * 10 + c_custkey % 10 AS file_count,
+         TIMESTAMP '2020-01-01 00:00:00' + to_days(c_custkey::INTEGER) AS project_created_at,
+         CASE WHEN c_custkey % 31 = 0 THEN NULL
+              ELSE TIMESTAMP '2023-01-01 00:00:00' + to_hours((c_custkey % 5000)::INTEGER) END AS last_code_modified_at,
+         TIMESTAMP '2024-06-01 00:00:00' + to_minutes(c_custkey::INTEGER) AS scanned_at,
+         'Segment ' || c_mktsegment || ' account ' AS short_description,
+         c_custkey % 4 <> 0 AS is_git_repo,
+         CASE WHEN c_custkey % 2 = 0 THEN 'Readme of ' || c_name END AS readme_content,
+         CASE WHEN c_custkey % 3 = 0 THEN '{"name": "' || c_name || '"}' END AS metadata_json,
+         c_nationkey AS nation
+  FROM customer)"""
