@@ -30,4 +30,5 @@ def load_all() -> None:
         queries,
         scan_queries,
         browse_queries,
+        grep_queries,
     )

@@ -45,6 +45,7 @@ def file_tree(spark: SparkSession, sf_dir: str, with_content: bool = True) -> Da
     suffix = (F.when(m == 0, ".py").when(m == 1, ".js").when(m == 2, ".rs").when(m == 3, ".md").otherwise(""))
     name = F.concat(F.when(i % 17 == 0, F.lit(".")).otherwise(F.lit("")), i.cast("string"), suffix)
     cols = [
+        F.col("doc_id"),
         F.col("source").alias("project"),
         F.concat(folder, name).alias("path"),
         name.alias("name"),
@@ -58,7 +59,7 @@ def file_tree(spark: SparkSession, sf_dir: str, with_content: bool = True) -> Da
 
 # The same tree in DuckDB SQL (a CTE named ``tree``).
 TREE_SQL = """tree AS (
-  SELECT source AS project,
+  SELECT doc_id, source AS project,
          CASE WHEN doc_id % 7 = 0 THEN '.git/' WHEN doc_id % 11 = 0 THEN 'node_modules/'
               WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 19 = 0 THEN 'src/lib/' ELSE 'src/' END
          || CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END || doc_id::VARCHAR
