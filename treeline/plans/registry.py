@@ -31,4 +31,5 @@ def load_all() -> None:
         scan_queries,
         browse_queries,
         grep_queries,
+        history_queries,
     )

@@ -73,23 +73,61 @@ TREE_SQL = """tree AS (
 
 
 def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as exported commit-log lines (one per event)."""
+    """``events`` as exported commit-log lines (one per event).
+
+    sha = 40-digit hex of event_id; author = event_type ('' for errors);
+    date = ts with offset +02:00 (shifted), Z or +00:00, unreadable for
+    every 13th; subject = 'update: ' + props.  Every 17th line carries a
+    sixth field, every 19th is blank.
+    """
     e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    wall = F.when(i % 3 == 0, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(2))).otherwise(F.col("ts"))
+    off = F.when(i % 3 == 0, F.lit("+02:00")).when(i % 3 == 1, F.lit("Z")).otherwise(F.lit("+00:00"))
+    date = F.when(i % 13 == 0, F.lit("not-a-date")).otherwise(
+        F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), off))
     line = F.concat_ws(
         SEP,
-        F.lpad(F.hex(F.col("event_id")), 40, "0"),
-        F.lpad(F.hex(F.col("event_id")), 7, "0"),
+        F.lpad(F.hex(i), 40, "0"),
+        F.lpad(F.hex(i), 7, "0"),
         F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("event_type")),
-        F.when(F.col("event_id") % 13 == 0, F.lit("not-a-date"))
-         .otherwise(F.concat(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))),
+        date,
         F.concat(F.lit("update: "), F.col("props")),
     )
-    line = F.when(F.col("event_id") % 17 == 0, F.concat(line, F.lit(SEP + "extra"))).otherwise(line)
-    return e.select(F.col("user_id").cast("string").alias("project"), line.alias("value"))
+    line = F.when(i % 17 == 0, F.concat(line, F.lit(SEP + "extra"))).otherwise(line)
+    line = F.when(i % 19 == 0, F.lit("  ")).otherwise(line)
+    return e.select(F.col("user_id").alias("project"), line.alias("value"))
+
+
+COMMIT_LINES_SQL = """clines AS (
+  SELECT user_id AS project,
+         CASE WHEN event_id % 19 = 0 THEN '  ' ELSE
+         lpad(hex(event_id), 40, '0') || chr(31) || lpad(hex(event_id), 7, '0') || chr(31) ||
+         CASE WHEN event_type = 'error' THEN '' ELSE event_type END || chr(31) ||
+         CASE WHEN event_id % 13 = 0 THEN 'not-a-date'
+              ELSE strftime(CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 2 HOUR ELSE ts END, '%Y-%m-%dT%H:%M:%S')
+                   || CASE WHEN event_id % 3 = 0 THEN '+02:00' WHEN event_id % 3 = 1 THEN 'Z' ELSE '+00:00' END END
+         || chr(31) || 'update: ' || props
+         || CASE WHEN event_id % 17 = 0 THEN chr(31) || 'extra' ELSE '' END END AS value
+  FROM events)"""
+
+# Parsed commits in SQL: five fields, empty author -> NULL, offset applied.
+COMMITS_SQL = COMMIT_LINES_SQL + r""",
+cparts AS (SELECT project, string_split(value, chr(31)) AS p FROM clines WHERE trim(value) <> ''),
+commits AS (
+  SELECT project, p[1] AS sha, p[2] AS short_sha, nullif(p[3], '') AS author,
+         CASE WHEN regexp_matches(p[4], '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$')
+              THEN try_strptime(substr(p[4], 1, 19), '%Y-%m-%dT%H:%M:%S')
+                   - CASE WHEN regexp_extract(p[4], '([+-])\d{2}:?\d{2}$', 1) = '-' THEN -1 ELSE 1 END
+                     * to_minutes(coalesce(try_cast(regexp_extract(p[4], '[+-](\d{2}):?\d{2}$', 1) AS INTEGER), 0) * 60
+                                  + coalesce(try_cast(regexp_extract(p[4], '[+-]\d{2}:?(\d{2})$', 1) AS INTEGER), 0))
+         END AS committed_at,
+         p[5] AS message
+  FROM cparts WHERE len(p) = 5)"""
 
 
 def loc_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as LOC history snapshots (project = user_id)."""
+    """``events`` as scan-time LOC snapshots (project = user_id)."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("user_id").alias("project_id"),
@@ -100,6 +138,12 @@ def loc_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SNAPSHOTS_SQL = """snaps AS (
+  SELECT user_id AS project_id, event_id AS snapshot_id, ts AS recorded_at,
+         floor(value * 100)::BIGINT AS lines_of_code, event_id % 97 AS file_count
+  FROM events)"""
+
+
 def keyword_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated (project_id, keyword): a customer's orders' part types and
     brands, lower-cased and trimmed."""
