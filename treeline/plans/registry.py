@@ -32,4 +32,5 @@ def load_all() -> None:
         browse_queries,
         grep_queries,
         history_queries,
+        catalog_queries,
     )

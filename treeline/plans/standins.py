@@ -218,3 +218,71 @@ PROJECTS_SQL = """proj AS (
          CASE WHEN c_custkey % 3 = 0 THEN '{"name": "' || c_name || '"}' END AS metadata_json,
          c_nationkey AS nation
   FROM customer)"""
+
+
+def catalog_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored catalog: customers with custkey % 3 <> 0; customers 2k and
+    2k+1 share the remote p<k> unless custkey % 4 = 0 (no remote)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.where(k % 3 != 0).select(
+        k.alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("/code/"), F.col("c_name")).alias("path"),
+        F.when(k % 4 != 0, F.concat(F.lit("git@github.com:org/p"), F.floor(k / 2).cast("string"), F.lit(".git"))).alias("git_remote_url"),
+        (F.lit("2024-06-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), k.cast("int"))).alias("scanned_at"),
+        F.floor(F.col("c_acctbal") * 100).cast("long").alias("lines_of_code"),
+    )
+
+
+def disk_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders on disk: customers with custkey % 5 <> 0, renamed when
+    custkey % 7 = 0; no eligible file when % 11 = 0; mtime equal to the
+    last scan when % 13 = 0, else one hour later (even) or earlier (odd)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("Renamed#"), k.cast("string"))).otherwise(F.col("c_name"))
+    base = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), k.cast("int"))
+    mtime = (F.when(k % 11 == 0, F.lit(None).cast("timestamp_ntz"))
+             .when(k % 13 == 0, base)
+             .when(k % 2 == 0, base + F.make_dt_interval(F.lit(0), F.lit(1)))
+             .otherwise(base - F.make_dt_interval(F.lit(0), F.lit(1))))
+    return c.where(k % 5 != 0).select(
+        k.alias("new_id"), name.alias("name"), F.concat(F.lit("/code/"), name).alias("path"),
+        F.when(k % 4 != 0, F.concat(F.lit("git@github.com:org/p"), F.floor(k / 2).cast("string"), F.lit(".git"))).alias("remote"),
+        mtime.alias("latest_mtime"),
+        (F.floor(F.col("c_acctbal") * 100).cast("long") + k % 100).alias("lines_of_code"),
+    )
+
+
+CATALOG_SQL = """before AS (
+  SELECT c_custkey AS id, c_name AS name, '/code/' || c_name AS path,
+         CASE WHEN c_custkey % 4 <> 0 THEN 'git@github.com:org/p' || (c_custkey // 2)::VARCHAR || '.git' END AS git_remote_url,
+         TIMESTAMP '2024-06-01 00:00:00' + to_minutes(c_custkey::INTEGER) AS scanned_at,
+         floor(c_acctbal * 100)::BIGINT AS lines_of_code
+  FROM customer WHERE c_custkey % 3 <> 0),
+disk AS (
+  SELECT c_custkey AS new_id, n AS name, '/code/' || n AS path,
+         CASE WHEN c_custkey % 4 <> 0 THEN 'git@github.com:org/p' || (c_custkey // 2)::VARCHAR || '.git' END AS remote,
+         CASE WHEN c_custkey % 11 = 0 THEN NULL
+              WHEN c_custkey % 13 = 0 THEN b
+              WHEN c_custkey % 2 = 0 THEN b + INTERVAL 1 HOUR
+              ELSE b - INTERVAL 1 HOUR END AS latest_mtime,
+         floor(c_acctbal * 100)::BIGINT + c_custkey % 100 AS lines_of_code
+  FROM (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN 'Renamed#' || c_custkey::VARCHAR ELSE c_name END AS n,
+               TIMESTAMP '2024-06-01 00:00:00' + to_minutes(c_custkey::INTEGER) AS b
+        FROM customer WHERE c_custkey % 5 <> 0)),
+stale AS (SELECT * FROM before WHERE path NOT IN (SELECT path FROM disk)),
+s_pick AS (SELECT git_remote_url AS remote, max(id) AS id FROM stale WHERE git_remote_url IS NOT NULL GROUP BY 1),
+d_pick AS (SELECT remote, min(name) AS new_name FROM disk
+           WHERE remote IS NOT NULL AND name NOT IN (SELECT name FROM before) GROUP BY 1),
+renames AS (
+  SELECT s.id, b.name AS old_name, d.new_name, '/code/' || d.new_name AS new_path, s.remote
+  FROM s_pick s JOIN d_pick d ON s.remote = d.remote JOIN before b ON b.id = s.id),
+orphans AS (SELECT * FROM stale WHERE id NOT IN (SELECT id FROM renames)),
+renamed AS (
+  SELECT b.id, coalesce(r.new_name, b.name) AS name, coalesce(r.new_path, b.path) AS path,
+         b.git_remote_url, b.scanned_at, b.lines_of_code
+  FROM before b LEFT JOIN renames r ON b.id = r.id WHERE b.id NOT IN (SELECT id FROM orphans)),
+changed AS (
+  SELECT d.name, d.path, d.latest_mtime, r.scanned_at, r.id IS NULL AS is_new
+  FROM disk d LEFT JOIN renamed r ON d.name = r.name
+  WHERE d.latest_mtime IS NOT NULL AND (r.scanned_at IS NULL OR d.latest_mtime > r.scanned_at))"""
