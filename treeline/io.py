@@ -9,6 +9,16 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# One DataFrame per (session, path): file listing and footer reads happen
+# once per query build instead of once per reference to the table.
+_CACHE: dict[tuple[int, str], DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _CACHE[key] = df
+    return df
