@@ -33,4 +33,5 @@ def load_all() -> None:
         grep_queries,
         history_queries,
         catalog_queries,
+        docs_queries,
     )
