@@ -153,3 +153,29 @@ def write_index(postings: DataFrame, doc_stats: DataFrame, path: str, buckets: i
 
 def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+
+
+def needs_index(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", fields=("text",)) -> DataFrame:
+    """Documents whose indexed content hash is missing or differs.
+
+    ``state(doc_id, content_hash)`` is written by the indexer.  Comparing
+    content hashes (instead of timestamps) means a save that does not
+    change the text never triggers a re-index.
+    """
+    h = F.md5(F.concat_ws("\u0000", *[F.coalesce(F.col(f), F.lit("")) for f in fields]))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), h.alias("content_hash"))
+    j = d.join(state.select("doc_id", F.col("content_hash").alias("indexed_hash")), "doc_id", "left")
+    return j.select("doc_id", "content_hash",
+                    (F.col("indexed_hash").isNull() | (F.col("indexed_hash") != F.col("content_hash"))).alias("needs_index"))
+
+
+def refresh_postings(old_postings: DataFrame, docs: DataFrame, todo: DataFrame, id_col: str = "doc_id",
+                     fields=("text",), removed: DataFrame | None = None) -> DataFrame:
+    """X1 / X9 incremental: drop postings of re-indexed (and removed)
+    documents, add postings of the re-indexed ones.  Equals a rebuild."""
+    ids = todo.select("doc_id")
+    if removed is not None:
+        ids = ids.unionByName(removed.select("doc_id"))
+    kept = old_postings.join(ids, "doc_id", "left_anti")
+    fresh = build_postings(docs.join(todo.select(F.col("doc_id").alias(id_col)), id_col, "left_semi"), id_col, fields)
+    return kept.unionByName(fresh)

@@ -34,4 +34,5 @@ def load_all() -> None:
         history_queries,
         catalog_queries,
         docs_queries,
+        vector_queries,
     )
