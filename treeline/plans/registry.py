@@ -35,4 +35,5 @@ def load_all() -> None:
         catalog_queries,
         docs_queries,
         vector_queries,
+        streaming_queries,
     )

@@ -41,7 +41,8 @@ def iso_to_utc_ntz(s: Column) -> Column:
     return F.when(ok, shifted)
 
 
-def parse_commit_lines(lines: DataFrame, line_col: str = "value", project_col: str = "project") -> DataFrame:
+def parse_commit_lines(lines: DataFrame, line_col: str = "value", project_col: str = "project",
+                       keep: list[str] | None = None) -> DataFrame:
     """Commit records from exported log lines.
 
     Blank lines and lines without exactly five fields are skipped; an empty
@@ -49,10 +50,11 @@ def parse_commit_lines(lines: DataFrame, line_col: str = "value", project_col: s
     Output: project, sha, short_sha, author, committed_at, message.
     """
     parts = F.split(F.col(line_col), SEP, -1)
-    d = lines.where(F.trim(F.col(line_col)) != "").select(F.col(project_col).alias("project"), parts.alias("p"))
+    keep = keep or []
+    d = lines.where(F.trim(F.col(line_col)) != "").select(F.col(project_col).alias("project"), parts.alias("p"), *keep)
     d = d.where(F.size("p") == 5)
     return d.select(
-        "project",
+        "project", *keep,
         F.col("p")[0].alias("sha"),
         F.col("p")[1].alias("short_sha"),
         F.nullif(F.col("p")[2], F.lit("")).alias("author"),
