@@ -100,3 +100,16 @@ def u2_known_ids(spark, sf_dir):
     sem = _semantic_hits(spark, sf_dir, 40).select("id")
     catalog = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("id"))
     return search.known_ids(sem, catalog)
+
+
+@register("w1_rank_score", oracle._bm25_top(30) + """,
+r AS (SELECT doc_id, (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::INTEGER AS rank,
+             count(*) OVER () AS n FROM fts)
+SELECT doc_id AS id, rank, round(1.0 - rank / greatest(n, 1), 6) AS rank_score,
+       round(1.0 - rank / 30.0, 6) AS cli_rank_score FROM r""")
+def w1_rank_score(spark, sf_dir):
+    postings, stats = _postings(spark, sf_dir)
+    hits = text_index.phrase_search(postings, stats, PHRASE, limit=30).select(F.col("doc_id").alias("id"), "score")
+    api = text_index.rank_scores(hits, [F.desc("score"), F.asc("id")])
+    cli = F.lit(1.0) - F.col("rank") / F.lit(30.0)
+    return api.select("id", "rank", r6(F.col("rank_score")).alias("rank_score"), r6(cli).alias("cli_rank_score"))

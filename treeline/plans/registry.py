@@ -36,4 +36,5 @@ def load_all() -> None:
         docs_queries,
         vector_queries,
         streaming_queries,
+        store_queries,
     )
