@@ -30,8 +30,12 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def tokens(col: Column) -> Column:
-    """Lower-cased letter/digit runs of a text column, empty runs removed."""
-    return F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    """Lower-cased letter/digit runs of a text column, empty runs removed.
+
+    ``array_remove`` instead of a lambda filter: higher-order functions are
+    interpreted per element, built-in array functions are code-generated.
+    """
+    return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), TOKEN_SPLIT), "")
 
 
 def query_tokens(text: str) -> list[str]:
@@ -41,23 +45,90 @@ def query_tokens(text: str) -> list[str]:
     return [t for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t]
 
 
-def _positioned(k: int):
-    return lambda t, i: F.struct(F.lit(k).alias("field"), i.alias("pos"), t.alias("token"))
-
+def _token_rows(docs: DataFrame, id_col: str, fields) -> DataFrame:
+    """(doc_id, dl, field, pos, token): one row per token occurrence.
 
-def build_postings(docs: DataFrame, id_col: str = "doc_id", fields: list[str] | tuple[str, ...] = ("text",),
-                   stem: Column | None = None) -> DataFrame:
+    Two generators (fields, then positions) and no lambdas, so the whole
+    pipeline stays in generated code.
+    """
+    fields = list(fields)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                    *[tokens(F.col(f)).alias(f"_t{k}") for k, f in enumerate(fields)])
+    dl = F.lit(0)
+    for k in range(len(fields)):
+        dl = dl + F.size(f"_t{k}")
+    if len(fields) == 1:
+        return (d.select("doc_id", dl.cast("long").alias("dl"), F.lit(0).alias("field"),
+                         F.posexplode("_t0").alias("pos", "token"))
+                .select("doc_id", "field", "pos", "token", "dl"))
+    per = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"_t{k}").alias("t")) for k in range(len(fields))])
+    return (d.select("doc_id", dl.cast("long").alias("dl"), F.explode(per).alias("f"))
+            .select("doc_id", "dl", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "token"))
+            .select("doc_id", "field", "pos", "token", "dl"))
+
+
+def build_postings(docs: DataFrame, id_col: str = "doc_id", fields: list[str] | tuple[str, ...] = ("text",)) -> DataFrame:
     """Postings of the given text fields, positions counted per field."""
-    per_field = []
-    for k, f in enumerate(fields):
-        per_field.append(F.transform(tokens(F.col(f)), _positioned(k)))
-    allp = per_field[0] if len(per_field) == 1 else F.concat(*per_field)
-    return (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), allp.alias("p"))
-        .select("doc_id", F.size("p").cast("long").alias("dl"), F.explode("p").alias("e"))
-        .select("doc_id", F.col("e.field").alias("field"), F.col("e.pos").alias("pos"),
-                F.col("e.token").alias("token"), "dl")
-    )
+    return _token_rows(docs, id_col, fields)
+
+
+def query_postings(docs: DataFrame, query_tokens_: list[str], id_col: str = "doc_id",
+                   fields: list[str] | tuple[str, ...] = ("text",)) -> DataFrame:
+    """Postings of the query's tokens only, straight from the documents.
+
+    Used when no materialised index exists.  The token filter applies to
+    the generator's output rows (it cannot be pushed into the tokeniser),
+    so no predicate ever re-evaluates the token array.
+    """
+    return _token_rows(docs, id_col, fields).where(F.col("token").isin(sorted(set(query_tokens_))))
+
+
+_TOKEN_RUN = r"[\p{L}\p{N}]+"
+
+
+def phrase_regex(phrase: list[str]) -> str:
+    """Pattern matching each occurrence of the phrase: its first token as a
+    whole letter/digit run, followed (lookahead) by the remaining tokens
+    separated by non-token characters only.  Only the first token is
+    consumed, so overlapping occurrences all count, like positional
+    postings do; the literal first token lets the matcher skip ahead."""
+    import re
+
+    head, rest = re.escape(phrase[0]), [re.escape(t) for t in phrase[1:]]
+    tail = "".join(r"[^\p{L}\p{N}]+" + t for t in rest)
+    return r"(?<![\p{L}\p{N}])" + head + r"(?=" + tail + r"(?![\p{L}\p{N}]))"
+
+
+def phrase_counts(docs: DataFrame, phrase: list[str], id_col: str = "doc_id",
+                  fields: list[str] | tuple[str, ...] = ("text",)) -> DataFrame:
+    """Index-free scan form of X2's inputs: per document its length ``dl``
+    (token count) and the phrase frequency ``tf``, both as regex counts on
+    the lower-cased text -- no token arrays, no explode, no shuffle."""
+    rx = phrase_regex(phrase)
+    dl = F.lit(0)
+    tf = F.lit(0)
+    for f in fields:
+        low = F.lower(F.coalesce(F.col(f), F.lit("")))
+        dl = dl + F.regexp_count(low, F.lit(_TOKEN_RUN))
+        tf = tf + F.regexp_count(low, F.lit(rx))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), dl.cast("long").alias("dl"), tf.cast("long").alias("tf"))
+
+
+def phrase_search_scan(docs: DataFrame, query: str, limit: int = 20, id_col: str = "doc_id",
+                       fields: list[str] | tuple[str, ...] = ("text",), phrase: list[str] | None = None) -> DataFrame:
+    """X2 without a stored index: one regex pass for (dl, tf), BM25 over the
+    matching documents, global N / avgdl / df from single-row aggregates."""
+    toks = phrase if phrase is not None else query_tokens(query)
+    if not toks:
+        return docs.sparkSession.createDataFrame([], "doc_id long, tf long, dl long, score double")
+    # (doc_id, dl, tf) is tiny next to the text; checkpoint it so the two
+    # consumers (corpus stats, matching documents) do not scan the text twice.
+    from treeline.session import materialize
+
+    counts = materialize(phrase_counts(docs, toks, id_col, fields))
+    stats = counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    hits = counts.where(F.col("tf") > 0).select("doc_id", "dl", "tf")
+    return bm25(hits, stats).orderBy(F.desc("score"), F.asc("doc_id")).limit(limit)
 
 
 def build_doc_stats(docs: DataFrame, id_col: str = "doc_id", fields: list[str] | tuple[str, ...] = ("text",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from treeline.io import table
 from treeline.operators import search, text_index, vectors
+from treeline.operators.common import spread
 from treeline.plans import oracle
 from treeline.plans.registry import register
 
@@ -27,11 +28,22 @@ def r6(c):
 
 # --------------------------------------------------------------------- search
 
+def _docs(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _postings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir)
     return text_index.build_postings(docs, "doc_id", ["text"]), text_index.build_doc_stats(docs, "doc_id", ["text"])
 
 
+def _query_postings(spark, sf_dir, phrase=PHRASE):
+    """Postings of the phrase's tokens (no stored index) and doc stats."""
+    docs = _docs(spark, sf_dir)
+    q = text_index.query_tokens(phrase)
+    return text_index.query_postings(docs, q), text_index.build_doc_stats(docs)
+
+
 @register("x1_postings", oracle.ORACLE["x1_postings"])
 def x1_postings(spark, sf_dir):
     postings, _ = _postings(spark, sf_dir)
@@ -40,8 +52,7 @@ def x1_postings(spark, sf_dir):
 
 @register("x2_phrase_bm25", oracle.ORACLE["x2_phrase_bm25"])
 def x2_phrase_bm25(spark, sf_dir):
-    postings, stats = _postings(spark, sf_dir)
-    hits = text_index.phrase_search(postings, stats, PHRASE, limit=20)
+    hits = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=20)
     return hits.select("doc_id", "tf", "dl", r6(F.col("score")).alias("score"))
 
 
@@ -61,8 +72,7 @@ def x5_knn(spark, sf_dir):
 
 def hybrid_plan(spark, sf_dir, limit=HYBRID_LIMIT, with_semantic=True):
     docs = table(spark, sf_dir, "documents")
-    postings, stats = _postings(spark, sf_dir)
-    fts = text_index.phrase_search(postings, stats, PHRASE, limit=2 * limit).select(
+    fts = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=2 * limit).select(
         F.col("doc_id").alias("id"), "score")
     sem = None
     if with_semantic:
@@ -88,8 +98,7 @@ def x11_hybrid_no_vectors(spark, sf_dir):
 @register("u1_union_ids", oracle._bm25_top(40) + ",\n" + oracle._KNN + """
 SELECT doc_id AS id FROM fts UNION SELECT id FROM knn_r WHERE rank <= 40""")
 def u1_union_ids(spark, sf_dir):
-    postings, stats = _postings(spark, sf_dir)
-    fts = text_index.phrase_search(postings, stats, PHRASE, limit=40).select(F.col("doc_id").alias("id"))
+    fts = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=40).select(F.col("doc_id").alias("id"))
     sem = _semantic_hits(spark, sf_dir, 40).select("id")
     return search.union_ids(fts, sem)
 
@@ -108,8 +117,7 @@ r AS (SELECT doc_id, (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::INTE
 SELECT doc_id AS id, rank, round(1.0 - rank / greatest(n, 1), 6) AS rank_score,
        round(1.0 - rank / 30.0, 6) AS cli_rank_score FROM r""")
 def w1_rank_score(spark, sf_dir):
-    postings, stats = _postings(spark, sf_dir)
-    hits = text_index.phrase_search(postings, stats, PHRASE, limit=30).select(F.col("doc_id").alias("id"), "score")
+    hits = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=30).select(F.col("doc_id").alias("id"), "score")
     api = text_index.rank_scores(hits, [F.desc("score"), F.asc("id")])
     cli = F.lit(1.0) - F.col("rank") / F.lit(30.0)
     return api.select("id", "rank", r6(F.col("rank_score")).alias("rank_score"), r6(cli).alias("cli_rank_score"))
