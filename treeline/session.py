@@ -75,3 +75,36 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``treeline`` package importable in executor Python workers
+    (pandas UDFs, mapInPandas, stateful streaming, the repo_tree source).
+
+    The package is zipped once per SparkContext into the shared scratch
+    folder and added with ``addPyFile``; on a cluster deployed with
+    ``--py-files`` / a wheel this is a no-op in effect.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles")
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:  # non-local shared storage: build locally, Spark ships it
+        local = tempfile.mkdtemp(prefix="treeline-pyfiles-")
+    os.makedirs(local, exist_ok=True)
+    zpath = os.path.join(local, "treeline.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("treeline", os.path.relpath(full, pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
