@@ -107,3 +107,19 @@ def test_knn_many_queries_chunked(spark, monkeypatch):
     q = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(7)], "query_id long, query_vec array<float>")
     got = vectors.knn(vecs, q, 1).collect()
     assert sorted((r.query_id, r.id) for r in got) == [(i, i) for i in range(7)]
+
+
+def test_stemmed_phrase_search(spark):
+    docs = _docs(spark, ["Running dogs run", "the runner", "run dog", "ran DOGS", "running, dog!"])
+    got = {r.doc_id: r.tf for r in text_index.stemmed_phrase_search(docs, "run dogs", 10).collect()}
+    assert got == {0: 1, 2: 1, 4: 1}
+    assert text_index.fold_and_stem("Éléments".lower()) == "element"
+
+
+def test_pluggable_encoder(spark):
+    def factory():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string")
+    got = {r.id: r.embedding for r in vectors.embed_with(df, "text", factory).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0]}

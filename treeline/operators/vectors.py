@@ -98,15 +98,9 @@ def embed_with(df: DataFrame, text_col: str, encoder_factory: Callable[[], Calla
     """X3 pluggable encoder (D1): ``encoder_factory()`` is called once per
     Python worker; its result maps a list of texts to a list of vectors.
     Batches arrive through Arrow."""
-    import pandas as pd
+    from treeline.functions.udfs import encoder_udf
 
-    @F.pandas_udf("array<float>")
-    def _encode(batches):
-        enc = encoder_factory()
-        for s in batches:
-            yield pd.Series(list(enc(s.fillna("").tolist())))
-
-    return df.withColumn(out_col, _encode(F.col(text_col)))
+    return df.withColumn(out_col, encoder_udf(encoder_factory)(F.col(text_col)))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -121,3 +121,11 @@ def w1_rank_score(spark, sf_dir):
     api = text_index.rank_scores(hits, [F.desc("score"), F.asc("id")])
     cli = F.lit(1.0) - F.col("rank") / F.lit(30.0)
     return api.select("id", "rank", r6(F.col("rank_score")).alias("rank_score"), r6(cli).alias("cli_rank_score"))
+
+
+@register("x2_stemmed")
+def x2_stemmed(spark, sf_dir):
+    """Phrase BM25 with the stemming tokenizer; no DuckDB equivalent here
+    (its full-text extension is not available), checked by tests."""
+    hits = text_index.stemmed_phrase_search(_docs(spark, sf_dir), "the ons", limit=20)
+    return hits.select("doc_id", "tf", "dl", r6(F.col("score")).alias("score"))
