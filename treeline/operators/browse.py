@@ -22,14 +22,19 @@ from treeline.functions import fixed
 
 # Browse sort keys: name ascending; the others newest / largest first.
 SORTS = {
-    "name": [F.asc("name")],
-    "recent": [F.desc_nulls_last("last_code_modified_at")],
-    "created": [F.desc_nulls_last("project_created_at")],
-    "loc": [F.desc_nulls_last("lines_of_code")],
-    "files": [F.desc_nulls_last("file_count")],
+    "name": ("name", "asc"),
+    "recent": ("last_code_modified_at", "desc"),
+    "created": ("project_created_at", "desc"),
+    "loc": ("lines_of_code", "desc"),
+    "files": ("file_count", "desc"),
 }
 
 
+def _sort_key(sort: str) -> Column:
+    col, direction = SORTS.get(sort, SORTS["name"])
+    return F.asc(col) if direction == "asc" else F.desc_nulls_last(col)
+
+
 def filter_language(projects: DataFrame, language: str | None) -> DataFrame:
     """P5: exact primary-language filter (no filter when None/empty)."""
     if not language:
@@ -53,7 +58,7 @@ def browse(projects: DataFrame, bridge: DataFrame | None = None, language: str |
     q = filter_language(projects, language)
     if keyword and bridge is not None:
         q = filter_keyword(q, bridge, keyword)
-    order = SORTS.get(sort, SORTS["name"]) + [F.asc("name"), F.asc("id")]
+    order = [_sort_key(sort), F.asc("name"), F.asc("id")]
     offset = max(page - 1, 0) * per_page
     page_rows = q.orderBy(*order).offset(offset).limit(per_page)
     total = q.agg(F.count(F.lit(1)).alias("total")).withColumn(
