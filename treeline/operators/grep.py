@@ -116,11 +116,29 @@ def with_grep_language(df: DataFrame) -> DataFrame:
     return d.join(langs, d["_ext"] == langs["ext"], "left").drop("_ext", "ext").withColumnRenamed("glang", "language")
 
 
+def _normalized(files: DataFrame) -> DataFrame:
+    """(project, path, content_n): universal newlines mapped to '\n' once."""
+    return files.select("project", "path", F.regexp_replace(F.col("content"), "\r\n?", "\n").alias("content_n"))
+
+
+def _split_lines(norm: DataFrame) -> DataFrame:
+    """Lines of normalised content (a trailing newline opens no line)."""
+    c = F.col("content_n")
+    pieces = F.split(c, "\n", -1)
+    pieces = F.when(c == "", F.array().cast("array<string>")).when(
+        F.substring(c, -1, 1) == "\n", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    return (norm.select("project", "path", F.posexplode(pieces).alias("i", "line"))
+            .select("project", "path", (F.col("i") + 1).cast("int").alias("line_no"), "line"))
+
+
+def candidate_files(files: DataFrame, java_regex: str) -> DataFrame:
+    """Files whose normalised content matches somewhere (multi-line mode)."""
+    return _normalized(files).where(F.col("content_n").rlike("(?m)" + java_regex))
+
+
 def candidate_lines(files: DataFrame, java_regex: str) -> DataFrame:
     """Lines of files whose content matches somewhere (multi-line prefilter)."""
-    norm = F.regexp_replace(F.col("content"), "\r\n?", "\n")
-    cand = files.where(norm.rlike("(?m)" + java_regex))
-    return scan.lines(cand, drop_binary=False)
+    return _split_lines(candidate_files(files, java_regex))
 
 
 def _context_requests(matches: DataFrame, context: int, mode: str) -> DataFrame:
@@ -161,7 +179,8 @@ def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None =
         limit = min(limit, 500)
     context = min(max(context, 0), 5)
     gfiles = grep_files(files, apply_exclude)
-    lines = candidate_lines(gfiles, rx)
+    cand = candidate_files(gfiles, rx)
+    lines = _split_lines(cand)
     matches = lines.where(F.col("line").rlike(rx))
     w = Window.partitionBy("project", "path").orderBy("line_no")
     matches = (matches.withColumn("prev_ln", F.lag("line_no").over(w))
@@ -169,10 +188,14 @@ def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None =
     if limit is not None:
         matches = matches.orderBy("project", "path", "line_no").limit(limit)
     req = _context_requests(matches, context, mode)
-    lines_for_join = lines.select("project", "path", "line_no", F.col("line").alias("ctx"))
     if limit is not None and limit * 2 * context <= MAX_BROADCAST_REQUESTS:
+        # at most `limit` files hold the kept matches: only they are split again
+        hit_files = F.broadcast(matches.select("project", "path").distinct())
+        ctx_lines = _split_lines(cand.join(hit_files, ["project", "path"], "left_semi"))
+        lines_for_join = ctx_lines.select("project", "path", "line_no", F.col("line").alias("ctx"))
         joined = lines_for_join.join(F.broadcast(req), ["project", "path", "line_no"])
     else:
+        lines_for_join = lines.select("project", "path", "line_no", F.col("line").alias("ctx"))
         joined = req.join(lines_for_join, ["project", "path", "line_no"])
     ctx = (joined.groupBy("project", "path", "match_ln")
            .agg(F.array_sort(F.collect_list(F.struct("side", "line_no", "ctx"))).alias("c")))
