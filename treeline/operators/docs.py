@@ -47,49 +47,52 @@ def pick_readme(files: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- metadata
 
-def _json_object_text(text: Column) -> Column:
-    """The reply itself when it is a JSON object, else the widest {...} span
-    when that parses, else null."""
-    whole = F.when(F.try_parse_json(text).isNotNull() & strip_ws(text).startswith("{"), text)
-    span = F.regexp_extract(text, _JSON_SPAN, 0)
-    spanned = F.when((span != "") & F.try_parse_json(span).isNotNull(), span)
-    return F.coalesce(whole, spanned)
+def _is_object(v: Column) -> Column:
+    """A parsed variant holds a JSON object."""
+    return F.schema_of_variant(v).startswith("OBJECT")
 
 
 def parse_metadata(replies: DataFrame, project_languages: Column | None = None,
                    project_name: Column | None = None) -> DataFrame:
     """Metadata records from generator replies.
 
-    ``replies(project, text)``.  A nested ``result`` object is unwrapped;
-    missing fields get defaults (name = project, short_description = '',
-    keywords = [], languages = the scanned languages, primary_language =
-    their first); keywords are lower-cased and trimmed.  Rows that do not
-    parse get ``status = 'error'`` and the first 200 characters in
-    ``error_text`` (quarantine), never an exception.
+    ``replies(project, text)``.  The reply is parsed once into a VARIANT
+    (whole text, else the widest ``{...}`` span); a nested ``result`` object
+    is unwrapped; missing fields get defaults (name = project,
+    short_description = '', keywords = [], languages = the scanned
+    languages, primary_language = their first); keywords are lower-cased
+    and trimmed.  Rows that do not parse get ``status = 'error'`` and the
+    first 200 characters in ``error_text`` (quarantine), never an exception.
     """
     langs = project_languages if project_languages is not None else F.array().cast("array<string>")
     pname = project_name if project_name is not None else F.col("project").cast("string")
-    doc = _json_object_text(F.col("text"))
-    res = F.get_json_object(doc, "$.result")
-    res_is_obj = res.isNotNull() & strip_ws(res).startswith("{") & F.try_parse_json(res).isNotNull()
-    d = F.when(res_is_obj, res).otherwise(doc)
-    r = replies.withColumn("_d", d).withColumn("_langs", langs)
-    kw = F.from_json(F.get_json_object(F.col("_d"), "$.keywords"), "array<string>")
-    lang_arr = F.from_json(F.get_json_object(F.col("_d"), "$.languages"), "array<string>")
+    whole = F.try_parse_json(F.col("text"))
+    span = F.regexp_extract(F.col("text"), _JSON_SPAN, 0)
+    r = replies.withColumn("_w", whole)
+    r = r.withColumn("_v", F.when(F.col("_w").isNotNull() & _is_object(F.col("_w")), F.col("_w"))
+                     .otherwise(F.when(span != "", F.try_parse_json(span))))
+    r = r.withColumn("_v", F.when(F.col("_v").isNotNull() & _is_object(F.col("_v")), F.col("_v")))
+    res = F.try_variant_get(F.col("_v"), "$.result", "variant")
+    r = r.withColumn("_d", F.when(res.isNotNull() & _is_object(res), res).otherwise(F.col("_v")))
+    r = r.withColumn("_langs", langs)
+
+    def get(path, typ="string"):
+        return F.try_variant_get(F.col("_d"), path, typ)
+
     ok = F.col("_d").isNotNull()
+    kw = get("$.keywords", "array<string>")
     return r.select(
-        "*",
+        *[c for c in replies.columns],
         F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"),
-        F.when(ok, F.coalesce(F.get_json_object(F.col("_d"), "$.name"), pname)).alias("name"),
-        F.when(ok, F.coalesce(F.get_json_object(F.col("_d"), "$.short_description"), F.lit(""))).alias("short_description"),
+        F.when(ok, F.coalesce(get("$.name"), pname)).alias("name"),
+        F.when(ok, F.coalesce(get("$.short_description"), F.lit(""))).alias("short_description"),
         F.when(ok, F.transform(F.coalesce(kw, F.array().cast("array<string>")),
                                lambda k: F.trim(F.lower(k)))).alias("keywords"),
-        F.when(ok, F.coalesce(lang_arr, F.col("_langs"))).alias("languages"),
-        F.when(ok, F.coalesce(F.get_json_object(F.col("_d"), "$.primary_language"),
-                              F.element_at(F.col("_langs"), 1))).alias("primary_language"),
-        F.when(ok, F.get_json_object(F.col("_d"), "$.modules")).alias("modules_json"),
+        F.when(ok, F.coalesce(get("$.languages", "array<string>"), F.col("_langs"))).alias("languages"),
+        F.when(ok, F.coalesce(get("$.primary_language"), F.element_at(F.col("_langs"), 1))).alias("primary_language"),
+        F.when(ok, F.to_json(get("$.modules", "variant"))).alias("modules_json"),
         F.when(~ok, F.substring(F.col("text"), 1, 200)).alias("error_text"),
-    ).drop("_d", "_langs")
+    )
 
 
 # ------------------------------------------------------------ text replies
