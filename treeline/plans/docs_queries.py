@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from treeline.functions import exprs, fixed
 from treeline.io import table
 from treeline.operators import docs
+from treeline.operators.common import spread
 from treeline.plans.registry import register
 from treeline.sources import manifests
 
@@ -145,7 +146,7 @@ def m8_docs_worklist(spark, sf_dir):
 # ------------------------------------------------------------ metadata replies
 
 def _meta_replies(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     i = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     obj = (F.when(i % 4 == 0, F.concat(
