@@ -76,3 +76,13 @@ def test_incremental_scan_preserves_renamed_id(spark):
     d = {r.name: r for r in res["catalog"].collect()}
     assert d["new-name"].id == 3 and "orphan" not in d and "stale-a" not in d
     assert d["same"].lines_of_code == 10 and d["changed"].lines_of_code == 1
+
+
+def test_full_and_single_scan(spark):
+    before, disk = _frames(spark)
+    rows = disk.select(F.lit(None).cast("long").alias("new_id"), "name", "path",
+                       F.lit(1).cast("long").alias("lines_of_code"))
+    full = {r.name: r.lines_of_code for r in cat.full_scan(before, disk, rows, "2025-01-01 00:00:00").collect()}
+    assert full["same"] == 1 and full["equal-time"] == 1 and "orphan" not in full
+    one = {r.name: r.lines_of_code for r in cat.full_scan(before, disk, rows, "2025-01-01 00:00:00", only=["same"]).collect()}
+    assert one["same"] == 1 and one["equal-time"] == 70

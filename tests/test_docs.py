@@ -90,3 +90,22 @@ def test_manifests(spark):
     assert info[("py", "python")] == "py" and info[("rs", "cargo")] == "rs" and info[("go", "go")] == "example.com/m"
     assert info[("sp", "python")] == "sp" and ("rb", "ruby") in info and info[("php", "composer")] == "v/p"
     assert not any(p == "bad" for p, _ in info)
+
+
+def test_doc_sink_and_report_expressions(spark):
+    import os
+    import uuid
+
+    from treeline.session import ensure_checkpoint_dir
+
+    root = os.path.join(ensure_checkpoint_dir(spark), f"docs-{uuid.uuid4().hex[:8]}")
+    d = spark.createDataFrame([("p", "readme", "# p"), ("p", "usage", "use")], "project string, kind string, text string")
+    docs.write_docs(d, root)
+    assert sorted(r.kind for r in spark.read.parquet(root).collect()) == ["readme", "usage"]
+    df = spark.createDataFrame([(512, 0, 3, 4), (2048, 90, 1, 0), (5 * 1024 ** 3, 7200, 0, 0)],
+                               "b long, age long, x long, n long")
+    as_of = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    ts = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("age"))
+    got = df.select(exprs.size_text(F.col("b")), exprs.relative_age(ts, as_of), exprs.percent(F.col("x"), F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [("512.0 B", "just now", 75.0), ("2.0 KB", "1 minute ago", 100.0),
+                                      ("5.0 GB", "2 hours ago", 0.0)]

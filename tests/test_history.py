@@ -50,3 +50,10 @@ def test_stream_on_change_with_late_rows(spark):
     got = {r.snapshot_id: r.late for r in out.collect()}
     assert got[1] is False and got[3] is False and 2 not in got
     assert got[9] is True and got[10] is False
+
+
+def test_append_on_change(spark):
+    hist = _snaps(spark, ROWS)
+    cur = spark.createDataFrame([(1, 900, 49), (2, 6, 1), (3, 1, 1)], "project_id long, lines_of_code long, file_count long")
+    got = sorted(r.project_id for r in history.append_on_change(hist, cur, "2025-01-01 00:00:00").collect())
+    assert got == [2, 3]

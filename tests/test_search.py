@@ -151,3 +151,21 @@ def test_incremental_refresh_equals_rebuild(spark):
     refreshed = text_index.refresh_postings(text_index.build_postings(old_docs), new_docs, todo)
     rebuilt = text_index.build_postings(new_docs)
     assert sorted(map(tuple, refreshed.collect())) == sorted(map(tuple, rebuilt.collect()))
+
+
+def test_vector_rows_text_and_refresh(spark):
+    projects = spark.createDataFrame(
+        [(1, "proj", "short", "", ["a", "b"], "readme"), (2, "other", None, None, [], None)],
+        "id long, name string, short_description string, long_description string, keywords array<string>, "
+        "readme_content string")
+    rows = {r.id: r for r in vectors.project_vector_rows(projects).collect()}
+    assert rows[1].text == "proj. short. Keywords: a, b. readme" and rows[1].meta_keywords == "a,b"
+    assert rows[2].text == "other" and rows[2].meta_short_description == ""
+    mods = spark.createDataFrame([(10, 1, "m", "p/m.py", "does x")],
+                                 "module_id long, project_id long, name string, path string, description string")
+    mrow = vectors.module_vector_rows(mods, projects).collect()[0]
+    assert mrow.text == "proj: m - does x" and mrow.id == 10
+    v1 = vectors.refresh_vectors(None, vectors.project_vector_rows(projects), dim=16)
+    v2 = vectors.refresh_vectors(v1, vectors.project_vector_rows(projects.where("id = 1")), dim=16)
+    assert v2.count() == 2
+    assert [r.id for r in vectors.filter_vectors(v2, keyword="a").collect()] == [1]

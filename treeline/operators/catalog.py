@@ -134,3 +134,15 @@ def incremental_scan(catalog: DataFrame, disk: DataFrame, scan_rows: DataFrame,
     todo = todo.withColumn("scanned_at", F.lit(as_of).cast("timestamp_ntz"))
     new_catalog = upsert(renamed, todo, as_of)
     return {"catalog": new_catalog, "renames": ren, "orphans": orph, "changed": changed, "scanned": todo}
+
+
+def full_scan(catalog: DataFrame, disk: DataFrame, scan_rows: DataFrame, as_of,
+              only: list[str] | None = None) -> DataFrame:
+    """M4: full scan (every folder on disk re-scanned) or single-project
+    scan (``only`` names); renames and orphans are applied first, as in M3."""
+    ren = detect_renames(catalog, disk)
+    orph = orphans(catalog, disk, ren)
+    renamed = apply_renames(catalog, ren).join(orph.select("id"), "id", "left_anti")
+    todo = scan_rows if not only else scan_rows.where(F.col("name").isin(only))
+    todo = todo.withColumn("scanned_at", F.lit(as_of).cast("timestamp_ntz"))
+    return upsert(renamed, todo, as_of)

@@ -248,3 +248,11 @@ def merge_metadata(projects: DataFrame, meta: DataFrame, languages: DataFrame) -
         F.when(has, F.coalesce(F.col("m_primary"), first_scanned))
         .otherwise(F.coalesce(F.col("primary_language"), first_scanned)).alias("primary_language"),
     )
+
+
+def write_docs(docs_df: DataFrame, root: str) -> None:
+    """Generated documents as a table ``docs(project, kind, text)``
+    partitioned by kind (README / METADATA / USAGE), one overwrite per
+    kind partition so a re-run replaces only what it regenerated."""
+    (docs_df.select("project", "kind", "text").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(root))

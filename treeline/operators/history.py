@@ -83,3 +83,18 @@ def scan_logs(runs: DataFrame, max_errors: int = 10) -> DataFrame:
 def newest_scan_logs(logs: DataFrame, n: int = 20) -> DataFrame:
     """Newest ``n`` (<= 100) scan logs."""
     return logs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(min(n, 100))
+
+
+def append_on_change(history: DataFrame, current: DataFrame, as_of, project_col: str = "project_id") -> DataFrame:
+    """M6: rows to append to the LOC history after a scan -- projects never
+    recorded, or whose current LOC differs from their latest recorded value.
+
+    ``current(project_id, lines_of_code, file_count)``.  The latest value
+    per project is a ``max_by`` aggregate (combined map-side), not a window.
+    """
+    last = history.groupBy(project_col).agg(
+        F.max_by("lines_of_code", F.struct("recorded_at", "snapshot_id")).alias("_last"))
+    j = current.join(last, project_col, "left")
+    changed = F.col("_last").isNull() | ~F.col("lines_of_code").eqNullSafe(F.col("_last"))
+    return (j.where(changed).drop("_last")
+            .withColumn("recorded_at", F.lit(as_of).cast("timestamp_ntz")))

@@ -137,3 +137,73 @@ def lsh_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id"))
     return (d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("score", similarity(F.col("distance"))))
+
+
+def project_vector_rows(projects: DataFrame) -> DataFrame:
+    """F9 / X4 input: the text embedded for each project and its metadata.
+
+    ``projects(id, name, short_description, long_description, keywords
+    array<string>, readme_content)``.  Text = name, short and long
+    description, 'Keywords: a, b', first 1000 README characters, joined by
+    '. ' with empty parts skipped; metadata keeps 500 characters of the
+    short description and the first 20 keywords; the stored document is the
+    first 5000 characters of the text.
+    """
+    from treeline.functions import fixed
+
+    def nz(c):
+        return F.when(F.coalesce(c, F.lit("")) != "", c)
+
+    kw = F.coalesce(F.col("keywords"), F.array().cast("array<string>"))
+    text = F.concat_ws(
+        ". ", F.col("name"), nz(F.col("short_description")), nz(F.col("long_description")),
+        F.when(F.size(kw) > 0, F.concat(F.lit("Keywords: "), F.array_join(kw, ", "))),
+        nz(F.substring(F.col("readme_content"), 1, fixed.README_EXCERPT_CHARS)))
+    return projects.select(
+        F.col("id").cast("long").alias("id"), F.lit("project").alias("kind"), F.col("id").cast("long").alias("project_id"),
+        text.alias("text"),
+        F.col("name").alias("meta_name"),
+        F.coalesce(F.substring("short_description", 1, fixed.SHORT_DESCRIPTION_CHARS), F.lit("")).alias("meta_short_description"),
+        F.array_join(F.slice(kw, 1, fixed.VECTOR_KEYWORDS), ",").alias("meta_keywords"),
+        F.substring(text, 1, fixed.PROJECT_DOCUMENT_CHARS).alias("document"),
+    )
+
+
+def module_vector_rows(modules: DataFrame, projects: DataFrame) -> DataFrame:
+    """F9 / X4 input for modules: '<project>: <name> - <description>'; the
+    document keeps 2000 characters of the description.  Ids are real
+    columns (module id, project id), not a packed string."""
+    from treeline.functions import fixed
+
+    p = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
+    m = modules.join(p, "project_id")
+    desc = F.coalesce(F.col("description"), F.lit(""))
+    text = F.concat(F.col("project_name"), F.lit(": "), F.col("name"), F.lit(" - "), desc)
+    return m.select(
+        F.col("module_id").cast("long").alias("id"), F.lit("module").alias("kind"), F.col("project_id").cast("long"),
+        text.alias("text"), F.col("name").alias("meta_name"), F.col("project_name").alias("meta_project_name"),
+        F.col("path").alias("meta_path"), F.substring(desc, 1, fixed.MODULE_DOCUMENT_CHARS).alias("document"),
+    )
+
+
+def filter_vectors(vecs: DataFrame, keyword: str | None = None, project_id=None) -> DataFrame:
+    """Metadata filters applied before any distance is computed."""
+    out = vecs
+    if keyword:
+        out = out.where(F.array_contains(F.split(F.coalesce(F.col("meta_keywords"), F.lit("")), ","), keyword))
+    if project_id is not None:
+        out = out.where(F.col("project_id") == project_id)
+    return out
+
+
+def refresh_vectors(existing: DataFrame | None, rows: DataFrame, dim: int = 384,
+                    encoder_factory: Callable[[], Callable] | None = None) -> DataFrame:
+    """Embed the given rows (hashed features by default, or a pluggable
+    encoder) and replace their (kind, id) entries in the vector table."""
+    emb = embed_with(rows, "text", encoder_factory) if encoder_factory else embed_hashed(rows, "text", dim=dim)
+    if existing is None:
+        return emb
+    for c in emb.columns:
+        if c not in existing.columns:
+            existing = existing.withColumn(c, F.lit(None).cast(emb.schema[c].dataType))
+    return upsert(existing.select(*emb.columns), emb, ["kind", "id"])
