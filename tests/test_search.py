@@ -169,3 +169,14 @@ def test_vector_rows_text_and_refresh(spark):
     v2 = vectors.refresh_vectors(v1, vectors.project_vector_rows(projects.where("id = 1")), dim=16)
     assert v2.count() == 2
     assert [r.id for r in vectors.filter_vectors(v2, keyword="a").collect()] == [1]
+
+
+def test_knn_numpy_equals_sql(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 16)).astype("float32")
+    v[10] = v[11]      # exact tie
+    vecs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)], "id long, embedding array<float>")
+    q = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(0, 300, 3)], "query_id long, query_vec array<float>")
+    a = sorted((r.query_id, r.id, r.rank, round(r.distance, 9)) for r in vectors.knn(vecs, q, 4, method="sql").collect())
+    b = sorted((r.query_id, r.id, r.rank, round(r.distance, 9)) for r in vectors.knn(vecs, q, 4, method="numpy").collect())
+    assert a == b

@@ -48,17 +48,26 @@ def similarity(dist: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + dist)
 
 
+# From this many queries on, exact search runs as numpy batches inside the
+# tasks instead of a SQL cross product (which would hold N x Q rows).
+NUMPY_MIN_QUERIES = 64
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
         qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2",
-        n_queries: int | None = None) -> DataFrame:
+        n_queries: int | None = None, method: str = "auto") -> DataFrame:
     """X5 exact: for every query the ``k`` nearest vectors.
 
     Returns ``(query_id, id, distance, score, rank)``; ties broken by id.
     ``n_queries`` may be passed when the caller already knows the batch
     size; otherwise it is counted (the query batch is small by contract).
+    ``method``: 'sql' (broadcast cross join, JVM only), 'numpy' (Arrow
+    batches, partial top-k per batch) or 'auto' (numpy for large batches).
     """
     if n_queries is None:
         n_queries = queries.count()
+    if method == "numpy" or (method == "auto" and n_queries >= NUMPY_MIN_QUERIES and metric == "l2"):
+        return knn_batched(vectors, queries, k, id_col, vec_col, qid_col, qvec_col, n_queries)
     if n_queries > MAX_BROADCAST_QUERIES:
         chunks = (n_queries + MAX_BROADCAST_QUERIES - 1) // MAX_BROADCAST_QUERIES
         tagged = queries.withColumn("_chunk", F.pmod(F.xxhash64(F.col(qid_col)), F.lit(chunks)))
@@ -77,6 +86,64 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_
     return ranked.withColumn("score", similarity(F.col("distance")))
 
 
+def _batch_topk(qids, Q, k):
+    """mapInPandas body: per Arrow batch, the k nearest rows of every query
+    (ties at the cut kept, then ordered by distance and id)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf["id"].to_numpy()
+            V = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            out_q, out_i, out_d = [], [], []
+            for j in range(len(qids)):
+                d = ((V - Q[j]) ** 2).sum(axis=1)
+                if len(d) > k:
+                    cut = np.partition(d, k - 1)[k - 1]
+                    idx = np.nonzero(d <= cut)[0]
+                else:
+                    idx = np.arange(len(d))
+                order = idx[np.lexsort((ids[idx], d[idx]))][:k]
+                out_q.append(np.full(len(order), qids[j]))
+                out_i.append(ids[order])
+                out_d.append(d[order])
+            yield pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_i),
+                                "distance": np.concatenate(out_d)})
+
+    return run
+
+
+def knn_batched(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+                qid_col: str = "query_id", qvec_col: str = "query_vec", n_queries: int | None = None) -> DataFrame:
+    """X5 exact, numpy form: the (size-checked) query batch travels with
+    the task; each Arrow batch of vectors yields only its k best rows per
+    query, so the shuffle carries k x Q rows per batch, never N x Q."""
+    import numpy as np
+
+    if n_queries is None:
+        n_queries = queries.count()
+    if n_queries > MAX_BROADCAST_QUERIES:
+        chunks = (n_queries + MAX_BROADCAST_QUERIES - 1) // MAX_BROADCAST_QUERIES
+        tagged = queries.withColumn("_chunk", F.pmod(F.xxhash64(F.col(qid_col)), F.lit(chunks)))
+        parts = [knn_batched(vectors, tagged.where(F.col("_chunk") == c).drop("_chunk"), k, id_col, vec_col,
+                             qid_col, qvec_col, MAX_BROADCAST_QUERIES) for c in range(chunks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    rows = queries.select(qid_col, qvec_col).collect()   # at most MAX_BROADCAST_QUERIES rows
+    qids = np.array([r[0] for r in rows], dtype=np.int64)
+    Q = np.array([list(r[1]) for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    part = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInPandas(
+        _batch_topk(qids, Q, k), "query_id long, id long, distance double")
+    w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id"))
+    ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.withColumn("score", similarity(F.col("distance")))
+
+
 def embed_hashed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 384) -> DataFrame:
     """X3 offline default encoder: hashed term frequencies, L2-normalised.
 
