@@ -109,3 +109,10 @@ def test_doc_sink_and_report_expressions(spark):
     got = df.select(exprs.size_text(F.col("b")), exprs.relative_age(ts, as_of), exprs.percent(F.col("x"), F.col("n"))).collect()
     assert [tuple(r) for r in got] == [("512.0 B", "just now", 75.0), ("2.0 KB", "1 minute ago", 100.0),
                                       ("5.0 GB", "2 hours ago", 0.0)]
+
+
+def test_reply_envelope(spark):
+    cases = [('{"result": "r", "content": "c"}', "r"), ('{"content": "c"}', "c"), ('{"response": "x"}', "x"),
+             ('{"other": 1}', '{"other": 1}'), ("plain", "plain")]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "t string")
+    assert [r[0] for r in df.select(docs.unwrap_reply(F.col("t"))).collect()] == [w for _, w in cases]

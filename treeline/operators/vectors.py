@@ -188,7 +188,6 @@ def lsh_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     exactly.  Candidate pairs come from an equi-join on bucket signatures,
     so the cost follows the bucket sizes instead of queries x vectors."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.linalg import VectorUDT
     from pyspark.ml.functions import array_to_vector
 
     v = vectors.select(F.col(id_col).alias("id"), array_to_vector(_as_double_array(F.col(vec_col))).alias("features"))
