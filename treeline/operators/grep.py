@@ -191,7 +191,7 @@ def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None =
     if limit is not None and limit * 2 * context <= MAX_BROADCAST_REQUESTS:
         # at most `limit` files hold the kept matches: only they are split again
         hit_files = F.broadcast(matches.select("project", "path").distinct())
-        ctx_lines = _split_lines(cand.join(hit_files, ["project", "path"], "left_semi"))
+        ctx_lines = _split_lines(_normalized(gfiles.join(hit_files, ["project", "path"], "left_semi")))
         lines_for_join = ctx_lines.select("project", "path", "line_no", F.col("line").alias("ctx"))
         joined = lines_for_join.join(F.broadcast(req), ["project", "path", "line_no"])
     else:
