@@ -86,3 +86,25 @@ def test_full_and_single_scan(spark):
     assert full["same"] == 1 and full["equal-time"] == 1 and "orphan" not in full
     one = {r.name: r.lines_of_code for r in cat.full_scan(before, disk, rows, "2025-01-01 00:00:00", only=["same"]).collect()}
     assert one["same"] == 1 and one["equal-time"] == 70
+
+
+def test_scan_log_row_and_store_append(spark):
+    import os
+    import uuid
+
+    from treeline.session import ensure_checkpoint_dir
+    from treeline.sources.store import CatalogStore
+
+    before, disk = _frames(spark)
+    rows = disk.select(F.lit(None).cast("long").alias("new_id"), "name", "path",
+                       F.lit(1).cast("long").alias("lines_of_code"))
+    res = cat.incremental_scan(before, disk, rows, "2025-01-01 00:00:00")
+    errs = spark.createDataFrame([("b: boom",), ("a: fail",)], "error string")
+    log = cat.scan_log_row(res, "incremental", "2025-01-01 00:00:00", "2025-01-01 00:05:00", "api", errs)
+    r = log.collect()[0]
+    assert (r.scan_type, r.projects_found, r.projects_scanned, r.error_count, r.errors, r.triggered_by) == \
+        ("incremental", 4, 4, 2, ["a: fail", "b: boom"], "api")
+    store = CatalogStore(spark, os.path.join(ensure_checkpoint_dir(spark), f"cat-{uuid.uuid4().hex[:8]}"))
+    store.append("scan_logs", log)
+    store.append("scan_logs", log)
+    assert store.read("scan_logs").count() == 2

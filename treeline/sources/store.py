@@ -3,11 +3,13 @@
 Layout below a catalog root (a folder in the cluster's shared storage)::
 
     <root>/versions/<version>/<table>/   Parquet, one folder per table
-    <root>/CURRENT                       text: the published version
+    <root>/published/<version>           empty marker, created last
 
-``publish`` writes every table of a new version first and replaces the
-``CURRENT`` pointer last (write to a temporary name, then rename), so
-readers see either the old or the new catalog, never a mix.  Old versions
+Version names start with a zero-padded millisecond clock, so the current
+version is the greatest marker.  ``publish`` writes every table of a new
+version first and creates its marker last (a single atomic file create on
+HDFS and object stores), so readers see either the old or the new catalog,
+never a mix, and there is no moment without a current version.  Old versions
 stay until ``vacuum``.  Parquet has no MERGE; a catalog change is a new
 version computed with DataFrame joins (upserts in
 :mod:`treeline.operators.catalog`).
@@ -40,47 +42,45 @@ class CatalogStore:
 
     def current_version(self) -> str | None:
         fs = self._fs()
-        ptr = self._path(f"{self.root}/CURRENT")
-        if not fs.exists(ptr):
+        p = self._path(f"{self.root}/published")
+        if not fs.exists(p):
             return None
-        stream = fs.open(ptr)
-        try:
-            reader = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            line = reader.readLine()
-        finally:
-            stream.close()
-        return line.strip() if line else None
-
-    def _write_pointer(self, version: str) -> None:
+        names = [st.getPath().getName() for st in fs.listStatus(p)]
+        names = [n for n in names if not n.startswith((".", "_"))]
+        return max(names) if names else None
+
+    def _mark_published(self, version: str) -> None:
         fs = self._fs()
-        tmp = self._path(f"{self.root}/_CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(tmp, True)
-        try:
-            out.write(bytearray(version.encode("utf-8")))
-        finally:
-            out.close()
-        final = self._path(f"{self.root}/CURRENT")
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(tmp, final)
+        fs.create(self._path(f"{self.root}/published/{version}"), False).close()
 
     # -- API --
     def publish(self, tables: dict[str, DataFrame], carry_over: bool = True) -> str:
         """Write a new version holding ``tables`` (plus, with ``carry_over``,
         every other table of the current version) and make it current."""
-        version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        cur = self.current_version()
+        stamp = int(time.time() * 1000)
+        if cur:
+            stamp = max(stamp, int(cur.split("-")[0]) + 1)   # strictly increasing versions
+        version = f"{stamp:015d}-{uuid.uuid4().hex[:8]}"
         base = f"{self.root}/versions/{version}"
         names = dict(tables)
-        cur = self.current_version()
         if carry_over and cur:
             for t in self.tables(cur):
                 if t not in names:
                     names[t] = self.spark.read.parquet(f"{self.root}/versions/{cur}/{t}")
         for name, df in names.items():
             df.write.mode("overwrite").parquet(f"{base}/{name}")
-        self._write_pointer(version)
+        self._mark_published(version)
         return version
 
+    def append(self, name: str, rows: DataFrame) -> str:
+        """Publish a version in which ``name`` also holds ``rows`` (small
+        append-only tables such as scan logs; copy-on-write)."""
+        cur = self.current_version()
+        if cur and name in self.tables(cur):
+            rows = self.read(name).unionByName(rows, allowMissingColumns=True)
+        return self.publish({name: rows})
+
     def tables(self, version: str | None = None) -> list[str]:
         v = version or self.current_version()
         if not v:
@@ -118,5 +118,6 @@ class CatalogStore:
         cur = self.current_version()
         gone = [v for v in vs[:-keep] if v != cur] if keep else [v for v in vs if v != cur]
         for v in gone:
+            fs.delete(self._path(f"{self.root}/published/{v}"), False)
             fs.delete(self._path(f"{self.root}/versions/{v}"), True)
         return gone
