@@ -116,3 +116,25 @@ def test_reply_envelope(spark):
              ('{"other": 1}', '{"other": 1}'), ("plain", "plain")]
     df = spark.createDataFrame([(c,) for c, _ in cases], "t string")
     assert [r[0] for r in df.select(docs.unwrap_reply(F.col("t"))).collect()] == [w for _, w in cases]
+
+
+def test_generator_worklist(spark):
+    def factory():
+        def gen(project, kind, ctx):
+            if project == "bad":
+                raise RuntimeError("model down")
+            return f"```markdown\n# {project} {kind}: {ctx}\n```"
+        return gen
+
+    wl = spark.createDataFrame([("p", "readme", "ctx"), ("bad", "usage", "c")], "project string, kind string, context string")
+    got = {(r.project, r.kind): (r.text, r.error) for r in docs.generate_with(wl, factory).collect()}
+    assert got[("p", "readme")] == ("# p readme: ctx", None)
+    assert got[("bad", "usage")][0] is None and "model down" in got[("bad", "usage")][1]
+
+
+def test_breadcrumbs(spark):
+    df = spark.createDataFrame([("a/b/c.py",), ("",), ("x",)], "p string")
+    got = [r[0] for r in df.select(exprs.breadcrumbs(F.col("p"))).collect()]
+    assert got == [["a", "a/b", "a/b/c.py"], [], ["x"]]
+    df2 = spark.createDataFrame([("/base/proj/a.py",), ("/other/b.py",)], "p string")
+    assert [r[0] for r in df2.select(exprs.relative_to(F.col("p"), "/base/proj")).collect()] == ["a.py", "/other/b.py"]

@@ -148,3 +148,16 @@ def normalize_keywords(arr: Column) -> Column:
 def json_string_array(text: Column) -> Column:
     """decode a JSON array of strings; bad or missing -> []."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def breadcrumbs(path: Column) -> Column:
+    """cumulative prefixes of a relative path: 'a/b/c' -> ['a', 'a/b', 'a/b/c']."""
+    parts = F.split(path, "/")
+    return F.when((path.isNull()) | (path == ""), F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+
+
+def relative_to(path: Column, root: str) -> Column:
+    """path relative to ``root`` (unchanged when outside it)."""
+    r = root.rstrip("/") + "/"
+    return F.when(path.startswith(r), F.substring(path, len(r) + 1, 1 << 30)).otherwise(path)

@@ -256,3 +256,33 @@ def write_docs(docs_df: DataFrame, root: str) -> None:
     kind partition so a re-run replaces only what it regenerated."""
     (docs_df.select("project", "kind", "text").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(root))
+
+
+GENERATED_SCHEMA = "project string, kind string, text string, error string"
+
+
+def generate_with(worklist: DataFrame, generator_factory) -> DataFrame:
+    """M8: run a pluggable generator over the work list inside the tasks.
+
+    ``worklist(project, kind, context)``; ``generator_factory()`` is called
+    once per Python worker and returns ``fn(project, kind, context) -> str``.
+    A failing item yields ``error`` instead of failing the job; replies are
+    cleaned (S7) on the way out.  METADATA replies go through
+    :func:`parse_metadata` next.
+    """
+    import pandas as pd
+
+    def run(batches):
+        gen = generator_factory()
+        for pdf in batches:
+            out = []
+            for project, kind, ctx in zip(pdf["project"], pdf["kind"], pdf["context"]):
+                try:
+                    out.append((project, kind, gen(project, kind, ctx), None))
+                except Exception as e:  # noqa: BLE001 -- per-item failure is data
+                    out.append((project, kind, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["project", "kind", "text", "error"])
+
+    raw = worklist.select("project", "kind", "context").mapInPandas(run, GENERATED_SCHEMA)
+    return raw.withColumn("text", F.when(F.col("kind") == "metadata", F.col("text"))
+                          .otherwise(clean_markdown(F.col("text"))))
