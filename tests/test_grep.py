@@ -64,3 +64,11 @@ def test_line_ranges(spark):
     got = sorted((r.request_id, r.line_no) for r in grep.line_ranges(lines, req, counts).collect())
     assert got == [(1, 2), (1, 3), (2, 4), (2, 5)]
     assert grep.parse_line_spec("3-7") == (3, 7) and grep.parse_line_spec("x") is None
+
+
+def test_lf_line_numbering(spark):
+    f = _files(spark, [("p", "a.py", "one\r\ntwo MATCH\rtail\nthree MATCH\n")])
+    uni = [(x.line_no, x.line) for x in grep.search(f, "MATCH", 0, None, newline="universal").collect()]
+    lf = [(x.line_no, x.line) for x in grep.search(f, "MATCH", 0, None, newline="lf").collect()]
+    assert sorted(uni) == [(2, "two MATCH"), (4, "three MATCH")]
+    assert sorted(lf) == [(2, "two MATCH"), (3, "three MATCH")]

@@ -116,9 +116,20 @@ def with_grep_language(df: DataFrame) -> DataFrame:
     return d.join(langs, d["_ext"] == langs["ext"], "left").drop("_ext", "ext").withColumnRenamed("glang", "language")
 
 
-def _normalized(files: DataFrame) -> DataFrame:
-    """(project, path, content_n): universal newlines mapped to '\n' once."""
-    return files.select("project", "path", F.regexp_replace(F.col("content"), "\r\n?", "\n").alias("content_n"))
+def _normalized(files: DataFrame, newline: str = "universal") -> DataFrame:
+    """(project, path, content_n) with line ends mapped to '\n' once.
+
+    ``universal``: '\r\n', '\r' and '\n' end lines (Python text mode).
+    ``lf``: only '\n' ends a line, as grep numbers them; a '\r' before it
+    is dropped and text after a lone '\r' is cut from the line, which is
+    what the reference's text-mode reading of grep output shows.
+    """
+    c = F.col("content")
+    if newline == "lf":
+        c = F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\r[^\n]*", "")
+    else:
+        c = F.regexp_replace(c, "\r\n?", "\n")
+    return files.select("project", "path", c.alias("content_n"))
 
 
 def _split_lines(norm: DataFrame) -> DataFrame:
@@ -131,9 +142,9 @@ def _split_lines(norm: DataFrame) -> DataFrame:
             .select("project", "path", (F.col("i") + 1).cast("int").alias("line_no"), "line"))
 
 
-def candidate_files(files: DataFrame, java_regex: str) -> DataFrame:
+def candidate_files(files: DataFrame, java_regex: str, newline: str = "universal") -> DataFrame:
     """Files whose normalised content matches somewhere (multi-line mode)."""
-    return _normalized(files).where(F.col("content_n").rlike("(?m)" + java_regex))
+    return _normalized(files, newline).where(F.col("content_n").rlike("(?m)" + java_regex))
 
 
 def candidate_lines(files: DataFrame, java_regex: str) -> DataFrame:
@@ -165,7 +176,7 @@ def _context_requests(matches: DataFrame, context: int, mode: str) -> DataFrame:
 
 
 def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None = 100, mode: str = "reference",
-           syntax: str = "bre", apply_exclude: bool = True) -> DataFrame:
+           syntax: str = "bre", apply_exclude: bool = True, newline: str = "universal") -> DataFrame:
     """Matching lines with ``before`` / ``after`` context arrays.
 
     ``mode='reference'``: matches closer than 2C+2 lines form one group; a
@@ -179,7 +190,7 @@ def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None =
         limit = min(limit, 500)
     context = min(max(context, 0), 5)
     gfiles = grep_files(files, apply_exclude)
-    cand = candidate_files(gfiles, rx)
+    cand = candidate_files(gfiles, rx, newline)
     lines = _split_lines(cand)
     matches = lines.where(F.col("line").rlike(rx))
     w = Window.partitionBy("project", "path").orderBy("line_no")
@@ -191,7 +202,7 @@ def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None =
     if limit is not None and limit * 2 * context <= MAX_BROADCAST_REQUESTS:
         # at most `limit` files hold the kept matches: only they are split again
         hit_files = F.broadcast(matches.select("project", "path").distinct())
-        ctx_lines = _split_lines(_normalized(gfiles.join(hit_files, ["project", "path"], "left_semi")))
+        ctx_lines = _split_lines(_normalized(gfiles.join(hit_files, ["project", "path"], "left_semi"), newline))
         lines_for_join = ctx_lines.select("project", "path", "line_no", F.col("line").alias("ctx"))
         joined = lines_for_join.join(F.broadcast(req), ["project", "path", "line_no"])
     else:
