@@ -14,9 +14,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     that is already wide is returned unchanged, so at scale no extra
     shuffle is added.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        spark = df.sparkSession
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a remote session): leave the plan as is
+        return df
+    if current < target:
         return df.repartition(target)
     return df
 
