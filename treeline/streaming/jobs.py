@@ -111,29 +111,39 @@ T2_STATE = "last_loc long, last_time timestamp_ntz, seen boolean"
 
 
 def _on_change(key, pdfs, state):
-    """applyInPandasWithState body: emit history rows for LOC changes."""
+    """applyInPandasWithState body: emit history rows for LOC changes.
+
+    Vectorised per project and micro-batch: rows are ordered by
+    (recorded_at, snapshot_id); a row is recorded when it is the project's
+    first or its LOC differs from the previous row (the state carries the
+    last row of earlier batches); rows older than the state are late.
+    """
     import pandas as pd
 
+    frames = [p for p in pdfs if len(p)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True).sort_values(["recorded_at", "snapshot_id"], kind="mergesort")
     if state.exists:
         last_loc, last_time, _ = state.get
     else:
         last_loc, last_time = None, None
-    frames = [p for p in pdfs]
-    pdf = pd.concat(frames) if frames else pd.DataFrame()
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["recorded_at", "snapshot_id"], kind="mergesort")
-    out = []
-    for row in pdf.itertuples(index=False):
-        if last_time is not None and row.recorded_at < last_time:
-            out.append((row.project_id, row.snapshot_id, row.recorded_at, row.lines_of_code, row.file_count, True))
-            continue
-        if last_time is None or row.lines_of_code != last_loc:
-            out.append((row.project_id, row.snapshot_id, row.recorded_at, row.lines_of_code, row.file_count, False))
-        last_loc, last_time = row.lines_of_code, row.recorded_at
-    state.update((int(last_loc) if last_loc is not None else None, last_time, True))
-    if out:
-        yield pd.DataFrame(out, columns=["project_id", "snapshot_id", "recorded_at", "lines_of_code", "file_count", "late"])
+    late = (pdf["recorded_at"] < pd.Timestamp(last_time)) if last_time is not None else pd.Series(False, index=pdf.index)
+    on_time = pdf[~late]
+    out = [pdf[late].assign(late=True)]
+    if len(on_time):
+        prev = on_time["lines_of_code"].shift(1)
+        if last_time is not None:
+            prev.iloc[0] = last_loc
+        keep = prev.isna() | (on_time["lines_of_code"] != prev)
+        if last_time is None:
+            keep.iloc[0] = True
+        out.append(on_time[keep].assign(late=False))
+        tail = on_time.iloc[-1]
+        state.update((int(tail["lines_of_code"]), tail["recorded_at"].to_pydatetime(), True))
+    res = pd.concat(out, ignore_index=True)
+    if len(res):
+        yield res[["project_id", "snapshot_id", "recorded_at", "lines_of_code", "file_count", "late"]]
 
 
 def stream_record_on_change(spark: SparkSession, snapshots: DataFrame, out_root: str | None = None) -> str:
