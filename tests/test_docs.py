@@ -138,3 +138,15 @@ def test_breadcrumbs(spark):
     assert got == [["a", "a/b", "a/b/c.py"], [], ["x"]]
     df2 = spark.createDataFrame([("/base/proj/a.py",), ("/other/b.py",)], "p string")
     assert [r[0] for r in df2.select(exprs.relative_to(F.col("p"), "/base/proj")).collect()] == ["a.py", "/other/b.py"]
+
+
+def test_export_docs(spark):
+    import os
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="docs-export-")
+    d = spark.createDataFrame([("p", "readme", "# p"), ("p", "metadata", "{}"), ("q", "usage", "u")],
+                              "project string, kind string, text string")
+    docs.export_docs(d, base)
+    assert sorted(os.listdir(os.path.join(base, "p"))) == ["METADATA.json", "README.md"]
+    assert open(os.path.join(base, "q", "USAGE.md")).read() == "u"

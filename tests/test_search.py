@@ -180,3 +180,9 @@ def test_knn_numpy_equals_sql(spark):
     a = sorted((r.query_id, r.id, r.rank, round(r.distance, 9)) for r in vectors.knn(vecs, q, 4, method="sql").collect())
     b = sorted((r.query_id, r.id, r.rank, round(r.distance, 9)) for r in vectors.knn(vecs, q, 4, method="numpy").collect())
     assert a == b
+
+
+def test_attach_keeps_known_hits(spark):
+    hits = spark.createDataFrame([(2, 1, 0.9), (7, 2, 0.5)], "id long, rank int, score double")
+    projects = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    assert [(r.id, r.name, r.rank) for r in search.attach(hits, projects).collect()] == [(2, "b", 1)]

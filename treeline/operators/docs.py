@@ -286,3 +286,29 @@ def generate_with(worklist: DataFrame, generator_factory) -> DataFrame:
     raw = worklist.select("project", "kind", "context").mapInPandas(run, GENERATED_SCHEMA)
     return raw.withColumn("text", F.when(F.col("kind") == "metadata", F.col("text"))
                           .otherwise(clean_markdown(F.col("text"))))
+
+
+def export_docs(docs_df: DataFrame, base_path: str) -> None:
+    """S11 optional export: write each document as ``<base>/<project>/<FILE>``
+    (README.md / METADATA.json / USAGE.md) from the executors with
+    ``foreachPartition``.  ``base_path`` must be a folder every executor can
+    write (a shared mount); each file is written to a temporary name and
+    renamed, so a retried task leaves whole files only."""
+    from treeline.functions import fixed
+
+    names = dict(fixed.DOC_FILE_NAMES)
+
+    def write(rows):
+        import os
+        import uuid
+
+        for r in rows:
+            folder = os.path.join(base_path, r["project"])
+            os.makedirs(folder, exist_ok=True)
+            target = os.path.join(folder, names.get(r["kind"], r["kind"]))
+            tmp = f"{target}.{uuid.uuid4().hex}.tmp"
+            with open(tmp, "w", encoding="utf-8") as fh:
+                fh.write(r["text"] or "")
+            os.replace(tmp, target)
+
+    docs_df.select("project", "kind", "text").foreachPartition(write)

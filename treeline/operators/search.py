@@ -57,3 +57,11 @@ def union_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 def known_ids(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     """Ids present in the catalog."""
     return ids.join(catalog.select("id"), "id", "left_semi")
+
+
+def attach(hits: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """Catalog rows for a limited hit list, hit order kept
+    (``rank`` or ``score`` columns stay on the hits).  The hit list is at
+    most a few hundred rows, so it is the broadcast side; ids no longer in
+    the catalog drop out."""
+    return rows.join(F.broadcast(hits), key)
