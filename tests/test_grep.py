@@ -72,3 +72,9 @@ def test_lf_line_numbering(spark):
     lf = [(x.line_no, x.line) for x in grep.search(f, "MATCH", 0, None, newline="lf").collect()]
     assert sorted(uni) == [(2, "two MATCH"), (4, "three MATCH")]
     assert sorted(lf) == [(2, "two MATCH"), (3, "three MATCH")]
+
+
+def test_context_line_with_colon_number(spark):
+    f = _files(spark, [("p", "we-12-ird.py", "x:12:y\nMATCH\nz\n")])
+    r = grep.search(f, "MATCH", 1, None).collect()
+    assert [(x.line_no, x.before, x.after) for x in r] == [(2, ["x:12:y"], ["z"])]

@@ -186,3 +186,13 @@ def test_attach_keeps_known_hits(spark):
     hits = spark.createDataFrame([(2, 1, 0.9), (7, 2, 0.5)], "id long, rank int, score double")
     projects = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     assert [(r.id, r.name, r.rank) for r in search.attach(hits, projects).collect()] == [(2, "b", 1)]
+
+
+def test_module_search_unknown_project_means_no_filter(spark):
+    from treeline.plans.vector_queries import search_modules
+
+    vecs = spark.createDataFrame([(1, [0.0, 0.0], 1, "module"), (2, [1.0, 0.0], 2, "module"), (3, [0.0, 0.1], 1, "project")],
+                                 "id long, embedding array<float>, project_id long, kind string")
+    q = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, query_vec array<float>")
+    assert [r.id for r in search_modules(vecs, q, 5).orderBy("rank").collect()] == [1, 2]
+    assert [r.id for r in search_modules(vecs, q, 5, project_id=2).collect()] == [2]

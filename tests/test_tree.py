@@ -110,3 +110,24 @@ def test_suffix_and_line_count_expressions(spark):
 def test_extension_map_size():
     assert len(fixed.LANGUAGE_EXTENSIONS) == 59
     assert len(fixed.PROJECT_MARKERS) == 17 and len(fixed.EXCLUDE_DIRS) == 15
+
+
+def test_listing_siblings_and_case(spark):
+    inv = spark.createDataFrame(
+        [("p", "src/a.py", 1, None, "python"), ("p", "src2/b.py", 1, None, "python"), ("p", "Zeta.md", 1, None, None),
+         ("p", "alpha.txt", 1, None, None), ("p", "src/deep/er/x.py", 1, None, "python")],
+        "project string, path string, size_bytes long, modified_at timestamp_ntz, language string")
+    listing = scan.directory_listings(inv)
+    root = [(r.name, r.is_directory) for r in scan.list_directory(listing, "p").collect()]
+    assert root == [("src", True), ("src2", True), ("alpha.txt", False), ("Zeta.md", False)]
+    sub = [r.path for r in scan.list_directory(listing, "p", "src/").collect()]
+    assert sub == ["src/deep", "src/a.py"]
+    assert [r.path for r in scan.list_directory(listing, "p", "src/deep/er").collect()] == ["src/deep/er/x.py"]
+
+
+def test_viewer_guard_on_tree(tree):
+    from treeline.operators import grep
+
+    _, files = tree
+    v = {r.path: (r.viewable, r.reason) for r in grep.viewable(files).where(F.col("project") == "alpha").collect()}
+    assert v["big.txt"] == (False, "File too large to display") and v["_x.py"] == (True, None)
