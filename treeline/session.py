@@ -84,9 +84,10 @@ def ship_package(spark: SparkSession) -> None:
     """Make the ``treeline`` package importable in executor Python workers
     (pandas UDFs, mapInPandas, stateful streaming, the repo_tree source).
 
-    The package is zipped once per SparkContext into the shared scratch
-    folder and added with ``addPyFile``; on a cluster deployed with
-    ``--py-files`` / a wheel this is a no-op in effect.
+    The package is zipped once per SparkContext into the (local) scratch
+    folder and added with ``addPyFile``.  When the shared folder is remote
+    storage we are on a cluster, where the package ships with the job
+    (``--py-files`` / a wheel), so nothing is done.
     """
     import zipfile
 
@@ -96,8 +97,9 @@ def ship_package(spark: SparkSession) -> None:
     pkg = os.path.dirname(os.path.abspath(__file__))
     target = scratch_path(spark, "pyfiles")
     local = target[len("file:"):] if target.startswith("file:") else target
-    if "://" in local:  # non-local shared storage: build locally, Spark ships it
-        local = tempfile.mkdtemp(prefix="treeline-pyfiles-")
+    if "://" in local:  # remote shared storage: a cluster deployment ships the package itself
+        _SHIPPED.add(id(sc))
+        return
     os.makedirs(local, exist_ok=True)
     zpath = os.path.join(local, "treeline.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
