@@ -36,3 +36,13 @@ def test_sample_keys_against_duckdb(spark):
         b = sorted(tuple(str(r[i]) for i in order) for r in cur.fetchall())
         assert sorted(df.columns) == sorted(cols), k
         assert len(a) == len(b), k
+
+
+def test_cleanup_scratch(spark):
+    from treeline.session import cleanup_scratch, materialize
+
+    df = materialize(spark.range(3))
+    assert df.count() == 3
+    assert cleanup_scratch(spark, older_than_seconds=1e9) == []       # nothing that old
+    gone = cleanup_scratch(spark, older_than_seconds=-60)             # everything this library made
+    assert any("/stage-" in g for g in gone)

@@ -110,3 +110,32 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("treeline", os.path.relpath(full, pkg)))
     sc.addPyFile(zpath)
     _SHIPPED.add(id(sc))
+
+
+# Prefixes of the scratch folders this library creates below the checkpoint folder.
+SCRATCH_PREFIXES = ("stage-", "catalog-", "t1-", "loc-history-stream-", "commit-dedup-stream-",
+                    "activity-stream-", "index-stream-", "bench-index-", "catalog-stream-")
+# (the shipped package zip, "pyfiles-", lives as long as its SparkContext)
+
+
+def cleanup_scratch(spark: SparkSession, older_than_seconds: float = 86400.0) -> list[str]:
+    """Delete scratch folders (materialised stages, stream sinks, catalog
+    copies made by registered queries) older than ``older_than_seconds``
+    below the shared checkpoint folder.  Spark's own RDD checkpoint
+    folders are left alone.  Returns the deleted paths."""
+    import time
+
+    root = ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    cutoff = (time.time() - older_than_seconds) * 1000
+    gone = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(SCRATCH_PREFIXES) and st.getModificationTime() < cutoff:
+            fs.delete(st.getPath(), True)
+            gone.append(st.getPath().toString())
+    return gone
