@@ -57,13 +57,16 @@ def _token_rows(docs: DataFrame, id_col: str, fields) -> DataFrame:
     dl = F.lit(0)
     for k in range(len(fields)):
         dl = dl + F.size(f"_t{k}")
+    # dl is computed *before* the generator: referenced next to posexplode it
+    # would keep the whole token array on every exploded row.
+    d = d.select("doc_id", dl.cast("long").alias("dl"), *[f"_t{k}" for k in range(len(fields))])
     if len(fields) == 1:
-        return (d.select("doc_id", dl.cast("long").alias("dl"), F.lit(0).alias("field"),
-                         F.posexplode("_t0").alias("pos", "token"))
+        return (d.select("doc_id", "dl", F.lit(0).alias("field"), F.posexplode("_t0").alias("pos", "token"))
                 .select("doc_id", "field", "pos", "token", "dl"))
     per = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"_t{k}").alias("t")) for k in range(len(fields))])
-    return (d.select("doc_id", dl.cast("long").alias("dl"), F.explode(per).alias("f"))
-            .select("doc_id", "dl", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "token"))
+    f = d.select("doc_id", "dl", F.explode(per).alias("f"))
+    f = f.select("doc_id", "dl", F.col("f.field").alias("field"), F.col("f.t").alias("t"))
+    return (f.select("doc_id", "dl", "field", F.posexplode("t").alias("pos", "token"))
             .select("doc_id", "field", "pos", "token", "dl"))
 
 
@@ -262,6 +265,10 @@ def fold_and_stem(token: str) -> str:
     return stem(folded)
 
 
+# Largest number of surface forms collected for the stems of one query.
+MAX_STEM_FORMS = 10000
+
+
 def stem_vocabulary(postings: DataFrame) -> DataFrame:
     """(token, stem) for the distinct tokens of the postings.
 
@@ -278,6 +285,16 @@ def stemmed_phrase_search(docs: DataFrame, query: str, limit: int = 20, id_col:
     q = [fold_and_stem(t) for t in query_tokens(query)]
     postings = build_postings(docs, id_col, fields)
     vocab = stem_vocabulary(postings).where(F.col("stem").isin(sorted(set(q))))
-    hits = postings.join(vocab, "token").select("doc_id", "field", "pos", F.col("stem").alias("token"), "dl")
+    # The surface forms of a few stems are few: bring them back (guarded) and
+    # filter postings with a plain IN list -- a join would let the optimizer
+    # copy the UDF predicate onto every posting.
+    forms = vocab.limit(MAX_STEM_FORMS + 1).collect()
+    if len(forms) <= MAX_STEM_FORMS:
+        mapping = F.create_map(*[x for r in forms for x in (F.lit(r["token"]), F.lit(r["stem"]))]) if forms else None
+        hits = postings.where(F.col("token").isin([r["token"] for r in forms])) if forms else postings.limit(0)
+        hits = hits.select("doc_id", "field", "pos",
+                           (mapping[F.col("token")] if forms else F.col("token")).alias("token"), "dl")
+    else:
+        hits = postings.join(vocab, "token").select("doc_id", "field", "pos", F.col("stem").alias("token"), "dl")
     stats = build_doc_stats(docs, id_col, fields)
     return bm25(phrase_tf(hits, q), corpus_stats(stats)).orderBy(F.desc("score"), F.asc("doc_id")).limit(limit)
