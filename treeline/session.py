@@ -54,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = sc.getCheckpointDir()
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="treeline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if not sc.getCheckpointDir():
@@ -77,31 +79,24 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make the ``treeline`` package importable in executor Python workers
     (pandas UDFs, mapInPandas, stateful streaming, the repo_tree source).
 
-    The package is zipped once per SparkContext into the (local) scratch
-    folder and added with ``addPyFile``.  When the shared folder is remote
-    storage we are on a cluster, where the package ships with the job
-    (``--py-files`` / a wheel), so nothing is done.
+    The package is zipped once per SparkContext into the driver's own temp
+    folder; ``addPyFile`` serves it to the executors from there, so no folder
+    has to be shared.
     """
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = scratch_path(spark, "pyfiles")
-    local = target[len("file:"):] if target.startswith("file:") else target
-    if "://" in local:  # remote shared storage: a cluster deployment ships the package itself
-        _SHIPPED.add(id(sc))
-        return
-    os.makedirs(local, exist_ok=True)
-    zpath = os.path.join(local, "treeline.zip")
+    zpath = os.path.join(tempfile.mkdtemp(prefix="treeline-package-"), "treeline.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             for f in files:
@@ -109,13 +104,12 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("treeline", os.path.relpath(full, pkg)))
     sc.addPyFile(zpath)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 # Prefixes of the scratch folders this library creates below the checkpoint folder.
 SCRATCH_PREFIXES = ("stage-", "catalog-", "t1-", "loc-history-stream-", "commit-dedup-stream-",
                     "activity-stream-", "index-stream-", "bench-index-", "catalog-stream-")
-# (the shipped package zip, "pyfiles-", lives as long as its SparkContext)
 
 
 def cleanup_scratch(spark: SparkSession, older_than_seconds: float = 86400.0) -> list[str]:
