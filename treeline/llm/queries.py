@@ -1,4 +1,11 @@
 """Imports every operator module, so that each registers its query."""
 
-from treeline.llm import op4_token_counts  # noqa: F401
+from treeline.llm import (  # noqa: F401
+    op1_toxicity,
+    op4_token_counts,
+    op5_line_dedup,
+    op6_simhash,
+    op9_url_rules,
+    op10_decontamination,
+)
 from treeline.llm.registry import ORACLE, QUERIES  # noqa: F401
