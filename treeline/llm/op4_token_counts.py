@@ -21,30 +21,27 @@ from treeline.llm.registry import register
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
+SAMPLE_CHARS = 10_000
 
 
 def frequent_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = 1000,
                      entries: int = 20_000) -> tuple[list[str], bytes]:
     """Pieces most frequent in ``sample_docs`` texts, with their token counts.
 
-    At most ``entries`` pieces of at most LONGEST characters: that bounds the
-    broadcast.  One task counts the bounded sample; any sample is right, as
-    the table is only a cache."""
-    def top(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(p for p in spaced_pieces(t) or () if len(p) <= LONGEST)
-        cache = PieceCache(load(tokenizer_path(vocabulary)), len, lambda p: " " + p)
-        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]
-        cache.learn(p for p in [p for p, _ in best])
-        kept = [p for p, _ in best if cache[p] < 256]
-        yield pa.RecordBatch.from_pydict({"piece": kept, "n": [cache[p] for p in kept]},
-                                         pa.schema([("piece", pa.string()), ("n", pa.int32())]))
-
-    rows = (docs.select("text").where("text is not null").limit(sample_docs).coalesce(1)
-            .mapInArrow(top, "piece string, n int").collect())
-    return [r.piece for r in rows], bytes(r.n for r in rows)
+    At most ``entries`` pieces of at most LONGEST characters bound the
+    broadcast; the sample's texts are read up to SAMPLE_CHARS characters,
+    which bounds what the driver sees.  Any sample is right, as the table is
+    only a cache: texts are always counted whole.
+    """
+    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text <> ''").take(sample_docs)
+    seen: Counter = Counter()
+    for r in sample:
+        seen.update(p for p in spaced_pieces(r.text) or () if len(p) <= LONGEST)
+    best = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]]
+    cache = PieceCache(load(tokenizer_path(vocabulary)), len, lambda p: " " + p)
+    cache.learn(set(best))
+    kept = [p for p in best if cache[p] < 256]
+    return kept, bytes(cache[p] for p in kept)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, text: str = "text",

@@ -10,7 +10,7 @@ results never depend on the fast path.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
@@ -66,20 +66,23 @@ class PieceCache(dict):
     def whole(self, text: str):
         return self.value(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
 
-    def learn(self, pieces: Iterable[str]) -> dict:
-        """Make every piece present; returns those too long to keep."""
-        missing = [p for p in pieces if p not in self]
+    def __missing__(self, piece: str):
+        """Pieces too long to keep."""
+        return self.whole(piece[1:] if piece[:1] == " " else self.surface(piece))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make every piece of at most LONGEST characters present."""
+        missing = [p for p in pieces if p not in self and len(p) <= LONGEST]
         if len(self) + len(missing) > self.most + len(self.frequent):
             self.clear()
             self.update(self.frequent)
-            missing = [p for p in pieces if p not in self]
+            missing = [p for p in pieces if p not in self and len(p) <= LONGEST]
         first = [p for p in missing if p[:1] == " "]
         rest = [p for p in missing if p[:1] != " "]
         for p in first:
             self[p] = self.whole(p[1:])
         for k in range(0, len(rest), 256):
             self._encode(rest[k:k + 256])
-        return self
 
     def _encode(self, pieces: list[str]) -> None:
         """Encode many pieces in one call; token offsets tell whose each id is."""
