@@ -6,6 +6,7 @@ from treeline.llm import (  # noqa: F401
     op4_token_counts,
     op5_line_dedup,
     op6_simhash,
+    op7_fingerprints,
     op9_url_rules,
     op10_decontamination,
 )
