@@ -7,6 +7,7 @@ from treeline.llm import (  # noqa: F401
     op5_line_dedup,
     op6_simhash,
     op7_fingerprints,
+    op8_pii,
     op9_url_rules,
     op10_decontamination,
 )
