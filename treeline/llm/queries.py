@@ -2,6 +2,7 @@
 
 from treeline.llm import (  # noqa: F401
     op1_toxicity,
+    op2_suffix_dedup,
     op3_packing,
     op4_token_counts,
     op5_line_dedup,
