@@ -54,14 +54,10 @@ def test_regex_specials_are_literal(spark):
 
 
 def test_line_ranges(spark):
-    from treeline.operators import scan
-
     f = _files(spark, [("p", "a.py", _lines(5, set()))]).withColumn("size_bytes", F.lit(1))
-    lines = scan.lines(f)
     req = spark.createDataFrame([(1, "p", "a.py", 2, 3), (2, "p", "a.py", 4, 99), (3, "p", "a.py", 3, 2)],
                                 "request_id long, project string, path string, line_from int, line_to int")
-    counts = spark.createDataFrame([("p", "a.py", 5)], "project string, path string, n_lines int")
-    got = sorted((r.request_id, r.line_no) for r in grep.line_ranges(lines, req, counts).collect())
+    got = sorted((r.request_id, r.line_no) for r in grep.line_ranges(f, req).collect())
     assert got == [(1, 2), (1, 3), (2, 4), (2, 5)]
     assert grep.parse_line_spec("3-7") == (3, 7) and grep.parse_line_spec("x") is None
 
@@ -78,3 +74,34 @@ def test_context_line_with_colon_number(spark):
     f = _files(spark, [("p", "we-12-ird.py", "x:12:y\nMATCH\nz\n")])
     r = grep.search(f, "MATCH", 1, None).collect()
     assert [(x.line_no, x.before, x.after) for x in r] == [(2, ["x:12:y"], ["z"])]
+
+
+def test_brackets_and_anchors(spark):
+    f = _files(spark, [("p", "a.py", "a.x\nb\\x\na&c\nend$\nfa\n")])
+
+    def hits(q):
+        return [x.line for x in grep.search(f, q, 0, None).collect()]
+    assert hits(r"[\.]x") == ["a.x", "b\\x"]
+    assert hits("a[a&&b]c") == ["a&c"]
+    assert hits(r"\(fa$\)") == ["fa"]
+    assert hits("[[]") == [] and hits("d[$]") == ["end$"]
+
+
+def test_limits_are_not_cut(spark):
+    f = _files(spark, [("p", "a.py", "MATCH\n" * 1200)])
+    assert grep.search(f, "MATCH", 7, 1000).count() == 1000
+    import pytest
+
+    for bad in ({"limit": 501}, {"context": 6}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            grep.check_request(**bad)
+
+
+def test_search_is_one_pass(spark):
+    path = "/root/testdata/sf0.001"
+    from treeline.plans.registry import REGISTRY, load_all
+
+    load_all()
+    for key in ("x8_deep_search", "w2_context"):
+        plan = REGISTRY[key](spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Window" not in plan and "SortMergeJoin" not in plan

@@ -104,3 +104,10 @@ MODULE_DOCUMENT_CHARS = 2000
 VECTOR_KEYWORDS = 20
 
 # --- end of fixed values ----------------------------------------------------
+
+# The largest limits that a served request may ask for.
+GREP_MAX_LIMIT = 500
+GREP_MAX_CONTEXT = 5
+LIST_MAX_LIMIT = 500
+HISTORY_MAX_LIMIT = 500
+SCAN_LOG_MAX_LIMIT = 100

@@ -1,33 +1,23 @@
 """In-file regex search with context.
 
-Plan for a search over the whole catalog:
-
-1. Files are filtered by name (P4 include globs), binaries dropped, and
-   pre-filtered on their whole content with the same regex (multi-line
-   mode) -- no shuffle, only candidate files are split into lines.
-2. Matching lines ``M`` get their previous / next match through a window
-   per file; only ``M`` (matching lines) crosses that shuffle.
-3. The requested matches (after the limit) expand into at most ``2C``
-   context requests each; a *bounded* request set (limit x 2C rows) is
-   broadcast and joined to the streamed lines, so the lines themselves
-   never shuffle.  Without a limit (W2 ``full`` mode over everything) the
-   requests are joined by a shuffled equi-join on (project, path, line_no),
-   which spreads a hot file's lines over all partitions.
+A search is one pass over the text: files are filtered by name (P4 include
+globs), binaries dropped, and each file's content is split into an array of
+lines once.  The positions of matching lines, the neighbouring matches and
+the context are all taken from that array inside the scan's own tasks, and
+the finished match rows are exploded.  No line is shuffled or joined; a limit
+is a top-k over match rows.  Work per row is bounded by one file.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import exprs, fixed
 from treeline.operators import scan
 
-# Broadcast the context requests only up to this many rows.
-MAX_BROADCAST_REQUESTS = 200_000
-
 _POSIX_CLASSES = {
     "[:alpha:]": r"\p{Alpha}", "[:digit:]": r"\d", "[:alnum:]": r"\p{Alnum}", "[:upper:]": r"\p{Upper}",
     "[:lower:]": r"\p{Lower}", "[:space:]": r"\s", "[:punct:]": r"\p{Punct}", "[:xdigit:]": r"\p{XDigit}",
@@ -35,6 +25,24 @@ _POSIX_CLASSES = {
 }
 
 
+def _bracket_body(body: str) -> str:
+    """Inside of a bracket expression: a backslash, ``[`` and ``&`` are
+    literal in POSIX but special in Java; POSIX classes are kept."""
+    out, i = ["^"] if body.startswith("^") else [], int(body.startswith("^"))
+    if body[i:i + 1] == "]":
+        out.append(r"\]")
+        i += 1
+    while i < len(body):
+        end = body.find(":]", i + 2) + 2 if body.startswith("[:", i) else 1
+        if end > 1 and body[i:end] in _POSIX_CLASSES:
+            out.append(_POSIX_CLASSES[body[i:end]])
+            i = end
+        else:
+            out.append("\\" + body[i] if body[i] in "\\[&^" else body[i])
+            i += 1
+    return "".join(out)
+
+
 def bre_to_java(q: str) -> str:
     """Translate a POSIX basic regular expression (GNU flavour) to Java.
 
@@ -73,11 +81,7 @@ def bre_to_java(q: str) -> str:
                     j = k + 2 if k >= 0 else j + 1
                 else:
                     j += 1
-            body = q[i + 1:j]
-            for k, v in _POSIX_CLASSES.items():
-                body = body.replace(k, v)
-            body = body.replace("[", r"\[") if "[:" not in body else body
-            out.append("[" + body + "]")
+            out.append("[" + _bracket_body(q[i + 1:j]) + "]")
             i = j + 1
             at_start = False
             continue
@@ -87,7 +91,7 @@ def bre_to_java(q: str) -> str:
             out.append(r"\*")
         elif c == "^" and not at_start:
             out.append(r"\^")
-        elif c == "$" and i != n - 1:
+        elif c == "$" and i != n - 1 and q[i + 1:i + 3] not in (r"\)", r"\|"):
             out.append(r"\$")
         else:
             out.append(c)
@@ -132,47 +136,39 @@ def _normalized(files: DataFrame, newline: str = "universal") -> DataFrame:
     return files.select("project", "path", c.alias("content_n"))
 
 
-def _split_lines(norm: DataFrame) -> DataFrame:
-    """Lines of normalised content (a trailing newline opens no line)."""
+def _with_lines(norm: DataFrame) -> DataFrame:
+    """project, path, lines: the lines of normalised content (a trailing newline opens no line)."""
     c = F.col("content_n")
     pieces = F.split(c, "\n", -1)
     pieces = F.when(c == "", F.array().cast("array<string>")).when(
         F.substring(c, -1, 1) == "\n", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    return (norm.select("project", "path", F.posexplode(pieces).alias("i", "line"))
-            .select("project", "path", (F.col("i") + 1).cast("int").alias("line_no"), "line"))
+    return norm.select("project", "path", pieces.alias("lines"))
 
 
-def candidate_files(files: DataFrame, java_regex: str, newline: str = "universal") -> DataFrame:
-    """Files whose normalised content matches somewhere (multi-line mode)."""
-    return _normalized(files, newline).where(F.col("content_n").rlike("(?m)" + java_regex))
+def _hits(lines: Column, java_regex: str) -> Column:
+    """Numbers (from 1) of the matching lines."""
+    n = F.transform(lines, lambda x, i: F.when(x.rlike(java_regex), i + 1))
+    return F.filter(n, lambda i: i.isNotNull())
 
 
-def candidate_lines(files: DataFrame, java_regex: str) -> DataFrame:
-    """Lines of files whose content matches somewhere (multi-line prefilter)."""
-    return _split_lines(candidate_files(files, java_regex))
+def file_hits(files: DataFrame, java_regex: str, newline: str = "universal") -> DataFrame:
+    """project, path, lines, hits of every file with a match; files that
+    match nowhere (multi-line mode) are dropped before they are split."""
+    norm = _normalized(files, newline).where(F.col("content_n").rlike("(?m)" + java_regex))
+    return _with_lines(norm).withColumn("hits", _hits(F.col("lines"), java_regex)).where(F.size("hits") > 0)
 
 
-def _context_requests(matches: DataFrame, context: int, mode: str) -> DataFrame:
-    """Context line numbers wanted by each match: (project, path, match_ln, side, line_no)."""
-    ln = F.col("line_no")
-    b_lo = F.greatest(ln - context, F.lit(1))
-    b_hi = ln - 1
-    a_hi = ln + context
-    want_before = F.lit(True)
+def _match(lines: Column, hits: Column, k: Column, context: int, mode: str) -> Column:
+    """The k-th hit (from 0) as a struct with its context lines."""
+    at, n = F.get(hits, k), F.size(lines)
+    first, last = F.greatest(at - context, F.lit(1)), F.least(at + context, n)
     if mode == "reference":
-        gap = 2 * context + 1
-        want_before = F.col("prev_ln").isNull() | (ln - F.col("prev_ln") > gap)
-        a_hi = F.when(F.col("next_ln").isNull(), a_hi).otherwise(F.least(a_hi, F.col("next_ln") - 1))
-    empty = F.array().cast("array<int>")
-    before = F.when(want_before & (b_hi >= b_lo), F.sequence(b_lo, b_hi)).otherwise(empty)
-    after = F.when(a_hi >= ln + 1, F.sequence(ln + 1, a_hi)).otherwise(empty)
-    req = matches.select(
-        "project", "path", F.col("line_no").alias("match_ln"),
-        F.explode(F.concat(
-            F.transform(before, lambda x: F.struct(F.lit("b").alias("side"), x.alias("line_no"))),
-            F.transform(after, lambda x: F.struct(F.lit("a").alias("side"), x.alias("line_no"))),
-        )).alias("r"))
-    return req.select("project", "path", "match_ln", F.col("r.side").alias("side"), F.col("r.line_no").alias("line_no"))
+        before, after = F.get(hits, k - 1), F.get(hits, k + 1)
+        last = F.when(after.isNull(), last).otherwise(F.least(last, after - 1))
+        first = F.when(before.isNull() | (at - before > 2 * context + 1), first).otherwise(at)
+    return F.struct(at.alias("line_no"), F.get(lines, at - 1).alias("line"),
+                    F.slice(lines, first, at - first).alias("before"),
+                    F.slice(lines, at + 1, F.greatest(last - at, F.lit(0))).alias("after"))
 
 
 def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None = 100, mode: str = "reference",
@@ -182,49 +178,42 @@ def search(files: DataFrame, pattern: str, context: int = 2, limit: int | None =
     ``mode='reference'``: matches closer than 2C+2 lines form one group; a
     later match in a group has no leading context and a match's trailing
     context stops before the next match.  ``mode='full'``: plain +-C window.
-    ``limit`` keeps the first matches by (project, path, line_no), exactly.
+    ``limit`` keeps the first matches by (project, path, line_no), exactly;
+    neither it nor ``context`` has a cap here (:func:`check_request` is for
+    callers that serve requests).
     Output: project, path, line_no, line, before, after, language.
     """
+    if context < 0 or (limit is not None and limit < 0):
+        raise ValueError("context and limit must not be negative")
     rx = bre_to_java(pattern) if syntax == "bre" else pattern
+    found = file_hits(grep_files(files, apply_exclude), rx, newline)
+    each = F.transform(F.sequence(F.lit(0), F.size("hits") - 1),
+                       lambda k: _match(F.col("lines"), F.col("hits"), k, context, mode))
+    out = found.select("project", "path", F.explode(each).alias("m")).select("project", "path", "m.*")
     if limit is not None:
-        limit = min(limit, 500)
-    context = min(max(context, 0), 5)
-    gfiles = grep_files(files, apply_exclude)
-    cand = candidate_files(gfiles, rx, newline)
-    lines = _split_lines(cand)
-    matches = lines.where(F.col("line").rlike(rx))
-    w = Window.partitionBy("project", "path").orderBy("line_no")
-    matches = (matches.withColumn("prev_ln", F.lag("line_no").over(w))
-               .withColumn("next_ln", F.lead("line_no").over(w)))
-    if limit is not None:
-        matches = matches.orderBy("project", "path", "line_no").limit(limit)
-    req = _context_requests(matches, context, mode)
-    if limit is not None and limit * 2 * context <= MAX_BROADCAST_REQUESTS:
-        # at most `limit` files hold the kept matches: only they are split again
-        hit_files = F.broadcast(matches.select("project", "path").distinct())
-        ctx_lines = _split_lines(_normalized(gfiles.join(hit_files, ["project", "path"], "left_semi"), newline))
-        lines_for_join = ctx_lines.select("project", "path", "line_no", F.col("line").alias("ctx"))
-        joined = lines_for_join.join(F.broadcast(req), ["project", "path", "line_no"])
-    else:
-        lines_for_join = lines.select("project", "path", "line_no", F.col("line").alias("ctx"))
-        joined = req.join(lines_for_join, ["project", "path", "line_no"])
-    ctx = (joined.groupBy("project", "path", "match_ln")
-           .agg(F.array_sort(F.collect_list(F.struct("side", "line_no", "ctx"))).alias("c")))
-    out = (matches.select("project", "path", "line_no", "line")
-           .join(ctx.withColumnRenamed("match_ln", "line_no"), ["project", "path", "line_no"], "left"))
-    c = F.coalesce(F.col("c"), F.array())
-    out = out.select(
-        "project", "path", "line_no", "line",
-        F.transform(F.filter(c, lambda x: x["side"] == "b"), lambda x: x["ctx"]).alias("before"),
-        F.transform(F.filter(c, lambda x: x["side"] == "a"), lambda x: x["ctx"]).alias("after"),
-    )
+        out = out.orderBy("project", "path", "line_no").limit(limit)
     return with_grep_language(out)
 
 
-def matches_by_file(results: DataFrame) -> DataFrame:
-    """Matches per file and the overall total."""
-    per = results.groupBy("project", "path").agg(F.count(F.lit(1)).alias("n_matches"))
-    total = results.agg(F.count(F.lit(1)).alias("total_matches"))
+def check_request(limit: int = 100, context: int = 2) -> None:
+    """The bounds of a search request; a request beyond them is refused, never cut."""
+    if not 0 < limit <= fixed.GREP_MAX_LIMIT:
+        raise ValueError(f"limit must be 1 to {fixed.GREP_MAX_LIMIT}")
+    if not 0 <= context <= fixed.GREP_MAX_CONTEXT:
+        raise ValueError(f"context must be 0 to {fixed.GREP_MAX_CONTEXT}")
+
+
+def match_counts(files: DataFrame, java_regex: str, newline: str = "universal") -> DataFrame:
+    """A13 input: project, path, n_matches, without building match rows."""
+    return file_hits(files, java_regex, newline).select("project", "path", F.size("hits").cast("long").alias("n_matches"))
+
+
+def matches_by_file(counts: DataFrame) -> DataFrame:
+    """Matches per file and the overall total.  ``counts``: project,
+    path, n_matches rows (several for one file add up); both results come
+    from the same small aggregate."""
+    per = counts.groupBy("project", "path").agg(F.sum("n_matches").alias("n_matches"))
+    total = per.agg(F.sum("n_matches").alias("total_matches"))
     return per.crossJoin(F.broadcast(total))
 
 
@@ -253,21 +242,19 @@ def parse_line_spec(spec: str | None) -> tuple[int, int] | None:
     return (a, b) if a <= b else None
 
 
-def line_ranges(lines: DataFrame, requests: DataFrame, line_counts: DataFrame | None = None) -> DataFrame:
+def line_ranges(files: DataFrame, requests: DataFrame) -> DataFrame:
     """Slices of many files at once.
 
-    ``requests(request_id, project, path, line_from, line_to)``; each
-    request expands into its line numbers and meets the lines by an exact
-    equi-join, so a long file is never paired with every request.
-    Requests with from > to or missing bounds select nothing.  With
-    ``line_counts(project, path, n_lines)`` the upper bound is first clamped
-    to the file's length so an open-ended range never explodes.
+    ``files(project, path, content)``, ``requests(request_id, project, path,
+    line_from, line_to)``.  Requests meet files by path and the slice is cut
+    out of the file's own line array, so no line is ever shuffled; an open
+    end stops at the file's length.  Requests with from > to, from < 1 or
+    missing bounds select nothing.
     """
-    if line_counts is not None:
-        requests = (requests.join(line_counts, ["project", "path"])
-                    .withColumn("line_to", F.least(F.col("line_to"), F.col("n_lines"))).drop("n_lines"))
-    r = requests.where(F.col("line_from").isNotNull() & F.col("line_to").isNotNull()
-                       & (F.col("line_from") <= F.col("line_to")) & (F.col("line_from") >= 1))
-    r = r.select("request_id", "project", "path",
-                 F.explode(F.sequence(F.col("line_from").cast("int"), F.col("line_to").cast("int"))).alias("line_no"))
-    return r.join(lines, ["project", "path", "line_no"])
+    r = requests.where((F.col("line_from") <= F.col("line_to")) & (F.col("line_from") >= 1))
+    j = _with_lines(_normalized(files)).join(r, ["project", "path"])
+    want = F.slice("lines", F.col("line_from").cast("int"),
+                   F.least(F.col("line_to"), F.size("lines")).cast("int") - F.col("line_from").cast("int") + 1)
+    j = j.where(F.col("line_from") <= F.size("lines"))
+    return j.select("request_id", "project", "path", "line_from", F.posexplode(want).alias("i", "line")).select(
+        "request_id", "project", "path", (F.col("line_from") + F.col("i")).cast("int").alias("line_no"), "line")

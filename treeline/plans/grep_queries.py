@@ -5,9 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeline.functions import exprs, fixed
-from treeline.operators import grep, scan
-from treeline.operators.common import spread
+from treeline.functions import fixed
+from treeline.operators import grep
 from treeline.plans.registry import register
 from treeline.plans.scan_queries import _EXCLUDED
 from treeline.plans.standins import TREE_SQL, file_tree
@@ -65,7 +64,7 @@ LEFT JOIN glang g ON g.gext = lower(regexp_extract(T.path, '^.*/?\\.*[^./][^/]*?
 
 
 def _files(spark, sf_dir):
-    return spread(file_tree(spark, sf_dir))
+    return file_tree(spark, sf_dir)
 
 
 def _flat(df):
@@ -77,6 +76,7 @@ def _flat(df):
 @register("x8_deep_search", "WITH " + _LINES_SQL + f""",
 T AS (SELECT * FROM M ORDER BY project, path, line_no LIMIT {LIMIT})""" + _ctx_sql("T", True))
 def x8_deep_search(spark, sf_dir):
+    grep.check_request(LIMIT, CONTEXT)
     return _flat(grep.search(_files(spark, sf_dir), PATTERN, CONTEXT, LIMIT, mode="reference"))
 
 
@@ -90,9 +90,7 @@ SELECT project, path, count(*)::BIGINT AS n_matches, (SELECT count(*) FROM M)::B
 FROM M GROUP BY project, path""")
 def a13_matches_by_file(spark, sf_dir):
     gfiles = grep.grep_files(_files(spark, sf_dir))
-    lines = grep.candidate_lines(gfiles, grep.bre_to_java(PATTERN))
-    m = lines.where(F.col("line").rlike(grep.bre_to_java(PATTERN)))
-    return grep.matches_by_file(m)
+    return grep.matches_by_file(grep.match_counts(gfiles, grep.bre_to_java(PATTERN)))
 
 
 @register("p13_viewable", "WITH " + TREE_SQL + """
@@ -120,16 +118,14 @@ req AS (
   SELECT doc_id AS request_id, project, path,
          (doc_id % 7 + 1)::INTEGER AS line_from,
          CASE WHEN doc_id % 30 = 0 THEN 0 ELSE (doc_id % 7 + 4)::INTEGER END AS line_to
-  FROM tree WHERE doc_id % 10 = 0)
+  FROM tree)
 SELECT r.request_id, r.project, r.path, L.line_no, L.line FROM req r JOIN L
   ON L.project = r.project AND L.path = r.path AND L.line_no BETWEEN r.line_from AND r.line_to""")
 def p14_line_range(spark, sf_dir):
     files = file_tree(spark, sf_dir)
-    lines = scan.lines(spread(files))
-    req = files.where(F.col("doc_id") % 10 == 0).select(F.col("doc_id").alias("request_id"), "project", "path")
+    req = files.select(F.col("doc_id").alias("request_id"), "project", "path")
     req = req.select("request_id", "project", "path",
                      (F.col("request_id") % 7 + 1).cast("int").alias("line_from"),
                      F.when(F.col("request_id") % 30 == 0, F.lit(0))
                      .otherwise(F.col("request_id") % 7 + 4).cast("int").alias("line_to"))
-    counts = files.select("project", "path", exprs.line_count(F.col("content")).cast("int").alias("n_lines"))
-    return grep.line_ranges(lines, req, counts).select("request_id", "project", "path", "line_no", "line")
+    return grep.line_ranges(files.where(~F.col("content").contains("\u0000")), req).select("request_id", "project", "path", "line_no", "line")
