@@ -53,8 +53,17 @@ def test_facets_and_totals(spark):
                                  "module_id long, project_id long, name string, path string, description string")
     t = browse.totals(p, mods, b).collect()[0]
     assert (t.projects, t.modules, t.keywords, t.total_loc, t.git_repos, t.with_readme) == (7, 20, 3, 250, 2, 1)
-    docs = {r.id: r for r in browse.project_documents(p, b, mods).collect()}
-    assert docs[1].keywords == ["api", "web"] and docs[1].n_modules == 20 and len(docs[1].module_names) == 15
-    assert docs[1].module_names[0] == "m0" and docs[2].n_modules == 0
+    docs = {r.id: r for r in browse.project_documents(p, b, mods, [1, 2]).collect()}
+    assert docs.keys() == {1, 2} and docs[1].keywords == ["api", "web"]
+    assert [m.name for m in docs[1].modules] == [f"m{i}" for i in range(20)] and docs[2].modules == []
+    kids = browse.project_children(p, b, mods)
+    assert kids.where("kind = 'module'").count() == 20 and kids.where("kind = 'keyword'").count() == 5
+    far = browse.browse(p, page=99).collect()
+    assert [(r.id, r.total) for r in far] == [(None, 7)]
+    import pytest
+
+    with pytest.raises(ValueError):
+        browse.list_projects(p, limit=501)
+    assert [r.name for r in browse.list_projects(p, bridge=b, keyword="WEB").collect()] == ["p01"]
     j = {(r.id, r.keyword) for r in browse.keyword_join(p, b).collect()}
     assert (1, "web") in j and len(j) == 5

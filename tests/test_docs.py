@@ -102,13 +102,22 @@ def test_doc_sink_and_report_expressions(spark):
     d = spark.createDataFrame([("p", "readme", "# p"), ("p", "usage", "use")], "project string, kind string, text string")
     docs.write_docs(d, root)
     assert sorted(r.kind for r in spark.read.parquet(root).collect()) == ["readme", "usage"]
+    docs.write_docs(spark.createDataFrame([("q", "readme", "# q"), ("r", "readme", "# r")], d.schema), root)
+    docs.write_docs(spark.createDataFrame([("q", "readme", "# new")], d.schema), root)
+    assert sorted((r.project, r.kind, r.text) for r in spark.read.parquet(root).collect()) == [
+        ("p", "readme", "# p"), ("p", "usage", "use"), ("q", "readme", "# new"), ("r", "readme", "# r")]
     df = spark.createDataFrame([(512, 0, 3, 4), (2048, 90, 1, 0), (5 * 1024 ** 3, 7200, 0, 0)],
                                "b long, age long, x long, n long")
     as_of = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
     ts = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("age"))
     got = df.select(exprs.size_text(F.col("b")), exprs.relative_age(ts, as_of), exprs.percent(F.col("x"), F.col("n"))).collect()
-    assert [tuple(r) for r in got] == [("512.0 B", "just now", 75.0), ("2.0 KB", "1 minute ago", 100.0),
+    assert [tuple(r) for r in got] == [("512 B", "just now", 75.0), ("2.0 KB", "1 minute ago", 100.0),
                                       ("5.0 GB", "2 hours ago", 0.0)]
+    ages = spark.createDataFrame([(45,), (1,), (None,), (8 * 86400,), (40 * 86400,), (800 * 86400,)], "age long")
+    ts = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("age"))
+    assert [r[0] for r in ages.select(exprs.relative_age(ts, as_of)).collect()] == [
+        "45 seconds ago", "1 second ago", "", "1 week ago", "1 month ago", "2 years ago"]
+    assert spark.range(1).select(exprs.size_text(F.lit(1020 * 1024))).first()[0] == "1020.0 KB"
 
 
 def test_reply_envelope(spark):

@@ -97,42 +97,36 @@ def github_url(name: Column) -> Column:
     return F.when(name.isNotNull(), F.concat(F.lit("https://github.com/"), name))
 
 
-def truncate(c: Column, n: int) -> Column:
-    """F8: first ``n`` characters."""
-    return F.substring(c, 1, n)
-
-
 def ellipsize(c: Column, n: int) -> Column:
     """F8 display form: longer than ``n`` -> first ``n-3`` + '...'."""
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
 
 
 def size_text(b: Column) -> Column:
-    """human size with one decimal, B / KB / MB / GB / TB."""
+    """human size: whole bytes, else one decimal of KB / MB / GB / TB."""
     x = b.cast("double")
-    return (F.when(x < 1024, F.concat(F.format_number(x, 1), F.lit(" B")))
-            .when(x < 1024 ** 2, F.concat(F.format_number(x / 1024, 1), F.lit(" KB")))
-            .when(x < 1024 ** 3, F.concat(F.format_number(x / 1024 ** 2, 1), F.lit(" MB")))
-            .when(x < 1024 ** 4, F.concat(F.format_number(x / 1024 ** 3, 1), F.lit(" GB")))
-            .otherwise(F.concat(F.format_number(x / 1024 ** 4, 1), F.lit(" TB"))))
+    out = F.when(x < 1024, F.concat(F.format_string("%.0f", x), F.lit(" B")))
+    for k, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = out.when(x < 1024 ** (k + 1), F.concat(F.format_string("%.1f", x / 1024 ** k), F.lit(" " + unit)))
+    return out.otherwise(F.concat(F.format_string("%.1f", x / 1024 ** 4), F.lit(" TB")))
+
+
+#: The names of time units and how many of each make the next.
+AGE_UNITS = (("second", 60), ("minute", 60), ("hour", 24), ("day", 7), ("week", 4.345), ("month", 12))
 
 
 def relative_age(ts: Column, as_of: Column) -> Column:
-    """'just now', 'N minutes ago', ... with an explicit reference time."""
-    secs = F.greatest(F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp")), F.lit(0))
-
-    def unit(n, word):
-        n = F.floor(n).cast("long")
-        return F.concat(n.cast("string"), F.lit(" " + word), F.when(n != 1, F.lit("s")).otherwise(F.lit("")), F.lit(" ago"))
-
-    return (F.when(ts.isNull(), F.lit("never"))
-            .when(secs < 60, F.lit("just now"))
-            .when(secs < 3600, unit(secs / 60, "minute"))
-            .when(secs < 86400, unit(secs / 3600, "hour"))
-            .when(secs < 7 * 86400, unit(secs / 86400, "day"))
-            .when(secs < 30.4375 * 86400, unit(secs / (7 * 86400), "week"))
-            .when(secs < 365.25 * 86400, unit(secs / (30.4375 * 86400), "month"))
-            .otherwise(unit(secs / (365.25 * 86400), "year")))
+    """'just now', '45 seconds ago', ..., '2 years ago' before an
+    explicit reference time; a later time is 'just now', null is ''."""
+    left = F.greatest(F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp")), F.lit(0)) / 1e6
+    out = F.when(ts.isNull(), F.lit(""))
+    for name, size in (*AGE_UNITS, ("year", None)):
+        n = F.floor(left).cast("long")
+        text = F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n != 1, F.lit("s")).otherwise(F.lit("")), F.lit(" ago"))
+        if size is None:
+            return out.otherwise(text)
+        out = out.when(left < size, F.when(n == 0, F.lit("just now")).otherwise(text))
+        left = left / size
 
 
 def percent(x: Column, n: Column) -> Column:

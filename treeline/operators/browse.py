@@ -13,9 +13,7 @@ every page is deterministic, and use ``offset/limit`` (TakeOrderedAndProject).
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import fixed
@@ -54,7 +52,8 @@ def browse(projects: DataFrame, bridge: DataFrame | None = None, language: str |
            keyword: str | None = None, sort: str = "name", page: int = 1,
            per_page: int = fixed.BROWSE_PAGE_SIZE) -> DataFrame:
     """O1: one page of the filtered, sorted catalog with ``total`` and
-    ``total_pages`` columns (unknown sort key -> name)."""
+    ``total_pages`` columns (unknown sort key -> name).  A page past the end
+    is one row of nulls with the totals."""
     q = filter_language(projects, language)
     if keyword and bridge is not None:
         q = filter_keyword(q, bridge, keyword)
@@ -63,13 +62,19 @@ def browse(projects: DataFrame, bridge: DataFrame | None = None, language: str |
     page_rows = q.orderBy(*order).offset(offset).limit(per_page)
     total = q.agg(F.count(F.lit(1)).alias("total")).withColumn(
         "total_pages", F.floor((F.col("total") + per_page - 1) / per_page).cast("long"))
-    return page_rows.crossJoin(F.broadcast(total))
+    # the totals come first: a page past the end has no rows, but still its totals
+    return total.join(F.broadcast(page_rows), F.lit(True), "left").select(*projects.columns, "total", "total_pages")
 
 
-def list_projects(projects: DataFrame, limit: int = 50, offset: int = 0, language: str | None = None) -> DataFrame:
-    """O2: API list by name with limit (<= 500) and offset."""
-    limit = min(limit, 500)
-    return filter_language(projects, language).orderBy(F.asc("name"), F.asc("id")).offset(offset).limit(limit)
+def list_projects(projects: DataFrame, limit: int = 50, offset: int = 0, language: str | None = None,
+                  bridge: DataFrame | None = None, keyword: str | None = None) -> DataFrame:
+    """O2: API list by name with limit and offset, filtered by language and keyword."""
+    if not 0 < limit <= fixed.LIST_MAX_LIMIT:
+        raise ValueError(f"limit must be 1 to {fixed.LIST_MAX_LIMIT}")
+    q = filter_language(projects, language)
+    if keyword and bridge is not None:
+        q = filter_keyword(q, bridge, keyword)
+    return q.orderBy(F.asc("name"), F.asc("id")).offset(offset).limit(limit)
 
 
 def keyword_facet(bridge: DataFrame) -> DataFrame:
@@ -115,11 +120,9 @@ def like_search(projects: DataFrame, q: str, limit: int = 20) -> DataFrame:
 
 
 def keyword_join(projects: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Projects x bridge x keywords (inner)."""
-    kw = bridge.select("keyword").distinct().withColumn("keyword_id", F.xxhash64("keyword"))
-    return (projects.select("id", "name")
-            .join(bridge.withColumnRenamed("project_id", "id"), "id")
-            .join(kw, "keyword"))
+    """Projects x bridge x keywords (inner); a keyword's id is its hash, so the join never groups by keyword."""
+    return (projects.select("id", "name").join(bridge.withColumnRenamed("project_id", "id"), "id")
+            .withColumn("keyword_id", F.xxhash64("keyword")))
 
 
 def totals(projects: DataFrame, modules: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -145,36 +148,36 @@ def scan_summary(projects: DataFrame) -> DataFrame:
     )
 
 
-def project_documents(projects: DataFrame, bridge: DataFrame, modules: DataFrame,
-                      max_modules: int = 15) -> DataFrame:
-    """Project rows with their keywords (sorted) and their first
-    ``max_modules`` modules by path, plus the module count and GitHub URL.
-
-    Children are reduced per project *before* the join: keywords are a
-    bounded vocabulary, modules are cut to a top-N per project by a window
-    whose partial limit runs before the shuffle.
-    """
-    kws = bridge.groupBy("project_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
-    w = Window.partitionBy("project_id").orderBy(F.asc("path"), F.asc("module_id"))
-    counts = modules.groupBy("project_id").agg(F.count(F.lit(1)).alias("module_count"))
-    top = (modules.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_modules)
-           .groupBy("project_id")
-           .agg(F.array_sort(F.collect_list(F.struct("rn", "name", "path"))).alias("mods")))
-    out = (projects.join(kws.withColumnRenamed("project_id", "id"), "id", "left")
-           .join(counts.withColumnRenamed("project_id", "id"), "id", "left")
-           .join(top.withColumnRenamed("project_id", "id"), "id", "left"))
-    from treeline.functions.exprs import github_url
-    return out.select(
-        "*",
-        F.coalesce("module_count", F.lit(0)).alias("n_modules"),
-        F.transform(F.coalesce("mods", F.array()), lambda m: m["name"]).alias("module_names"),
-        github_url(F.col("github_name")).alias("github_url") if "github_name" in projects.columns else F.lit(None).cast("string").alias("github_url"),
-    ).drop("mods", "module_count")
+PROJECT_FIELDS = ("path", "short_description", "long_description", "primary_language", "languages", "frameworks",
+                  "is_git_repo", "github_name", "git_remote_url", "default_branch", "last_commit_at", "file_count", "lines_of_code")
+
 
+def project_children(projects: DataFrame, bridge: DataFrame, modules: DataFrame) -> DataFrame:
+    """All keywords and all modules of every project as rows (id, kind,
+    child_id, name, path, description); nothing is cut or collected."""
+    ids = projects.select("id")
+    kw = bridge.select(F.col("project_id").alias("id"), F.lit("keyword").alias("kind"), F.lit(None).cast("long").alias("child_id"),
+                       F.col("keyword").alias("name"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("description"))
+    mods = modules.select(F.col("project_id").alias("id"), F.lit("module").alias("kind"), F.col("module_id").cast("long").alias("child_id"),
+                          "name", "path", "description")
+    return kw.unionByName(mods).join(ids, "id", "left_semi")
 
-def total_pages(total: int, per_page: int) -> int:
-    return max(math.ceil(total / per_page), 0)
 
+def project_documents(projects: DataFrame, bridge: DataFrame, modules: DataFrame, ids: list[int]) -> DataFrame:
+    """J11 response: the complete documents of the asked projects (a request
+    names them), keywords sorted, every module with path and description
+    ordered by path; PROJECT_FIELDS that the catalog lacks are null."""
+    from treeline.functions.exprs import github_url
 
-def desc_nulls_last(c: str) -> Column:
-    return F.desc_nulls_last(c)
+    some = projects.where(F.col("id").isin(list(ids)))
+    child = project_children(some, bridge, modules)
+    kws = child.where("kind = 'keyword'").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("keywords"))
+    mods = child.where("kind = 'module'").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("path", "child_id", "name", "description"))).alias("modules"))
+    have = set(projects.columns)
+    out = some.join(kws, "id", "left").join(mods, "id", "left")
+    fields = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in PROJECT_FIELDS]
+    url = github_url(F.col("github_name")) if "github_name" in have else F.lit(None).cast("string")
+    return out.select("id", "name", *fields, url.alias("github_url"),
+                      F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+                      F.transform(F.coalesce("modules", F.array()), lambda m: F.struct(m["name"], m["path"], m["description"])).alias("modules"))

@@ -149,19 +149,17 @@ def full_scan(catalog: DataFrame, disk: DataFrame, scan_rows: DataFrame, as_of,
 
 
 def scan_log_row(result: dict[str, DataFrame], scan_type: str, started_at, completed_at,
-                 triggered_by: str = "scheduler", errors: DataFrame | None = None, max_errors: int = 10) -> DataFrame:
+                 triggered_by: str = "scheduler", errors: DataFrame | None = None) -> DataFrame:
     """The log row of one scan, counted from the scan's own outputs
     (``incremental_scan`` result): projects found = changed folders,
-    projects scanned = rows written, errors = first ``max_errors`` messages
-    of ``errors(error)`` plus their full count."""
+    projects scanned = rows written, error_count = rows of ``errors``.  The
+    errors themselves are stored as rows, all of them."""
     spark = result["changed"].sparkSession
     found = result["changed"].agg(F.count(F.lit(1)).alias("projects_found"))
     scanned = result["scanned"].agg(F.count(F.lit(1)).alias("projects_scanned"))
     errs = errors if errors is not None else spark.createDataFrame([], "error string")
-    # first messages via a limit (top-k, never the whole error list) + full count
-    e = (errs.orderBy("error").limit(max_errors).agg(F.array_sort(F.collect_list("error")).alias("errors"))
-         .crossJoin(errs.agg(F.count(F.lit(1)).alias("error_count"))))
+    e = errs.agg(F.count(F.lit(1)).alias("error_count"))
     return (found.crossJoin(scanned).crossJoin(e)
             .select(F.lit(scan_type).alias("scan_type"), F.lit(started_at).cast("timestamp_ntz").alias("started_at"),
                     F.lit(completed_at).cast("timestamp_ntz").alias("completed_at"), "projects_found",
-                    "projects_scanned", "error_count", "errors", F.lit(triggered_by).alias("triggered_by")))
+                    "projects_scanned", "error_count", F.lit(triggered_by).alias("triggered_by")))

@@ -6,25 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a narrow input over the cluster before CPU-heavy text work.
-
-    Only acts when the scan yields fewer partitions than the cluster has
-    task slots (one large Parquet row group, a handful of files).  A scan
-    that is already wide is returned unchanged, so at scale no extra
-    shuffle is added.
-    """
-    try:
-        spark = df.sparkSession
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a remote session): leave the plan as is
-        return df
-    if current < target:
-        return df.repartition(target)
-    return df
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed lookup table (tens of rows) for broadcast joins."""
     return spark.createDataFrame(rows, schema)
@@ -40,12 +21,3 @@ def glob_to_regex(pattern: str) -> str:
     return rx
 
 
-def any_of(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out | c
-    return out
-
-
-def r6(c: Column) -> Column:
-    return F.round(c, 6)

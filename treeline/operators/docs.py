@@ -34,15 +34,18 @@ def readme_priority_table(spark) -> DataFrame:
 def pick_readme(files: DataFrame) -> DataFrame:
     """Per project the root-level README with the best name priority.
 
-    ``files(project, path, name, content)``; ties on the same name (which a
-    real folder cannot hold) fall to the smaller path.
+    ``files(project, path, name, content)``; rows with the same path (which a
+    real folder cannot hold) fall to the smaller digest of the content.
     Output: project, readme_name, readme.
     """
     pr = F.broadcast(readme_priority_table(files.sparkSession))
     root = files.where(~F.col("path").contains("/"))
     c = root.join(pr, "name")
-    best = c.groupBy("project").agg(F.min(F.struct("prio", "path", "name", "content")).alias("b"))
-    return best.select("project", F.col("b.name").alias("readme_name"), F.col("b.content").alias("readme"))
+    # chosen on slim columns; only the chosen file's text is read and moved
+    best = c.groupBy("project").agg(F.min(F.struct("prio", "path", "name", F.md5("content").alias("md5"))).alias("b"))
+    best = best.select("project", "b.path", F.col("b.name").alias("readme_name"), "b.md5")
+    text = root.select("project", "path", F.md5("content").alias("md5"), "content").join(best, ["project", "path", "md5"])
+    return text.dropDuplicates(["project", "path", "md5"]).select("project", "readme_name", F.col("content").alias("readme"))
 
 
 # -------------------------------------------------------------- metadata
@@ -214,15 +217,33 @@ def generation_summary(results: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- modules
 
+def dedup_keyword_rows(rows: DataFrame) -> DataFrame:
+    """``project_id, keywords`` from rows (project_id, keyword, pos):
+    lower-cased and trimmed, empties dropped, ordered by first position.
+    Repeats are reduced to their first position before anything is
+    collected, so an array holds a project's distinct keywords only."""
+    k = rows.select("project_id", F.trim(F.lower("keyword")).alias("keyword"), "pos").where("keyword <> ''")
+    first = k.groupBy("project_id", "keyword").agg(F.min("pos").alias("pos"))
+    return first.groupBy("project_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+
+
+def dedup_module_rows(entries: DataFrame, project_col: str = "project") -> DataFrame:
+    """Module entries (project, pos, name, path, description), one row
+    each -- those with name and path, the smallest ``pos`` per path kept.
+    Positions are reduced before any text moves; nothing is collected."""
+    m = entries.where(F.col("name").isNotNull() & F.col("path").isNotNull())
+    first = m.groupBy(project_col, "path").agg(F.min("pos").alias("pos"))
+    return m.join(first, [project_col, "path", "pos"], "left_semi").select(
+        project_col, "path", "pos", "name", F.coalesce("description", F.lit("")).alias("description"))
+
+
 def dedup_modules(meta: DataFrame, project_col: str = "project") -> DataFrame:
-    """Modules of a metadata record -- entries with name and path,
-    first occurrence per path kept.  ``modules_json`` is a JSON array."""
+    """Modules of a metadata record, as in :func:`dedup_module_rows`;
+    ``modules_json`` is a JSON array."""
     arr = F.from_json(F.col("modules_json"), "array<struct<name:string,path:string,description:string>>")
     m = meta.select(project_col, F.posexplode(F.coalesce(arr, F.array())).alias("pos", "m"))
-    m = m.where(F.col("m.name").isNotNull() & F.col("m.path").isNotNull())
-    best = m.groupBy(project_col, F.col("m.path").alias("path")).agg(F.min(F.struct("pos", "m")).alias("b"))
-    return best.select(project_col, "path", F.col("b.pos").alias("pos"), F.col("b.m.name").alias("name"),
-                       F.coalesce(F.col("b.m.description"), F.lit("")).alias("description"))
+    return dedup_module_rows(m.select(project_col, "pos", "m.*"), project_col)
 
 
 def merge_metadata(projects: DataFrame, meta: DataFrame, languages: DataFrame) -> DataFrame:
@@ -250,12 +271,28 @@ def merge_metadata(projects: DataFrame, meta: DataFrame, languages: DataFrame) -
     )
 
 
+#: Buckets of projects that each kind's documents are stored in.
+DOC_BUCKETS = 64
+
+
 def write_docs(docs_df: DataFrame, root: str) -> None:
     """Generated documents as a table ``docs(project, kind, text)``
-    partitioned by kind (README / METADATA / USAGE), one overwrite per
-    kind partition so a re-run replaces only what it regenerated."""
-    (docs_df.select("project", "kind", "text").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(root))
+    partitioned by kind and project bucket.  A re-run replaces the (project,
+    kind) pairs it regenerated and keeps all others: only the touched
+    buckets are rewritten, merged with what they held."""
+    from treeline.session import materialize, path_exists
+
+    spark = docs_df.sparkSession
+    bucket = F.pmod(F.xxhash64("project"), F.lit(DOC_BUCKETS)).cast("int")
+    new = materialize(docs_df.select("project", "kind", "text").withColumn("bucket", bucket), "stage")
+    if path_exists(spark, root):
+        old = spark.read.parquet(root).select("project", "kind", "text", "bucket")
+        touched = new.select("kind", "bucket").distinct()
+        kept = (old.join(touched, ["kind", "bucket"], "left_semi")
+                .join(new.select("project", "kind"), ["project", "kind"], "left_anti"))
+        new = materialize(new.unionByName(kept), "stage")
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("kind", "bucket").parquet(root))
 
 
 GENERATED_SCHEMA = "project string, kind string, text string, error string"

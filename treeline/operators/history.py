@@ -50,39 +50,39 @@ def recent_commits(commits: DataFrame, n: int = fixed.RECENT_COMMITS) -> DataFra
 
 
 def loc_history(history: DataFrame, project_id, limit: int = 100, project_col: str = "project_id") -> DataFrame:
-    """Newest ``limit`` (<= 500) history rows of one project."""
-    limit = min(limit, 500)
+    """Newest ``limit`` history rows of one project."""
+    if not 0 < limit <= fixed.HISTORY_MAX_LIMIT:
+        raise ValueError(f"limit must be 1 to {fixed.HISTORY_MAX_LIMIT}")
     return (history.where(F.col(project_col) == project_id)
             .orderBy(F.desc("recorded_at"), F.desc("snapshot_id")).limit(limit))
 
 
-def scan_logs(runs: DataFrame, max_errors: int = 10) -> DataFrame:
+def scan_logs(runs: DataFrame) -> DataFrame:
     """One log row per scan run.
 
     ``runs(run_id, started_at, completed_at, project, ok, error)`` holds one
-    row per project visited by a run.  Counts come from the rows
-    themselves; the stored error list keeps the first ``max_errors``
-    messages (by text) next to the full count, so a run with millions of
-    failures never builds one huge array.
+    row per project visited by a run.  The messages are rows of their own
+    (:func:`scan_errors`), all of them, so no run builds a huge array.
     """
-    agg = runs.groupBy("run_id").agg(
+    return runs.groupBy("run_id").agg(
         F.min("started_at").alias("started_at"),
         F.max("completed_at").alias("completed_at"),
         F.countDistinct("project").alias("projects_found"),
         F.count_if(F.col("ok")).alias("projects_scanned"),
         F.count_if(~F.col("ok")).alias("error_count"),
     )
-    w = Window.partitionBy("run_id").orderBy("error")
-    errs = (runs.where(~F.col("ok")).select("run_id", "error")
-            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_errors)
-            .groupBy("run_id").agg(F.array_sort(F.collect_list("error")).alias("errors")))
-    out = agg.join(errs, "run_id", "left")
-    return out.withColumn("errors", F.coalesce(F.col("errors"), F.array().cast("array<string>")))
+
+
+def scan_errors(runs: DataFrame) -> DataFrame:
+    """Every error of every run, as rows (run_id, project, error)."""
+    return runs.where(~F.col("ok")).select("run_id", "project", "error")
 
 
 def newest_scan_logs(logs: DataFrame, n: int = 20) -> DataFrame:
-    """Newest ``n`` (<= 100) scan logs."""
-    return logs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(min(n, 100))
+    """Newest ``n`` scan logs."""
+    if not 0 < n <= fixed.SCAN_LOG_MAX_LIMIT:
+        raise ValueError(f"n must be 1 to {fixed.SCAN_LOG_MAX_LIMIT}")
+    return logs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
 
 
 def append_on_change(history: DataFrame, current: DataFrame, as_of, project_col: str = "project_id") -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeline.functions import exprs
 from treeline.io import table
 from treeline.operators import browse
+from treeline.operators.docs import dedup_keyword_rows
 from treeline.plans.registry import register
 from treeline.plans.standins import (BRIDGE_SQL, MODULES_SQL, PROJECTS_SQL, keyword_bridge, modules,
                                      projects)
@@ -115,17 +115,27 @@ def j1_keyword_join(spark, sf_dir):
 
 
 @register("j11_project_doc", W + """,
-kws AS (SELECT project_id, string_agg(keyword, ',' ORDER BY keyword) AS keywords FROM bridge GROUP BY 1),
-cnt AS (SELECT project_id, count(*)::BIGINT AS n FROM mods GROUP BY 1),
-rk AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, module_id) AS rn FROM mods),
-top AS (SELECT project_id, string_agg(name, ',' ORDER BY rn) AS names FROM rk WHERE rn <= 15 GROUP BY 1)
-SELECT p.id, p.name, kws.keywords, coalesce(cnt.n, 0)::BIGINT AS n_modules, coalesce(top.names, '') AS module_names
-FROM proj p LEFT JOIN kws ON p.id = kws.project_id LEFT JOIN cnt ON p.id = cnt.project_id
-LEFT JOIN top ON p.id = top.project_id""")
+child AS (SELECT project_id AS id, 'keyword' AS kind, NULL::BIGINT AS child_id, keyword AS name, NULL::VARCHAR AS path,
+                 NULL::VARCHAR AS description FROM bridge
+          UNION ALL SELECT project_id, 'module', module_id, name, path, description FROM mods)
+SELECT * FROM child WHERE id IN (SELECT id FROM proj)""")
 def j11_project_doc(spark, sf_dir):
-    r = browse.project_documents(projects(spark, sf_dir), keyword_bridge(spark, sf_dir), modules(spark, sf_dir))
-    return r.select("id", "name", F.array_join("keywords", ",").alias("keywords"), "n_modules",
-                    F.array_join("module_names", ",").alias("module_names"))
+    return browse.project_children(projects(spark, sf_dir), keyword_bridge(spark, sf_dir), modules(spark, sf_dir))
+
+
+@register("o2_list_keyword", W + """
+SELECT id, name FROM proj WHERE id IN (SELECT project_id FROM bridge WHERE keyword = 'brand#13')
+ORDER BY name, id LIMIT 100""")
+def o2_list_keyword(spark, sf_dir):
+    return browse.list_projects(projects(spark, sf_dir), limit=100, bridge=keyword_bridge(spark, sf_dir),
+                                keyword="Brand#13").select("id", "name")
+
+
+@register("o1_browse_past_end", W + """,
+t AS (SELECT count(*)::BIGINT AS total, ((count(*) + 49) // 50)::BIGINT AS total_pages FROM proj)
+SELECT NULL::BIGINT AS id, total, total_pages FROM t""")
+def o1_browse_past_end(spark, sf_dir):
+    return browse.browse(projects(spark, sf_dir), page=10_000_000).select("id", "total", "total_pages")
 
 
 @register("a12_keyword_dedup", """
@@ -144,7 +154,6 @@ def a12_keyword_dedup(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     raw = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), F.upper("p_type"), F.lit(" "))).otherwise(F.col("p_type"))
-    per = j.groupBy(F.col("o_custkey").alias("project_id")).agg(
-        F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", raw.alias("k")))).alias("s"))
-    kw = exprs.normalize_keywords(F.transform("s", lambda x: x["k"]))
-    return per.select("project_id", F.array_join(kw, ",").alias("keywords"))
+    rows = j.select(F.col("o_custkey").alias("project_id"), raw.alias("keyword"),
+                    F.struct("l_orderkey", "l_linenumber", raw.alias("k")).alias("pos"))
+    return dedup_keyword_rows(rows).select("project_id", F.array_join("keywords", ",").alias("keywords"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from treeline.io import table
 from treeline.operators import catalog as cat
 from treeline.plans.registry import register
 from treeline.plans.standins import CATALOG_SQL, MODULES_SQL, catalog_before, disk_after, modules
@@ -75,17 +76,15 @@ def m1_upsert(spark, sf_dir):
 
 
 @register("m2_replace_children", W + ",\n" + MODULES_SQL + """,
-scanned AS (SELECT id FROM before WHERE id % 2 = 0),
+scanned AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0),
 newm AS (SELECT module_id, project_id, name || '-v2' AS name, path, description FROM mods
          WHERE project_id IN (SELECT id FROM scanned))
 SELECT module_id, project_id, name FROM mods
-WHERE project_id IN (SELECT id FROM before) AND project_id NOT IN (SELECT id FROM scanned)
+WHERE project_id NOT IN (SELECT id FROM scanned)
 UNION ALL SELECT module_id, project_id, name FROM newm""")
 def m2_replace_children(spark, sf_dir):
-    c = catalog_before(spark, sf_dir)
-    m = modules(spark, sf_dir)
-    old = m.join(c.select(F.col("id").alias("project_id")), "project_id", "left_semi")
-    scanned = c.where(F.col("id") % 2 == 0).select("id")
+    old = m = modules(spark, sf_dir)
+    scanned = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).where("id % 2 = 0")
     new = (m.join(scanned.select(F.col("id").alias("project_id")), "project_id", "left_semi")
            .withColumn("name", F.concat(F.col("name"), F.lit("-v2"))))
     return cat.replace_children(old, new, scanned).select("module_id", "project_id", "name")

@@ -5,8 +5,8 @@ Bindings (same recipe on both sides):
 * doc files: one root-level file per document of project ``source``; the
   name is a README candidate (doc_id % 7 = 1, project number % 4 <> 0),
   METADATA.json (doc_id % 11 = 2, number % 3 <> 0), USAGE.md (doc_id % 13
-  = 3, number % 5 <> 0) or ``doc<id>.txt``; projects whose number % 6 = 1
-  carry 40-character texts (too short for a README).
+  = 3, number % 5 <> 0) or ``doc<id>.txt``; READMEs of projects whose
+  number % 6 = 1 hold only a short heading (too short for a README).
 * metadata replies: ``events`` rows turned into JSON objects, wrapped in
   prose every 3rd row, broken every 10th.
 * text replies: assistant turns of ``conversations`` wrapped in fences or
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from treeline.functions import exprs, fixed
 from treeline.io import table
 from treeline.operators import docs
-from treeline.operators.common import spread
 from treeline.plans.registry import register
 from treeline.sources import manifests
 
@@ -33,12 +32,12 @@ DOCFILES_SQL = f"""docfiles AS (
                 WHEN doc_id % 11 = 2 AND pn % 3 <> 0 THEN 'METADATA.json'
                 WHEN doc_id % 13 = 3 AND pn % 5 <> 0 THEN 'USAGE.md'
                 ELSE 'doc' || doc_id::VARCHAR || '.txt' END AS name,
-           CASE WHEN pn % 6 = 1 THEN substr(text, 1, 40) ELSE text END AS content
+           CASE WHEN pn % 6 = 1 AND doc_id % 7 = 1 AND pn % 4 <> 0 THEN '  # ' || source || ' ' || doc_id::VARCHAR || chr(10) ELSE text END AS content
     FROM (SELECT *, regexp_extract(source, '([0-9]+)', 1)::INTEGER AS pn FROM documents))),
 prio AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {i})" for i, n in enumerate(fixed.README_NAMES))}) AS p(pname, prio)),
 readme AS (
   SELECT project, name AS readme_name, content AS readme FROM (
-    SELECT d.*, row_number() OVER (PARTITION BY project ORDER BY p.prio, d.path, d.content) AS rn
+    SELECT d.*, row_number() OVER (PARTITION BY project ORDER BY p.prio, d.path, md5(d.content)) AS rn
     FROM docfiles d JOIN prio p ON d.name = p.pname) WHERE rn = 1),
 state AS (
   SELECT project,
@@ -72,7 +71,8 @@ def _docfiles(spark, sf_dir):
             .when((i % 11 == 2) & (pn % 3 != 0), F.lit("METADATA.json"))
             .when((i % 13 == 3) & (pn % 5 != 0), F.lit("USAGE.md"))
             .otherwise(F.concat(F.lit("doc"), i.cast("string"), F.lit(".txt"))))
-    content = F.when(pn % 6 == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    short = F.concat(F.lit("  # "), F.col("source"), F.lit(" "), i.cast("string"), F.lit("\n"))
+    content = F.when((pn % 6 == 1) & (i % 7 == 1) & (pn % 4 != 0), short).otherwise(F.col("text"))
     return d.select(F.col("source").alias("project"), name.alias("name"), content.alias("content")).select(
         "project", F.col("name").alias("path"), "name", F.length("content").cast("long").alias("size_bytes"), "content")
 
@@ -125,8 +125,7 @@ SELECT m.project, m.kind, m.kind_order, l.lines_of_code FROM missing m LEFT JOIN
 def o9_work_queue(spark, sf_dir):
     projs, files, _ = _gaps(spark, sf_dir)
     wl = docs.missing_docs(projs, docs.doc_state(files))
-    return (wl.join(_loc(spark, sf_dir), "project", "left")
-            .orderBy(F.desc_nulls_last("lines_of_code"), "project", "kind_order"))
+    return docs.work_queue(wl, _loc(spark, sf_dir))
 
 
 @register("m8_docs_worklist", "WITH " + DOCFILES_SQL + _LOC_SQL + """
@@ -146,7 +145,7 @@ def m8_docs_worklist(spark, sf_dir):
 # ------------------------------------------------------------ metadata replies
 
 def _meta_replies(spark, sf_dir):
-    e = spread(table(spark, sf_dir, "events"))
+    e = table(spark, sf_dir, "events")
     i = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     obj = (F.when(i % 4 == 0, F.concat(
@@ -317,24 +316,15 @@ def a9_gen_summary(spark, sf_dir):
 @register("a11_module_dedup", """
 WITH m AS (
   SELECT conv_id, turn, role AS name, CASE WHEN turn % 4 = 3 THEN NULL ELSE 'p' || (turn % 3)::VARCHAR END AS path,
-         substr(text, 1, 20) AS description
+         text AS description
   FROM conversations),
-k AS (
-  SELECT conv_id, path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, turn, name, description
-  FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, path ORDER BY pos) AS rn FROM k WHERE path IS NOT NULL AND name IS NOT NULL)
-SELECT conv_id AS project, path, pos, name, description FROM r WHERE rn = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, path ORDER BY turn) AS rn FROM m WHERE path IS NOT NULL AND name IS NOT NULL)
+SELECT conv_id AS project, path, turn AS pos, name, coalesce(description, '') AS description FROM r WHERE rn = 1""")
 def a11_module_dedup(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    entry = F.struct(
-        F.col("turn"),
-        F.col("role").alias("name"),
-        F.when(F.col("turn") % 4 == 3, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("p"), (F.col("turn") % 3).cast("string"))).alias("path"),
-        F.substring("text", 1, 20).alias("description"))
-    per = c.groupBy(F.col("conv_id").alias("project")).agg(F.array_sort(F.collect_list(entry)).alias("a"))
-    meta = per.select("project", F.to_json(F.transform("a", lambda x: x.dropFields("turn"))).alias("modules_json"))
-    return docs.dedup_modules(meta)
+    path = F.when(F.col("turn") % 4 != 3, F.concat(F.lit("p"), (F.col("turn") % 3).cast("string")))
+    return docs.dedup_module_rows(c.select(F.col("conv_id").alias("project"), F.col("turn").alias("pos"),
+                                           F.col("role").alias("name"), path.alias("path"), F.col("text").alias("description")))
 
 
 # ------------------------------------------------------------ manifests

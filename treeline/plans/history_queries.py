@@ -123,19 +123,18 @@ logs AS (
          count(DISTINCT project)::BIGINT AS projects_found,
          count(*) FILTER (WHERE ok)::BIGINT AS projects_scanned,
          count(*) FILTER (WHERE NOT ok)::BIGINT AS error_count
-  FROM runs GROUP BY run_id),
-errs AS (
-  SELECT run_id, array_to_string(list(error ORDER BY error), '|') AS errors FROM (
-    SELECT run_id, error, row_number() OVER (PARTITION BY run_id ORDER BY error) AS rn FROM runs WHERE NOT ok)
-  WHERE rn <= 10 GROUP BY run_id)"""
+  FROM runs GROUP BY run_id)"""
 
 
 @register("s12_scan_log", "WITH " + _RUNS_SQL + """
-SELECT l.*, coalesce(e.errors, '') AS errors FROM logs l LEFT JOIN errs e USING (run_id)""")
+SELECT * FROM logs""")
 def s12_scan_log(spark, sf_dir):
-    out = history.scan_logs(_runs(spark, sf_dir))
-    return out.select("run_id", "started_at", "completed_at", "projects_found", "projects_scanned", "error_count",
-                      F.array_join("errors", "|").alias("errors"))
+    return history.scan_logs(_runs(spark, sf_dir))
+
+
+@register("s12_scan_errors", "WITH " + _RUNS_SQL + "\nSELECT run_id, project, error FROM runs WHERE NOT ok")
+def s12_scan_errors(spark, sf_dir):
+    return history.scan_errors(_runs(spark, sf_dir))
 
 
 @register("o6_scan_logs", "WITH " + _RUNS_SQL + """

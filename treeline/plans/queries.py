@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from treeline.io import table
 from treeline.operators import search, text_index, vectors
-from treeline.operators.common import spread
 from treeline.plans import oracle
 from treeline.plans.registry import register
 
@@ -29,7 +28,7 @@ def r6(c):
 # --------------------------------------------------------------------- search
 
 def _docs(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _postings(spark, sf_dir):

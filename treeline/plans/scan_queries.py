@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from treeline.functions import exprs, fixed
 from treeline.operators import scan
-from treeline.operators.common import spread
 from treeline.plans.registry import register
 from treeline.plans.standins import TREE_SQL, file_tree
 
@@ -93,7 +92,7 @@ SELECT project, path, unnest(range(1, len(pieces) + 1))::INTEGER AS line_no, unn
 
 @register("s3_lines", _S3_SQL)
 def s3_lines(spark, sf_dir):
-    return scan.lines(spread(_files(spark, sf_dir)))
+    return scan.lines(_files(spark, sf_dir))
 
 
 @register("a1_project_stats", "WITH " + _FLAGGED + f"""
@@ -101,7 +100,7 @@ SELECT project, count(*)::BIGINT AS file_count, sum(size_bytes)::BIGINT AS size_
        sum(CASE WHEN language IS NOT NULL THEN {_LINES} ELSE 0 END)::BIGINT AS lines_of_code
 FROM withlang WHERE NOT excluded GROUP BY project""")
 def a1_project_stats(spark, sf_dir):
-    return scan.project_stats(spread(_files(spark, sf_dir)))
+    return scan.project_stats(_files(spark, sf_dir))
 
 
 @register("a2_languages", "WITH " + _FLAGGED + f""",
@@ -111,7 +110,7 @@ SELECT project, string_agg(language, ',' ORDER BY loc DESC, language) AS languag
        first(language ORDER BY loc DESC, language) AS primary_language
 FROM per GROUP BY project""")
 def a2_languages(spark, sf_dir):
-    r = scan.languages(spread(_files(spark, sf_dir)))
+    r = scan.languages(_files(spark, sf_dir))
     return r.select("project", F.array_join("languages", ",").alias("languages"), "primary_language")
 
 

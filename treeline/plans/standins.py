@@ -234,7 +234,8 @@ def catalog_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disk_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders on disk: customers with custkey % 5 <> 0, renamed when
+    """Folders on disk: customers with custkey % 5 <> 0 or % 3 = 0 (so each
+    customer is in the catalog, on disk or in both), renamed when
     custkey % 7 = 0; no eligible file when % 11 = 0; mtime equal to the
     last scan when % 13 = 0, else one hour later (even) or earlier (odd)."""
     c = table(spark, sf_dir, "customer")
@@ -245,7 +246,7 @@ def disk_after(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k % 13 == 0, base)
              .when(k % 2 == 0, base + F.make_dt_interval(F.lit(0), F.lit(1)))
              .otherwise(base - F.make_dt_interval(F.lit(0), F.lit(1))))
-    return c.where(k % 5 != 0).select(
+    return c.where((k % 5 != 0) | (k % 3 == 0)).select(
         k.alias("new_id"), name.alias("name"), F.concat(F.lit("/code/"), name).alias("path"),
         F.when(k % 4 != 0, F.concat(F.lit("git@github.com:org/p"), F.floor(k / 2).cast("string"), F.lit(".git"))).alias("remote"),
         mtime.alias("latest_mtime"),
@@ -269,7 +270,7 @@ disk AS (
          floor(c_acctbal * 100)::BIGINT + c_custkey % 100 AS lines_of_code
   FROM (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN 'Renamed#' || c_custkey::VARCHAR ELSE c_name END AS n,
                TIMESTAMP '2024-06-01 00:00:00' + to_minutes(c_custkey::INTEGER) AS b
-        FROM customer WHERE c_custkey % 5 <> 0)),
+        FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0)),
 stale AS (SELECT * FROM before WHERE path NOT IN (SELECT path FROM disk)),
 s_pick AS (SELECT git_remote_url AS remote, max(id) AS id FROM stale WHERE git_remote_url IS NOT NULL GROUP BY 1),
 d_pick AS (SELECT remote, min(name) AS new_name FROM disk

@@ -25,9 +25,9 @@ def _events_stream(spark, sf_dir):
 def t1_stream_scan(spark, sf_dir):
     root = scratch_path(spark, "t1")
     snap = disk_after(spark, sf_dir).withColumn("snapshot_id", F.lit(0))
-    snap.coalesce(1).write.mode("overwrite").parquet(f"{root}/inventory/snapshot-0")
-    stream = (spark.readStream.schema(snap.schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{root}/inventory/snapshot-0"))
+    snap.write.mode("overwrite").parquet(f"{root}/inventory/snapshot-0")
+    # the listing's files all belong to one snapshot and arrive in one micro-batch
+    stream = spark.readStream.schema(snap.schema).parquet(f"{root}/inventory/snapshot-0")
     out = jobs.stream_incremental_scan(
         spark, stream, catalog_before(spark, sf_dir),
         lambda disk: disk.select("new_id", "name", "path", "lines_of_code"), AS_OF, out_root=f"{root}/catalog")
@@ -88,5 +88,5 @@ def t4_activity(spark, sf_dir):
 def t5_stream_index(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     docs = jobs.stream_table(spark, sf_dir, "documents.parquet", schema)
-    path = jobs.stream_index(spark, docs.select("doc_id", "text"))
-    return spark.read.parquet(path).select("doc_id", "field", "pos", "token", "dl")
+    root = jobs.stream_index(spark, docs.select("doc_id", "text"))
+    return jobs.read_stream_index(spark, root).select("doc_id", "field", "pos", "token", "dl")

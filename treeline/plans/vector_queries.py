@@ -73,13 +73,13 @@ def a14_vector_counts(spark, sf_dir):
 
 
 @register("x4_vector_upsert", "WITH " + VEC_SQL + """,
-old AS (SELECT id, kind, embedding FROM vecs WHERE id % 5 <> 0),
+old AS (SELECT id, kind, embedding FROM vecs WHERE id % 5 <> 0 OR id % 3 <> 0),
 new AS (SELECT id, kind, list_transform(embedding, lambda x: (x * 2)::FLOAT) AS embedding FROM vecs WHERE id % 3 = 0),
 u AS (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new)
 SELECT id, kind, len(embedding)::INTEGER AS dims, round(embedding[1]::DOUBLE, 6) AS first_value FROM u""")
 def x4_vector_upsert(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    old = v.where(F.col("id") % 5 != 0).select("id", "kind", "embedding")
+    old = v.where((F.col("id") % 5 != 0) | (F.col("id") % 3 != 0)).select("id", "kind", "embedding")
     new = v.where(F.col("id") % 3 == 0).select(
         "id", "kind", F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding"))
     u = vectors.upsert(old, new, ["id"])

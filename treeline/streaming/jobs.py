@@ -188,7 +188,7 @@ def stream_daily_activity(spark: SparkSession, commits: DataFrame, event_time: s
     """T4: commits per project per day.
 
     Update mode keeps state bounded by the watermark; each batch's updated
-    (project, day) counts replace the previous ones in the sink table,
+    counts (by project, day and extra keys) replace the previous ones in the sink table,
     written as version ``v=<batch_id>``.
     """
     root = out_root or scratch_path(spark, "activity-stream")
@@ -202,7 +202,8 @@ def stream_daily_activity(spark: SparkSession, commits: DataFrame, event_time: s
         prev = _latest_version(s, root, batch_id)
         cur = batch
         if prev is not None:
-            cur = prev.join(batch.select("project", "day_start"), ["project", "day_start"], "left_anti").unionByName(batch)
+            keys = ["project", "day_start", *(extra_keys or [])]
+            cur = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
         cur.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
 
     run_available(lambda _: agg.writeStream.foreachBatch(upsert).outputMode("update")
@@ -214,7 +215,9 @@ def stream_daily_activity(spark: SparkSession, commits: DataFrame, event_time: s
 
 def stream_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", fields=("text",),
                  out_root: str | None = None) -> str:
-    """T5: postings of arriving documents, one folder per micro-batch."""
+    """T5: postings of arriving documents, one segment per micro-batch, and
+    beside it the ids that arrived, so that a document's latest batch
+    replaces its earlier postings (:func:`read_stream_index`)."""
     from treeline.operators import text_index
 
     root = out_root or scratch_path(spark, "index-stream")
@@ -222,10 +225,17 @@ def stream_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", f
     def index(batch: DataFrame, batch_id: int) -> None:
         text_index.build_postings(batch, id_col, fields).write.mode("overwrite").parquet(
             f"{root}/postings/batch={batch_id}")
+        batch.select(id_col).distinct().write.mode("overwrite").parquet(f"{root}/arrived/batch={batch_id}")
 
     run_available(lambda _: docs.writeStream.foreachBatch(index)
                   .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
-    return f"{root}/postings"
+    return root
+
+
+def read_stream_index(spark: SparkSession, root: str, id_col: str = "doc_id") -> DataFrame:
+    """The current postings: those of each document's latest batch."""
+    latest = spark.read.parquet(f"{root}/arrived").groupBy(id_col).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{root}/postings").join(latest, [id_col, "batch"], "left_semi").drop("batch")
 
 
 def ntz_as_utc_instant(ntz):
