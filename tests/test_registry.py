@@ -4,7 +4,7 @@ import re
 
 import __spark_entry__ as entry
 
-ROWS_ONLY = {"x3_embed", "x5_lsh_recall", "x2_stemmed"}
+ROWS_ONLY = {"x5_lsh_recall", "x2_stemmed"}
 
 
 def test_every_key_has_oracle_or_is_rows_only():

@@ -101,12 +101,17 @@ def test_knn_matches_numpy(spark):
     assert top.score == pytest.approx(1.0)
 
 
-def test_knn_many_queries_chunked(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "MAX_BROADCAST_QUERIES", 3)
+def test_knn_batches_and_odd_ids(spark, monkeypatch):
     vecs = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "id long, embedding array<float>")
     q = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(7)], "query_id long, query_vec array<float>")
     got = vectors.knn(vecs, q, 1).collect()
     assert sorted((r.query_id, r.id) for r in got) == [(i, i) for i in range(7)]
+    assert vectors.knn(vecs, q.limit(0), 1).count() == 0 and vectors.knn(vecs.limit(0), q, 1).count() == 0
+    named = q.selectExpr("concat('q', query_id) as query_id", "query_vec")
+    assert sorted((r.query_id, r.id) for r in vectors.knn(vecs, named, 1).collect()) == [(f"q{i}", i) for i in range(7)]
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 3)
+    with pytest.raises(ValueError):
+        vectors.knn(vecs, q, 1)
 
 
 def test_stemmed_phrase_search(spark):
@@ -171,15 +176,21 @@ def test_vector_rows_text_and_refresh(spark):
     assert [r.id for r in vectors.filter_vectors(v2, keyword="a").collect()] == [1]
 
 
-def test_knn_numpy_equals_sql(spark):
+def test_knn_equals_sql_distances(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 16)).astype("float32")
     v[10] = v[11]      # exact tie
     vecs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)], "id long, embedding array<float>")
     q = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(0, 300, 3)], "query_id long, query_vec array<float>")
-    a = sorted((r.query_id, r.id, r.rank, round(r.distance, 9)) for r in vectors.knn(vecs, q, 4, method="sql").collect())
-    b = sorted((r.query_id, r.id, r.rank, round(r.distance, 9)) for r in vectors.knn(vecs, q, 4, method="numpy").collect())
-    assert a == b
+    for metric in ("l2", "ip", "cosine"):
+        got = sorted((r.query_id, r.rank, r.id, round(r.distance, 6)) for r in vectors.knn(vecs.repartition(5), q, 4, metric=metric).collect())
+        sql = vecs.crossJoin(q.withColumnRenamed("query_id", "qid")).select(
+            "qid", "id", vectors.distance(F.col("embedding"), F.col("query_vec"), metric).alias("d")).collect()
+        want = []
+        for i in range(0, 300, 3):
+            top = sorted((round(r.d, 9), r.id) for r in sql if r.qid == i)[:4]
+            want += [(i, k + 1, x, round(d, 6)) for k, (d, x) in enumerate(top)]
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
 
 
 def test_attach_keeps_known_hits(spark):
@@ -189,10 +200,9 @@ def test_attach_keeps_known_hits(spark):
 
 
 def test_module_search_unknown_project_means_no_filter(spark):
-    from treeline.plans.vector_queries import search_modules
-
+    names = spark.createDataFrame([(1, "one"), (2, "two")], "project_id long, name string")
     vecs = spark.createDataFrame([(1, [0.0, 0.0], 1, "module"), (2, [1.0, 0.0], 2, "module"), (3, [0.0, 0.1], 1, "project")],
                                  "id long, embedding array<float>, project_id long, kind string")
     q = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, query_vec array<float>")
-    assert [r.id for r in search_modules(vecs, q, 5).orderBy("rank").collect()] == [1, 2]
-    assert [r.id for r in search_modules(vecs, q, 5, project_id=2).collect()] == [2]
+    assert [r.id for r in vectors.search_modules(vecs, q, 5, names, "nobody").orderBy("rank").collect()] == [1, 2]
+    assert [r.id for r in vectors.search_modules(vecs, q, 5, names, "two").collect()] == [2]

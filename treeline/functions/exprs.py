@@ -107,8 +107,8 @@ def size_text(b: Column) -> Column:
     x = b.cast("double")
     out = F.when(x < 1024, F.concat(F.format_string("%.0f", x), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(x < 1024 ** (k + 1), F.concat(F.format_string("%.1f", x / 1024 ** k), F.lit(" " + unit)))
-    return out.otherwise(F.concat(F.format_string("%.1f", x / 1024 ** 4), F.lit(" TB")))
+        out = out.when(x < 1024 ** (k + 1), F.concat(F.format_string("%.1f", F.bround(x / 1024 ** k, 1)), F.lit(" " + unit)))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(x / 1024 ** 4, 1)), F.lit(" TB")))
 
 
 #: The names of time units and how many of each make the next.
@@ -139,6 +139,11 @@ def normalize_keywords(arr: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(arr, lambda k: F.trim(F.lower(k))), lambda k: k != ""))
 
 
+def to_json_string_array(arr: Column) -> Column:
+    """encode an array of strings as JSON; null -> []."""
+    return F.coalesce(F.to_json(arr), F.lit("[]"))
+
+
 def json_string_array(text: Column) -> Column:
     """decode a JSON array of strings; bad or missing -> []."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

@@ -23,7 +23,7 @@ def fts_component(fts_hits: DataFrame) -> DataFrame:
 
 def resolve_semantic(sem_hits: DataFrame, catalog_ids: DataFrame) -> DataFrame:
     """Keep semantic hits whose id still exists in the catalog."""
-    return sem_hits.join(catalog_ids.select("id").distinct(), "id", "left_semi")
+    return known_ids(sem_hits, catalog_ids)
 
 
 def hybrid(fts_hits: DataFrame, sem_hits: DataFrame | None, limit: int,
@@ -55,8 +55,10 @@ def union_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def known_ids(ids: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Ids present in the catalog."""
-    return ids.join(catalog.select("id"), "id", "left_semi")
+    """Hits (a limited list, one row per id) whose id the catalog holds.
+    The hits are the broadcast side and the catalog streams past them, so
+    nothing that grows with the catalog is broadcast or shuffled."""
+    return catalog.select("id").join(F.broadcast(ids), "id").dropDuplicates(["id"]).select(*ids.columns)
 
 
 def attach(hits: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

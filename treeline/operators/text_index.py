@@ -194,7 +194,10 @@ def phrase_search(postings: DataFrame, doc_stats: DataFrame, query: str, limit:
                   phrase: list[str] | None = None) -> DataFrame:
     """Best ``limit`` documents for the phrase, score desc then id."""
     toks = phrase if phrase is not None else query_tokens(query)
-    scored = bm25(phrase_tf(postings, toks), corpus_stats(doc_stats))
+    from treeline.session import materialize
+
+    # read twice (hits and their number): written once, it is small
+    scored = bm25(materialize(phrase_tf(postings, toks)), corpus_stats(doc_stats))
     return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(limit)
 
 
@@ -265,10 +268,6 @@ def fold_and_stem(token: str) -> str:
     return stem(folded)
 
 
-# Largest number of surface forms collected for the stems of one query.
-MAX_STEM_FORMS = 10000
-
-
 def stem_vocabulary(postings: DataFrame) -> DataFrame:
     """(token, stem) for the distinct tokens of the postings.
 
@@ -282,19 +281,12 @@ def stem_vocabulary(postings: DataFrame) -> DataFrame:
 def stemmed_phrase_search(docs: DataFrame, query: str, limit: int = 20, id_col: str = "doc_id",
                           fields=("text",)) -> DataFrame:
     """X2 with the stemming tokenizer (case fold, accent fold, Porter)."""
+    from treeline.session import materialize
+
     q = [fold_and_stem(t) for t in query_tokens(query)]
-    postings = build_postings(docs, id_col, fields)
-    vocab = stem_vocabulary(postings).where(F.col("stem").isin(sorted(set(q))))
-    # The surface forms of a few stems are few: bring them back (guarded) and
-    # filter postings with a plain IN list -- a join would let the optimizer
-    # copy the UDF predicate onto every posting.
-    forms = vocab.limit(MAX_STEM_FORMS + 1).collect()
-    if len(forms) <= MAX_STEM_FORMS:
-        mapping = F.create_map(*[x for r in forms for x in (F.lit(r["token"]), F.lit(r["stem"]))]) if forms else None
-        hits = postings.where(F.col("token").isin([r["token"] for r in forms])) if forms else postings.limit(0)
-        hits = hits.select("doc_id", "field", "pos",
-                           (mapping[F.col("token")] if forms else F.col("token")).alias("token"), "dl")
-    else:
-        hits = postings.join(vocab, "token").select("doc_id", "field", "pos", F.col("stem").alias("token"), "dl")
+    postings = materialize(build_postings(docs, id_col, fields))
+    # written first: the stemmer runs once for each distinct word, and the surface forms of the query's stems are few
+    vocab = materialize(stem_vocabulary(postings).where(F.col("stem").isin(sorted(set(q)))))
+    hits = postings.join(vocab, "token").select("doc_id", "field", "pos", F.col("stem").alias("token"), "dl")
     stats = build_doc_stats(docs, id_col, fields)
-    return bm25(phrase_tf(hits, q), corpus_stats(stats)).orderBy(F.desc("score"), F.asc("doc_id")).limit(limit)
+    return bm25(materialize(phrase_tf(hits, q)), corpus_stats(stats)).orderBy(F.desc("score"), F.asc("doc_id")).limit(limit)

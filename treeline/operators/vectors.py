@@ -5,9 +5,10 @@ Vectors are rows ``(id, embedding array<float>, ...)``.  Distance is the
 squared Euclidean distance by default (the behaviour of an L2 collection
 created without an explicit metric); similarity = 1 / (1 + distance).
 
-Nearest-neighbour search broadcasts the *query* batch (size checked) and
-streams the vector table past it: no shuffle of the vectors, one partial
-top-k per map task, then a final top-k per query.
+Exact search is one path whatever the batch: the query batch, whose size is
+checked, goes to the tasks; the vector table streams past it as Arrow
+batches, each task keeps its k best rows of every query, and only those meet
+in the final top-k.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest query batch broadcast in one pass; larger batches run as
-# several broadcast passes (exact, never truncated).
-MAX_BROADCAST_QUERIES = 4096
+# Most queries of one search; a larger batch is refused, for the caller to split.
+MAX_QUERIES = 16_384
 
 
 def _as_double_array(c: Column) -> Column:
@@ -48,117 +48,100 @@ def similarity(dist: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + dist)
 
 
-# From this many queries on, exact search runs as numpy batches inside the
-# tasks instead of a SQL cross product (which would hold N x Q rows).
-NUMPY_MIN_QUERIES = 64
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-        qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2",
-        n_queries: int | None = None, method: str = "auto") -> DataFrame:
-    """X5 exact: for every query the ``k`` nearest vectors.
+def _distances(vecs, q, metric: str):
+    """Distances of all rows of ``vecs`` to ``q``, in double."""
+    import numpy as np
 
-    Returns ``(query_id, id, distance, score, rank)``; ties broken by id.
-    ``n_queries`` may be passed when the caller already knows the batch
-    size; otherwise it is counted (the query batch is small by contract).
-    ``method``: 'sql' (broadcast cross join, JVM only), 'numpy' (Arrow
-    batches, partial top-k per batch) or 'auto' (numpy for large batches).
-    """
-    if n_queries is None:
-        n_queries = queries.count()
-    if method == "numpy" or (method == "auto" and n_queries >= NUMPY_MIN_QUERIES and metric == "l2"):
-        return knn_batched(vectors, queries, k, id_col, vec_col, qid_col, qvec_col, n_queries)
-    if n_queries > MAX_BROADCAST_QUERIES:
-        chunks = (n_queries + MAX_BROADCAST_QUERIES - 1) // MAX_BROADCAST_QUERIES
-        tagged = queries.withColumn("_chunk", F.pmod(F.xxhash64(F.col(qid_col)), F.lit(chunks)))
-        parts = [knn(vectors, tagged.where(F.col("_chunk") == c).drop("_chunk"), k, id_col, vec_col,
-                     qid_col, qvec_col, metric, n_queries=MAX_BROADCAST_QUERIES)
-                 for c in range(chunks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    q = F.broadcast(queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("_qv")))
-    d = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).crossJoin(q)
-    d = d.select("query_id", "id", distance(F.col("_v"), F.col("_qv"), metric).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id"))
-    ranked = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.withColumn("score", similarity(F.col("distance")))
+    if metric == "l2":
+        return ((vecs - q) ** 2).sum(axis=1)
+    dot = vecs @ q
+    if metric == "ip":
+        return 1.0 - dot
+    if metric == "cosine":
+        return 1.0 - dot / (np.sqrt((vecs * vecs).sum(axis=1)) * np.sqrt((q * q).sum()))
+    raise ValueError(f"unknown metric {metric}")
 
 
-def _batch_topk(qids, Q, k):
-    """mapInPandas body: per Arrow batch, the k nearest rows of every query
-    (ties at the cut kept, then ordered by distance and id)."""
+def _task_topk(queries, k: int, metric: str, id_type):
+    """mapInArrow body: the k nearest rows of every query among a task's
+    rows (smaller distance, then smaller id), merged batch by batch."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
+        best: dict = {}
+        qids, Q = queries.value
+        for b in batches:
+            keep = [i for i, x in enumerate(b["v"].to_pylist()) if x is not None and b["id"][i].is_valid]
+            if not keep:
                 continue
-            ids = pdf["id"].to_numpy()
-            V = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            out_q, out_i, out_d = [], [], []
-            for j in range(len(qids)):
-                d = ((V - Q[j]) ** 2).sum(axis=1)
-                if len(d) > k:
-                    cut = np.partition(d, k - 1)[k - 1]
-                    idx = np.nonzero(d <= cut)[0]
-                else:
-                    idx = np.arange(len(d))
-                order = idx[np.lexsort((ids[idx], d[idx]))][:k]
-                out_q.append(np.full(len(order), qids[j]))
-                out_i.append(ids[order])
-                out_d.append(d[order])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_i),
-                                "distance": np.concatenate(out_d)})
+            ids = b["id"].take(pa.array(keep)).to_pylist()
+            vecs = np.array(b["v"].take(pa.array(keep)).to_pylist(), np.float64)
+            for j, q in enumerate(Q):
+                d = _distances(vecs, q, metric)
+                near = range(len(d)) if len(d) <= k else np.nonzero(d <= np.partition(d, k - 1)[k - 1])[0]
+                best[j] = sorted([*best.get(j, ()), *((float(d[i]), ids[i]) for i in near)])[:k]
+        rows = [(qids[j], x, d) for j, top in best.items() for d, x in top]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], id_type[0]), pa.array([r[1] for r in rows], id_type[1]), pa.array([r[2] for r in rows], pa.float64())],
+            ["query_id", "id", "distance"])
 
     return run
 
 
-def knn_batched(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-                qid_col: str = "query_id", qvec_col: str = "query_vec", n_queries: int | None = None) -> DataFrame:
-    """X5 exact, numpy form: the (size-checked) query batch travels with
-    the task; each Arrow batch of vectors yields only its k best rows per
-    query, so the shuffle carries k x Q rows per batch, never N x Q."""
-    import numpy as np
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+        qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2") -> DataFrame:
+    """X5 exact: for every query the ``k`` nearest vectors.
 
-    if n_queries is None:
-        n_queries = queries.count()
-    if n_queries > MAX_BROADCAST_QUERIES:
-        chunks = (n_queries + MAX_BROADCAST_QUERIES - 1) // MAX_BROADCAST_QUERIES
-        tagged = queries.withColumn("_chunk", F.pmod(F.xxhash64(F.col(qid_col)), F.lit(chunks)))
-        parts = [knn_batched(vectors, tagged.where(F.col("_chunk") == c).drop("_chunk"), k, id_col, vec_col,
-                             qid_col, qvec_col, MAX_BROADCAST_QUERIES) for c in range(chunks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    rows = queries.select(qid_col, qvec_col).collect()   # at most MAX_BROADCAST_QUERIES rows
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    Q = np.array([list(r[1]) for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    part = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInPandas(
-        _batch_topk(qids, Q, k), "query_id long, id long, distance double")
+    Returns ``(query_id, id, distance, score, rank)``; ties broken by id.
+    Ids may be of any ordered type.  An empty query batch gives an empty
+    result; one of more than MAX_QUERIES is refused.  Null ids and vectors
+    are no neighbours.
+    """
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = vectors.sparkSession
+    q = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("query_vec"))
+    rows = q.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in one batch")
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    types = [q.schema["query_id"].dataType, v.schema["id"].dataType]
+    sent = spark.sparkContext.broadcast(([r[0] for r in rows], [np.array(r[1], np.float64) for r in rows]))
+    schema = f"query_id {types[0].simpleString()}, id {types[1].simpleString()}, distance double"
+    part = v.mapInArrow(_task_topk(sent, k, metric, [to_arrow_type(t) for t in types]), schema)
     w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id"))
     ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.withColumn("score", similarity(F.col("distance")))
 
 
-def embed_hashed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 384) -> DataFrame:
-    """X3 offline default encoder: hashed term frequencies, L2-normalised.
+def hash_features(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 384) -> DataFrame:
+    """X3 offline encoder as rows ``id_cols, bucket, weight``: term
+    frequencies of tokens hashed by the first 16 bits of their MD5, scaled
+    to length 1.  A text without tokens has no rows."""
+    from treeline.operators.text_index import tokens
 
-    Runs entirely in the JVM (Spark ML HashingTF + Normalizer).
-    """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    t = df.select(*id_cols, F.explode(tokens(F.col(text_col))).alias("token"))
+    # each distinct token of a text is hashed once
+    per = t.groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") % dim
+    tf = per.groupBy(*id_cols, bucket.alias("bucket")).agg(F.sum("n").alias("tf"))
+    norm = tf.groupBy(*id_cols).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    return tf.join(norm, id_cols).select(*id_cols, "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
 
-    from treeline.operators.text_index import tokens
 
-    tmp = df.withColumn("_toks", tokens(F.col(text_col)))
-    tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(tmp)
-    normed = Normalizer(inputCol="_tf", outputCol="_n", p=2.0).transform(tf)
-    return (normed.withColumn(out_col, vector_to_array(F.col("_n"), dtype="float32"))
-            .drop("_toks", "_tf", "_n"))
+def embed_hashed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 384,
+                 id_cols: list[str] | None = None) -> DataFrame:
+    """X3 offline default encoder: :func:`hash_features` as an array column.
+    ``id_cols`` name a row (default: the first column); a text without
+    tokens has a vector of zeros."""
+    ids = id_cols or df.columns[:1]
+    rows = hash_features(df, ids, text_col, dim).groupBy(*ids).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))  # at most dim entries
+    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)).cast("float"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return df.join(rows, ids, "left").withColumn(out_col, F.when(F.col("_m").isNull(), zero).otherwise(at)).drop("_m")
 
 
 def embed_with(df: DataFrame, text_col: str, encoder_factory: Callable[[], Callable], out_col: str = "embedding") -> DataFrame:
@@ -262,11 +245,21 @@ def filter_vectors(vecs: DataFrame, keyword: str | None = None, project_id=None)
     return out
 
 
+def search_modules(vecs: DataFrame, query: DataFrame, k: int, projects: DataFrame, project: str | None = None) -> DataFrame:
+    """Module search in the project of that name (``projects``:
+    project_id, name); a name that no project has, like none, filters nothing."""
+    m = vecs.where(F.col("kind") == "module")
+    if project:
+        ids = [r.project_id for r in projects.where(F.col("name") == project).select("project_id").distinct().limit(1).collect()]
+        m = filter_vectors(m, project_id=ids[0]) if ids else m
+    return knn(m, query, k)
+
+
 def refresh_vectors(existing: DataFrame | None, rows: DataFrame, dim: int = 384,
                     encoder_factory: Callable[[], Callable] | None = None) -> DataFrame:
     """Embed the given rows (hashed features by default, or a pluggable
     encoder) and replace their (kind, id) entries in the vector table."""
-    emb = embed_with(rows, "text", encoder_factory) if encoder_factory else embed_hashed(rows, "text", dim=dim)
+    emb = embed_with(rows, "text", encoder_factory) if encoder_factory else embed_hashed(rows, "text", dim=dim, id_cols=["kind", "id"])
     if existing is None:
         return emb
     for c in emb.columns:

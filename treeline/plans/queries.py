@@ -13,6 +13,8 @@ from treeline.io import table
 from treeline.operators import search, text_index, vectors
 from treeline.plans import oracle
 from treeline.plans.registry import register
+from treeline.plans.standins import PROJECTS_SQL, projects
+from treeline.session import scratch_path
 
 # Driver-binding parameters (fixed for the registered queries).
 PHRASE = "the on"
@@ -59,7 +61,7 @@ def _semantic_hits(spark, sf_dir, k):
     emb = table(spark, sf_dir, "embeddings")
     q = emb.where(F.col("vec_id") == QUERY_VEC_ID).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return vectors.knn(emb, q, k, id_col="vec_id", vec_col="embedding", n_queries=1)
+    return vectors.knn(emb, q, k, id_col="vec_id", vec_col="embedding")
 
 
 @register("x5_knn", oracle.ORACLE["x5_knn"])
@@ -94,6 +96,35 @@ def x11_hybrid_no_vectors(spark, sf_dir):
                       r6(F.col("score")).alias("score"))
 
 
+@register("j2_attach", oracle.ORACLE["x6_hybrid"].replace("SELECT id, round(fts_score, 6) AS fts_score, round(sem_score, 6) AS sem_score, round(score, 6) AS score FROM h",
+          "SELECT h.id, round(h.score, 6) AS score, d.source, d.lang FROM h JOIN documents d ON d.doc_id = h.id"))
+def j2_attach(spark, sf_dir):
+    """Catalog rows attached to the hybrid hits."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    return search.attach(hybrid_plan(spark, sf_dir), rows).select("id", r6(F.col("score")).alias("score"), "source", "lang")
+
+
+@register("x2_indexed", oracle.ORACLE["x2_phrase_bm25"])
+def x2_indexed(spark, sf_dir):
+    """The same search through a stored index: built, written, read back; the text isn't touched again."""
+    path = scratch_path(spark, "stage-index")
+    text_index.write_index(*_postings(spark, sf_dir), path)
+    hits = text_index.phrase_search(*text_index.read_index(spark, path), PHRASE, 20)
+    return hits.select("doc_id", "tf", "dl", r6(F.col("score")).alias("score"))
+
+
+_FIELDS = ("name", "short_description", "readme_content", "metadata_json", "primary_language")
+
+
+@register("x1_five_fields", "WITH " + PROJECTS_SQL + "," + r"""
+f AS (SELECT id, field, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
+      FROM (""" + " UNION ALL ".join(f"SELECT id, {k} AS field, {c} AS text FROM proj" for k, c in enumerate(_FIELDS)) + r""")),
+n AS (SELECT id, sum(len(t))::BIGINT AS dl FROM f GROUP BY id)
+SELECT f.id AS doc_id, field::INTEGER AS field, unnest(range(len(t)))::INTEGER AS pos, unnest(t) AS token, n.dl FROM f JOIN n ON f.id = n.id""")
+def x1_five_fields(spark, sf_dir):
+    return text_index.build_postings(projects(spark, sf_dir), "id", _FIELDS)
+
+
 @register("u1_union_ids", oracle._bm25_top(40) + ",\n" + oracle._KNN + """
 SELECT doc_id AS id FROM fts UNION SELECT id FROM knn_r WHERE rank <= 40""")
 def u1_union_ids(spark, sf_dir):

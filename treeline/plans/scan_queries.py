@@ -139,3 +139,30 @@ SELECT DISTINCT project, array_to_string(parts[1:i], '/') AS dir, parts[i + 1] A
 FROM e""")
 def o8_dir_listing(spark, sf_dir):
     return scan.directory_listings(scan.inventory(_files(spark, sf_dir, False)))
+
+
+@register("f_report", "WITH " + TREE_SQL + r""",
+p AS (SELECT *, string_split(path, '/') AS parts, date_diff('second', TIMESTAMP '2024-01-01 00:00:00', modified_at) AS s FROM tree)
+SELECT doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[1:i], '/')), '|') AS crumbs,
+  CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE path END AS below_src,
+  CASE WHEN length(content) > 40 THEN substr(content, 1, 37) || '...' ELSE content END AS shown,
+  CASE WHEN size_bytes < 1024 THEN size_bytes::VARCHAR || ' B'
+       WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0) ELSE printf('%.1f MB', size_bytes / 1048576.0) END AS size,
+  CASE WHEN s < 1 THEN 'just now' WHEN s < 60 THEN s::VARCHAR || ' second' || CASE WHEN s <> 1 THEN 's' ELSE '' END || ' ago'
+       WHEN s < 3600 THEN (s // 60)::VARCHAR || ' minute' || CASE WHEN s // 60 <> 1 THEN 's' ELSE '' END || ' ago'
+       WHEN s < 86400 THEN (s // 3600)::VARCHAR || ' hour' || CASE WHEN s // 3600 <> 1 THEN 's' ELSE '' END || ' ago'
+       WHEN s < 604800 THEN (s // 86400)::VARCHAR || ' day' || CASE WHEN s // 86400 <> 1 THEN 's' ELSE '' END || ' ago'
+       ELSE (s // 604800)::VARCHAR || ' week' || CASE WHEN s // 604800 <> 1 THEN 's' ELSE '' END || ' ago' END AS age,
+  round(100.0 * (doc_id % 7) / 7, 1) AS percent,
+  to_json([project, name])::VARCHAR AS encoded, project || ',' || name AS decoded
+FROM p""")
+def f_report(spark, sf_dir):
+    """Report expressions F4, F6, F8, F11, F12 over the file tree (age: as of each file's time, of the first one)."""
+    t = file_tree(spark, sf_dir)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    encoded = exprs.to_json_string_array(F.array("project", "name"))
+    return t.select(
+        "doc_id", F.array_join(exprs.breadcrumbs(F.col("path")), "|").alias("crumbs"), exprs.relative_to(F.col("path"), "src").alias("below_src"),
+        exprs.ellipsize(F.col("content"), 40).alias("shown"), exprs.size_text(F.col("size_bytes")).alias("size"),
+        exprs.relative_age(start, F.col("modified_at")).alias("age"), exprs.percent(F.col("doc_id") % 7, F.lit(7)).alias("percent"),
+        encoded.alias("encoded"), F.array_join(exprs.json_string_array(encoded), ",").alias("decoded"))

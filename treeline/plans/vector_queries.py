@@ -47,24 +47,31 @@ def _out(df):
     return df.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
 
 
-def search_modules(vecs, query, k, project_id=None):
-    """Module search; an unknown project (None) means no filter (P12
-    filter applied before any distance is computed)."""
-    m = vecs.where(F.col("kind") == "module")
-    if project_id is not None:
-        m = m.where(F.col("project_id") == project_id)
-    return vectors.knn(m, query, k, n_queries=1)
-
-
 @register("x7_modules", "WITH " + VEC_SQL + _dist_sql("v.kind = 'module' AND v.project_id = 1", 10))
 def x7_modules(spark, sf_dir):
-    return _out(search_modules(_vecs(spark, sf_dir), _query(spark, sf_dir), 10, project_id=1))
+    return _out(vectors.search_modules(_vecs(spark, sf_dir), _query(spark, sf_dir), 10, _names(spark, sf_dir), "group 1"))
+
+
+def _names(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").alias("project_id")).distinct().withColumn("name", F.concat(F.lit("group "), F.col("project_id").cast("string")))
+
+
+@register("x7_unknown_project", "WITH " + VEC_SQL + _dist_sql("v.kind = 'module'", 10))
+def x7_unknown_project(spark, sf_dir):
+    return _out(vectors.search_modules(_vecs(spark, sf_dir), _query(spark, sf_dir), 10, _names(spark, sf_dir), "no such group"))
+
+
+@register("p12_keyword", "WITH " + VEC_SQL + _dist_sql("v.id % 3 = 0", 10))
+def p12_keyword(spark, sf_dir):
+    kw = F.concat(F.lit("all,k"), (F.col("id") % 3).cast("string"))
+    return _out(vectors.knn(vectors.filter_vectors(_vecs(spark, sf_dir).withColumn("meta_keywords", kw), "k0"), _query(spark, sf_dir), 10))
 
 
 @register("p12_filtered_knn", "WITH " + VEC_SQL + _dist_sql("v.kind = 'project' AND v.project_id = 2", 10))
 def p12_filtered_knn(spark, sf_dir):
     v = _vecs(spark, sf_dir).where((F.col("kind") == "project") & (F.col("project_id") == 2))
-    return _out(vectors.knn(v, _query(spark, sf_dir), 10, n_queries=1))
+    return _out(vectors.knn(v, _query(spark, sf_dir), 10))
 
 
 @register("a14_vector_counts", "WITH " + VEC_SQL + "\nSELECT kind, count(*)::BIGINT AS n_vectors FROM vecs GROUP BY kind")
@@ -87,22 +94,25 @@ def x4_vector_upsert(spark, sf_dir):
                     F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_value"))
 
 
-@register("x3_embed")
+@register("x3_embed", r"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM documents),
+n AS (SELECT doc_id, token, count(*) AS n, md5(token) AS h FROM t GROUP BY ALL),
+d AS (SELECT doc_id, n, (4096 * (instr('0123456789abcdef', h[1]) - 1) + 256 * (instr('0123456789abcdef', h[2]) - 1)
+        + 16 * (instr('0123456789abcdef', h[3]) - 1) + instr('0123456789abcdef', h[4]) - 1) % 384 AS bucket FROM n),
+f AS (SELECT doc_id, bucket::INTEGER AS bucket, sum(n)::DOUBLE AS tf FROM d GROUP BY ALL)
+SELECT doc_id, bucket, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS weight FROM f""")
 def x3_embed(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    e = vectors.embed_hashed(d.select("doc_id", "text"), "text", dim=384)
-    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")),
-                              F.lit(0.0), lambda a, x: a + x))
-    return e.select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 6).alias("norm"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return vectors.hash_features(d, ["doc_id"], "text").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @register("x5_lsh_recall")
 def x5_lsh_recall(spark, sf_dir):
-    """Recall@10 of LSH candidates against the exact neighbours, every
-    vector used as a query once."""
+    """Recall@10 of LSH candidates against the exact neighbours; queries are
+    the vectors whose id 20 divides, the index holds every vector."""
     e = table(spark, sf_dir, "embeddings")
     v = e.select(F.col("vec_id").alias("id"), "embedding")
-    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     exact = vectors.knn(v, q, 10).select("query_id", "id")
     approx = vectors.lsh_candidates(v, q, 10).select("query_id", "id", F.lit(1).alias("hit"))
     j = exact.join(approx, ["query_id", "id"], "left")
