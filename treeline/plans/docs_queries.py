@@ -365,3 +365,47 @@ def s4_manifest_deps(spark, sf_dir):
     deps = manifests.npm_dependencies(_package_json(spark, sf_dir))
     return deps.groupBy("project", "ecosystem", "name", "dep_type").agg(
         F.max("is_dev").alias("is_dev"), F.max("version").alias("version"))
+
+
+_MANIFESTS_SQL = r"""m AS (
+  SELECT event_id::VARCHAR AS project, event_id % 5 AS kind,
+         CASE event_id % 5 WHEN 0 THEN '{"name": "v/' || event_type || user_id::VARCHAR || '", "description": "d ' || event_type || '"}'
+           WHEN 1 THEN '// c' || chr(10) || 'module example.com/' || event_type || '/' || user_id::VARCHAR || chr(10) || chr(10) || 'go 1.22' || chr(10)
+           WHEN 2 THEN '[tool.poetry]' || chr(10) || 'name = "old"' || chr(10) || 'description = "d"' || chr(10) || '[project]' || chr(10)
+                       || 'name = "' || event_type || '"' || chr(10) || 'dependencies = [' || chr(10) || '  "a[x]>=' || user_id::VARCHAR || '",' || chr(10) || '  ''b'' ]' || chr(10)
+           WHEN 3 THEN '[package]' || chr(10) || 'name = "' || event_type || '"' || chr(10) || 'version = "0.' || user_id::VARCHAR || '.0"' || chr(10)
+           ELSE 'from setuptools import setup' || chr(10) END AS content
+  FROM events)"""
+
+
+def _other_manifests(spark, sf_dir):
+    """``events`` as manifests of five kinds, one project each."""
+    e = table(spark, sf_dir, "events")
+    i, t, u = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
+    kind = i % 5
+    name = (F.when(kind == 0, "composer.json").when(kind == 1, "go.mod").when(kind == 2, "pyproject.toml")
+            .when(kind == 3, "Cargo.toml").otherwise("setup.py"))
+    content = (F.when(kind == 0, F.concat(F.lit('{"name": "v/'), t, u, F.lit('", "description": "d '), t, F.lit('"}')))
+               .when(kind == 1, F.concat(F.lit("// c\nmodule example.com/"), t, F.lit("/"), u, F.lit("\n\ngo 1.22\n")))
+               .when(kind == 2, F.concat(F.lit('[tool.poetry]\nname = "old"\ndescription = "d"\n[project]\nname = "'), t,
+                                         F.lit('"\ndependencies = [\n  "a[x]>='), u, F.lit('",\n  \'b\' ]\n')))
+               .when(kind == 3, F.concat(F.lit('[package]\nname = "'), t, F.lit('"\nversion = "0.'), u, F.lit('.0"\n')))
+               .otherwise(F.lit("from setuptools import setup\n")))
+    return e.select(i.cast("string").alias("project"), name.alias("name"), content.alias("content"))
+
+
+@register("s4_package_info", "WITH " + _MANIFESTS_SQL + r"""
+SELECT project, CASE kind WHEN 0 THEN 'composer' WHEN 1 THEN 'go' WHEN 3 THEN 'cargo' ELSE 'python' END AS ecosystem,
+  CASE kind WHEN 0 THEN json_extract_string(content, '$.name') WHEN 1 THEN regexp_extract(content, 'module (\S+)', 1)
+    WHEN 2 THEN regexp_extract(content, '\[project\]\s+name = "([^"]*)"', 1) WHEN 3 THEN regexp_extract(content, 'name = "([^"]*)"', 1) ELSE project END AS name,
+  CASE kind WHEN 3 THEN regexp_extract(content, 'version = "([^"]*)"', 1) END AS version,
+  CASE kind WHEN 0 THEN json_extract_string(content, '$.description') WHEN 2 THEN 'd' END AS description
+FROM m""")
+def s4_package_info(spark, sf_dir):
+    return manifests.package_info(_other_manifests(spark, sf_dir)).drop("has_file")
+
+
+@register("s4_python_deps", "WITH " + _MANIFESTS_SQL + r"""
+SELECT project, 'python' AS ecosystem, unnest(['a[x]>=' || regexp_extract(content, '>=([0-9]+)', 1), 'b']) AS name FROM m WHERE kind = 2""")
+def s4_python_deps(spark, sf_dir):
+    return manifests.dependencies(_other_manifests(spark, sf_dir)).select("project", "ecosystem", "name")

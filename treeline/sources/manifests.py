@@ -1,11 +1,11 @@
-"""Manifest ingestion (S4): package.json, pyproject.toml (PEP 621 over
+"""Manifest ingestion (S4): package.json, pyproject.toml (PEP 621 before
 poetry), setup.py marker, Cargo.toml, go.mod, Gemfile marker,
 composer.json.
 
 Input rows ``manifests(project, name, content)`` -- one per manifest file
-at a project root.  JSON manifests are parsed with ``from_json`` in the
-JVM; TOML has no built-in reader, so those rows (a handful per project)
-go through ``mapInPandas`` with the standard library's ``tomllib`` (D3).
+at a project root.  JSON manifests are parsed with ``from_json``.  Of TOML
+files only a few keys of known tables are needed: the text is cut into its
+``[table]`` sections and those keys are read by pattern, all in the JVM.
 
 Outputs:
 
@@ -16,7 +16,7 @@ Outputs:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NPM_SCHEMA = ("struct<name:string,version:string,description:string,"
@@ -67,46 +67,58 @@ def go_module(manifests: DataFrame) -> DataFrame:
         F.lit(True).alias("has_file"))
 
 
-def _toml_rows(batches):
-    """mapInPandas body: pyproject.toml / Cargo.toml rows -> info + deps."""
-    import pandas as pd
-    import tomllib
-
-    for pdf in batches:
-        out = []
-        for project, name, content in zip(pdf["project"], pdf["name"], pdf["content"]):
-            try:
-                data = tomllib.loads(content or "")
-            except Exception:  # noqa: BLE001 -- unreadable manifest contributes nothing
-                continue
-            if name == "pyproject.toml":
-                proj = data.get("project", {}) or {}
-                poetry = (data.get("tool", {}) or {}).get("poetry", {}) or {}
-                merged = {**poetry, **proj}
-                if not merged:
-                    continue
-                deps = merged.get("dependencies", {})
-                names = list(deps.keys()) if isinstance(deps, dict) else (list(deps) if isinstance(deps, list) else [])
-                out.append((project, "python", "info", merged.get("name"), merged.get("version"),
-                            merged.get("description")))
-                for d in names:
-                    out.append((project, "python", "dep", str(d), None, None))
-            elif name == "Cargo.toml":
-                pkg = data.get("package", {}) or {}
-                out.append((project, "cargo", "info", pkg.get("name"), pkg.get("version"), pkg.get("description")))
-        yield pd.DataFrame(out, columns=["project", "ecosystem", "kind", "name", "version", "description"])
+# A [table] header line, then everything up to the next header.
+_TOML_TABLE = r"(?s)\n[ \t]*\[[ \t]*([^\[\]\n]+?)[ \t]*\][ \t]*(?:#[^\n]*)?(?=\n)(.*?)(?=\n[ \t]*\[[^\n]*\][ \t]*(?:#[^\n]*)?\n|\z)"
+# A quoted string, and an array of them that may span lines.
+_TOML_STRING = r"\"([^\"\n]*)\"|'([^'\n]*)'"
+_TOML_ARRAY = r"\[((?:[^\]\"']|\"[^\"\n]*\"|'[^'\n]*')*)\]"
+
+
+def _toml_table(table: str) -> Column:
+    """The body of a table of the column ``toml``, null without it."""
+    rows = F.filter("toml", lambda t: t["0"] == table)
+    return F.when(F.size(rows) > 0, F.concat(F.lit("\n"), F.get(rows, F.lit(0))["1"]))
+
+
+def _toml_text(body: Column, key: str) -> Column:
+    """A string value of a table's body, null without it."""
+    rx = rf"\n[ \t]*{key}[ \t]*=[ \t]*(?:{_TOML_STRING})"
+    found = F.regexp_like(body, F.lit(rx))
+    return F.when(found, F.concat(F.regexp_extract(body, rx, 1), F.regexp_extract(body, rx, 2)))
+
+
+def _toml_sections(manifests: DataFrame, name: str) -> DataFrame:
+    """project, toml: array of (table, body) of the files of that name."""
+    text = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), F.lit("\n"))
+    rx = F.lit(_TOML_TABLE)
+    pairs = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(1)).alias("0"), F.regexp_extract_all(text, rx, F.lit(2)).alias("1"))
+    return manifests.where(F.col("name") == name).select("project", pairs.alias("toml"))
 
 
 def toml_records(manifests: DataFrame) -> DataFrame:
-    t = manifests.where(F.col("name").isin("pyproject.toml", "Cargo.toml")).select("project", "name", "content")
-    return t.mapInPandas(_toml_rows, "project string, ecosystem string, kind string, name string, "
-                                     "version string, description string")
+    """``project, ecosystem, name, version, description, deps`` of
+    pyproject.toml (a field of [project] before the same of [tool.poetry])
+    and Cargo.toml ([package]); files without these tables give nothing."""
+    none = F.array().cast("array<string>")
+    py = _toml_sections(manifests, "pyproject.toml").select("project", _toml_table("project").alias("pep"), _toml_table("tool.poetry").alias("poetry"),
+                                                            _toml_table("tool.poetry.dependencies").alias("listed"))
+    py = py.where("pep is not null or poetry is not null or listed is not null")
+    array = rf"\n[ \t]*dependencies[ \t]*=[ \t]*{_TOML_ARRAY}"
+    items = F.regexp_extract_all(F.regexp_extract("pep", array, 1), F.lit(_TOML_STRING), F.lit(0))
+    items = F.transform(items, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    keys = F.regexp_extract_all("listed", F.lit(r"\n[ \t]*[\"']?([A-Za-z0-9_.-]+)[\"']?[ \t]*="), F.lit(1))
+    deps = F.when(F.regexp_like("pep", F.lit(array)), items).otherwise(F.coalesce(keys, none))
+    py = py.select("project", F.lit("python").alias("ecosystem"),
+                   *[F.coalesce(_toml_text(F.col("pep"), k), _toml_text(F.col("poetry"), k)).alias(k) for k in ("name", "version", "description")], deps.alias("deps"))
+    cargo = _toml_sections(manifests, "Cargo.toml").select("project", _toml_table("package").alias("pkg")).where("pkg is not null")
+    cargo = cargo.select("project", F.lit("cargo").alias("ecosystem"), *[_toml_text(F.col("pkg"), k).alias(k) for k in ("name", "version", "description")], none.alias("deps"))
+    return py.unionByName(cargo)
 
 
 def package_info(manifests: DataFrame) -> DataFrame:
     """All ecosystems' package records, plus the setup.py / Gemfile markers."""
     toml = toml_records(manifests)
-    info = toml.where(F.col("kind") == "info").select(
+    info = toml.select(
         "project", "ecosystem", "name", "version", "description", F.lit(True).alias("has_file"))
     markers = manifests.where(F.col("name").isin("setup.py", "Gemfile")).select(
         "project", F.when(F.col("name") == "setup.py", F.lit("python")).otherwise(F.lit("ruby")).alias("ecosystem"),
@@ -122,9 +134,9 @@ def package_info(manifests: DataFrame) -> DataFrame:
 
 def dependencies(manifests: DataFrame) -> DataFrame:
     """Dependency rows of all manifests, unique per (project, ecosystem, name, dep_type)."""
-    toml = toml_records(manifests).where(F.col("kind") == "dep").select(
-        "project", "ecosystem", "name", F.lit("dependencies").alias("dep_type"), F.lit(False).alias("is_dev"),
-        "version")
+    toml = toml_records(manifests).select(
+        "project", "ecosystem", F.explode("deps").alias("name"), F.lit("dependencies").alias("dep_type"),
+        F.lit(False).alias("is_dev"), F.lit(None).cast("string").alias("version"))
     u = npm_dependencies(manifests).unionByName(toml)
     return u.groupBy("project", "ecosystem", "name", "dep_type").agg(
         F.max("is_dev").alias("is_dev"), F.max("version").alias("version"))
