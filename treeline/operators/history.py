@@ -1,11 +1,12 @@
 """Time-ordered catalog history: LOC deltas (W3), record-on-change (W4),
 recent commits (W5), scan logs (S12, O6) and LOC history reads (O7).
 
-All windows are partitioned by project; within a project the order is
-(time, id), so results are deterministic.  A project's history is
-one window partition -- spillable, and the per-project top-N reads use
-``row_number() <= N``, which Spark plans as a partial WindowGroupLimit
-before the shuffle.
+Within a project the order is (time, id), so results are deterministic.  A
+project's history may be huge, so "the previous row" is found per project and
+month: windows cover one month, and the last row of the month before is
+carried over from a small aggregate.  Per-project top-N reads use
+``row_number() <= N``, which Spark plans as a partial WindowGroupLimit before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -16,15 +17,33 @@ from pyspark.sql import functions as F
 from treeline.functions import fixed
 
 
+def with_previous(rows: DataFrame, value: str, project_col: str, time_col: str, id_col: str, period: str = "month") -> DataFrame:
+    """``rows`` with ``_first`` (the project's first row) and ``_prev`` (the
+    value of the row before, by time and id).  No window spans more than one
+    project and period; null times are a period of their own, which comes first."""
+    part = F.date_trunc(period, F.col(time_col).cast("timestamp_ntz"))
+    d = rows.withColumn("_period", part)
+    order = F.struct(F.col(time_col), F.col(id_col))
+    ends = d.groupBy(project_col, "_period").agg(F.max_by(F.struct(value), order).alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(project_col).orderBy("_period"))
+    ends = ends.select(F.col(project_col).alias("_project"), F.col("_period").alias("_in"), before.alias("_before"))
+    j = d.join(ends, F.col(project_col).eqNullSafe(F.col("_project")) & F.col("_period").eqNullSafe(F.col("_in")))
+    w = Window.partitionBy(project_col, "_period").orderBy(time_col, id_col)
+    opens = F.row_number().over(w) == 1
+    j = j.withColumn("_opens", opens).withColumn("_lag", F.lag(value).over(w))
+    return (j.withColumn("_first", F.col("_opens") & F.col("_before").isNull())
+            .withColumn("_prev", F.when(F.col("_opens"), F.col("_before")[value]).otherwise(F.col("_lag")))
+            .drop("_period", "_project", "_in", "_before", "_opens", "_lag"))
+
+
 def loc_delta(history: DataFrame, project_col: str = "project_id", time_col: str = "recorded_at",
               id_col: str = "snapshot_id") -> DataFrame:
     """Change vs the previous snapshot; the first one is 'Initial'.
 
     ``change`` is '+1,234' / '-1,234' / '0' / 'Initial'.
     """
-    w = Window.partitionBy(project_col).orderBy(time_col, id_col)
-    prev = F.lag("lines_of_code").over(w)
-    d = history.withColumn("delta", F.col("lines_of_code") - prev)
+    d = with_previous(history, "lines_of_code", project_col, time_col, id_col)
+    d = d.withColumn("delta", F.col("lines_of_code") - F.col("_prev")).drop("_first", "_prev")
     change = (F.when(F.col("delta").isNull(), F.lit("Initial"))
               .when(F.col("delta") > 0, F.concat(F.lit("+"), F.format_number(F.col("delta"), 0)))
               .when(F.col("delta") < 0, F.format_number(F.col("delta"), 0))
@@ -36,11 +55,8 @@ def record_on_change(snapshots: DataFrame, project_col: str = "project_id", time
                      id_col: str = "snapshot_id") -> DataFrame:
     """History rows a sequence of scans writes: the first scan of a
     project, then every scan whose LOC differs from the previous scan's."""
-    w = Window.partitionBy(project_col).orderBy(time_col, id_col)
-    prev = F.lag("lines_of_code").over(w)
-    first = F.row_number().over(w) == 1
-    return (snapshots.withColumn("_keep", first | ~F.col("lines_of_code").eqNullSafe(prev))
-            .where(F.col("_keep")).drop("_keep"))
+    d = with_previous(snapshots, "lines_of_code", project_col, time_col, id_col)
+    return d.where(F.col("_first") | ~F.col("lines_of_code").eqNullSafe(F.col("_prev"))).drop("_first", "_prev")
 
 
 def recent_commits(commits: DataFrame, n: int = fixed.RECENT_COMMITS) -> DataFrame:
