@@ -127,6 +127,16 @@ def a3_project_dates(spark, sf_dir):
     return scan.project_dates(_files(spark, sf_dir, False))
 
 
+_IGNORED = ", ".join(f"'{n}'" for n in fixed.CHANGE_IGNORED_FILES)
+
+
+@register("a4_latest_mtime", "WITH " + _FLAGGED + f"""
+SELECT project, max(modified_at) AS latest_mtime FROM flagged
+WHERE NOT excluded AND NOT hidden AND name NOT IN ({_IGNORED}) GROUP BY project""")
+def a4_latest_mtime(spark, sf_dir):
+    return scan.latest_mtime(_files(spark, sf_dir, False))
+
+
 @register("o8_dir_listing", "WITH " + _FLAGGED + """,
 inv AS (SELECT project, path, size_bytes, modified_at, language, string_split(path, '/') AS parts
         FROM withlang WHERE NOT excluded AND NOT hidden),

@@ -13,6 +13,7 @@ from treeline.io import table
 from treeline.operators import text_index, vectors
 from treeline.plans import oracle
 from treeline.plans.registry import register
+from treeline.plans.standins import BRIDGE_SQL, PROJECTS_SQL, keyword_bridge, projects
 
 VEC_SQL = """vecs AS (
   SELECT vec_id AS id, embedding, label AS project_id,
@@ -94,6 +95,21 @@ def x4_vector_upsert(spark, sf_dir):
                     F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_value"))
 
 
+@register("f9_vector_rows", "WITH " + PROJECTS_SQL + ",\n" + BRIDGE_SQL + """,
+kw AS (SELECT project_id, list(keyword ORDER BY keyword) AS k FROM bridge GROUP BY 1),
+t AS (SELECT id, name, short_description, coalesce(k, []) AS k,
+             concat_ws('. ', name, nullif(short_description, ''), CASE WHEN len(coalesce(k, [])) > 0 THEN 'Keywords: ' || array_to_string(k, ', ') END,
+                       nullif(substr(readme_content, 1, 1000), '')) AS text
+      FROM proj LEFT JOIN kw ON proj.id = kw.project_id)
+SELECT id, text, name AS meta_name, substr(short_description, 1, 500) AS meta_short_description, array_to_string(k[1:20], ',') AS meta_keywords,
+       substr(text, 1, 5000) AS document FROM t""")
+def f9_vector_rows(spark, sf_dir):
+    """The text embedded for each project, and its metadata."""
+    kw = keyword_bridge(spark, sf_dir).groupBy(F.col("project_id").alias("id")).agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    p = projects(spark, sf_dir).join(kw, "id", "left").withColumn("long_description", F.lit(None).cast("string"))
+    return vectors.project_vector_rows(p).drop("kind", "project_id")
+
+
 @register("x3_embed", r"""
 WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM documents),
 n AS (SELECT doc_id, token, count(*) AS n, md5(token) AS h FROM t GROUP BY ALL),
