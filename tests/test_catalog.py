@@ -89,10 +89,8 @@ def test_full_and_single_scan(spark):
 
 
 def test_scan_log_row_and_store_append(spark):
-    import os
     import uuid
 
-    from treeline.session import ensure_checkpoint_dir
     from treeline.sources.store import CatalogStore
 
     before, disk = _frames(spark)
@@ -104,7 +102,7 @@ def test_scan_log_row_and_store_append(spark):
     r = log.collect()[0]
     assert (r.scan_type, r.projects_found, r.projects_scanned, r.error_count, r.triggered_by) == \
         ("incremental", 4, 4, 2, "api")
-    store = CatalogStore(spark, os.path.join(ensure_checkpoint_dir(spark), f"cat-{uuid.uuid4().hex[:8]}"))
+    store = CatalogStore(spark, f"cat_{uuid.uuid4().hex[:8]}")
     store.append("scan_logs", log)
     store.append("scan_logs", log)
     assert store.read("scan_logs").count() == 2

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from treeline.plans.pipelines import run_scan
-from treeline.session import ensure_checkpoint_dir
 from treeline.sources.store import CatalogStore
 
 
@@ -27,7 +26,7 @@ def test_incremental_scan_pipeline(spark):
     _w(base, "alpha/main.py", "a\nb\n", old)
     _w(base, "beta/lib.rs", "x\n", old)
     _w(base, "beta/README.md", "# beta\n", old)
-    store = CatalogStore(spark, os.path.join(ensure_checkpoint_dir(spark), f"cat-{uuid.uuid4().hex[:8]}"))
+    store = CatalogStore(spark, f"cat_{uuid.uuid4().hex[:8]}")
     remotes = spark.createDataFrame([("alpha", "git@github.com:o/alpha.git")], "name string, remote string")
 
     run_scan(spark, base, store, "2030-01-01 00:00:00", remotes)          # first scan: all new

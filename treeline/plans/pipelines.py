@@ -6,7 +6,10 @@
     -> renames / orphans (J5, J7) -> changed set (J6) -> stats, languages,
     dates of the changed projects only (A1-A3) -> upsert (M1) -> child
     tables replaced (M2: files), LOC history appended on change (M6 / W4)
-    -> scan log row (S12) -> one atomic publish of every table.
+    -> scan log row (S12) -> the tables are written, then replace the old.
+
+The tree is listed once, without content, and the listing is written; file
+contents are read for the projects to scan only.
 
 No per-project loop: each step is a join or an aggregation keyed by
 project.  Remotes come from an exported ``(name, remote)`` table because
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators import catalog as cat
 from treeline.operators import history, scan
+from treeline.session import materialize
 from treeline.sources.repo_tree import read_tree
 from treeline.sources.store import CatalogStore
 
@@ -52,12 +56,9 @@ def scan_rows(files: DataFrame, base_path: str, only: DataFrame | None = None) -
 
 def run_scan(spark: SparkSession, base_path: str, store: CatalogStore, as_of: str,
              remotes: DataFrame | None = None, scan_type: str = "incremental",
-             only: list[str] | None = None, triggered_by: str = "api") -> str:
-    """M3 (``scan_type='incremental'``) or M4 (``'full'`` / ``'single'``).
-
-    Returns the published catalog version.
-    """
-    files = read_tree(spark, base_path, content=True)
+             only: list[str] | None = None, triggered_by: str = "api") -> None:
+    """M3 (``scan_type='incremental'``) or M4 (``'full'`` / ``'single'``)."""
+    files = materialize(read_tree(spark, base_path, content=False).drop("content"))
     found = scan.discover(files).select(F.col("project").alias("name"))
     mt = scan.latest_mtime(files).withColumnRenamed("project", "name")
     disk = found.join(mt, "name", "left").select(
@@ -84,9 +85,12 @@ def run_scan(spark: SparkSession, base_path: str, store: CatalogStore, as_of: st
         renamed = cat.apply_renames(catalog, ren).join(orph.select("id"), "id", "left_anti")
         todo_names = disk.select("name") if not only else disk.where(F.col("name").isin(only)).select("name")
         changed = todo_names.withColumn("latest_mtime", F.lit(None).cast("timestamp_ntz"))
-    rows = scan_rows(files, base_path, todo_names).join(disk.select("name", F.col("remote").alias("git_remote_url")),
+    todo_names = materialize(todo_names)
+    texts = read_tree(spark, base_path, content=True, projects=only if only else None)
+    rows = scan_rows(texts, base_path, todo_names).join(disk.select("name", F.col("remote").alias("git_remote_url")),
                                                        "name", "left")
     rows = rows.withColumn("scanned_at", F.lit(as_of).cast("timestamp_ntz"))
+    rows = materialize(rows)  # the contents are read once
     new_catalog = cat.upsert(renamed, rows, as_of)
 
     ids = new_catalog.join(todo_names, "name", "left_semi").select("id", F.col("name").alias("project"))
@@ -102,7 +106,6 @@ def run_scan(spark: SparkSession, base_path: str, store: CatalogStore, as_of: st
     hist_table = cat.cascade(old_hist, survivors).unionByName(appended.select(*old_hist.columns))
 
     log = cat.scan_log_row({"changed": changed, "scanned": rows}, scan_type, as_of, as_of, triggered_by)
-    if "scan_logs" in tables:
-        log = store.read("scan_logs").unionByName(log)
-    return store.publish({"projects": new_catalog, "files": files_table, "loc_history": hist_table,
-                          "scan_logs": log})
+    log = materialize(log)
+    store.publish({"projects": new_catalog, "files": files_table, "loc_history": hist_table})
+    store.append("scan_logs", log)

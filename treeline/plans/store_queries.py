@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from treeline.plans.registry import register
 from treeline.plans.standins import BRIDGE_SQL, PROJECTS_SQL, keyword_bridge, projects
-from treeline.session import scratch_path
 from treeline.sources.store import CatalogStore
 
 
@@ -15,9 +16,9 @@ SELECT p.id, p.name, p.primary_language, p.lines_of_code,
        (SELECT count(*) FROM bridge b WHERE b.project_id = p.id)::BIGINT AS n_keywords
 FROM proj p""")
 def s10_roundtrip(spark, sf_dir):
-    """Publish projects + keyword bridge, drop a scratch table, read back."""
-    store = CatalogStore(spark, scratch_path(spark, "catalog"))
-    store.reset()
+    """Create projects, keyword bridge and a scratch table, drop the latter, read back."""
+    store = CatalogStore(spark, f"treeline_s10_{uuid.uuid4().hex[:8]}")
+    store.reset({"projects": "id long"})
     store.publish({"projects": projects(spark, sf_dir), "project_keywords": keyword_bridge(spark, sf_dir),
                    "scratch": projects(spark, sf_dir).select("id")})
     store.drop("scratch")

@@ -24,6 +24,7 @@ wall-clock (naive).
 
 from __future__ import annotations
 
+import json
 import os
 from datetime import datetime, timezone
 
@@ -33,6 +34,9 @@ SCHEMA = ("project string, path string, name string, size_bytes long, modified_a
           "content string, error string")
 
 
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
 class _Chunk(InputPartition):
     def __init__(self, project: str, entries: list[str]):
         super().__init__((project, entries))
@@ -68,11 +72,13 @@ class RepoTreeReader(DataSourceReader):
         self.per_part = int(options.get("entries_per_partition", "64"))
         pats = options.get("exclude")
         self.patterns = pats.split(",") if pats else list(fixed.EXCLUDE_DIRS)
+        self.projects = json.loads(options["projects"]) if options.get("projects") else None
 
     def partitions(self):
         parts = []
         try:
-            projects = sorted(e for e in os.listdir(self.base) if os.path.isdir(os.path.join(self.base, e)))
+            names = os.listdir(self.base) if self.projects is None else self.projects
+            projects = sorted(e for e in names if os.path.isdir(os.path.join(self.base, e)))
         except OSError:
             return [_Chunk("", [])]
         for p in projects:
@@ -101,6 +107,22 @@ class RepoTreeReader(DataSourceReader):
             return (project, rel, name, None, None, None, f"{type(e).__name__}: {e}")
 
     def read(self, partition):
+        """Arrow batches of at most BATCH_ROWS rows or about BATCH_BYTES of text."""
+        import pyarrow as pa
+
+        schema = pa.schema([("project", pa.string()), ("path", pa.string()), ("name", pa.string()), ("size_bytes", pa.int64()),
+                            ("modified_at", pa.timestamp("us")), ("content", pa.string()), ("error", pa.string())])
+        rows, size = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            size += len(row[5] or "")
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    def _rows(self, partition):
         project, entries = partition.project, partition.entries
         if not project:
             return
@@ -127,8 +149,11 @@ def register(spark) -> None:
     spark.dataSource.register(RepoTreeDataSource)
 
 
-def read_tree(spark, base: str, content: bool = True, prune: bool = True):
-    """Convenience: register the source and read ``base``."""
+def read_tree(spark, base: str, content: bool = True, prune: bool = True, projects: list[str] | None = None):
+    """Convenience: register the source and read ``base``, or only the named projects below it."""
     register(spark)
-    return (spark.read.format("repo_tree").option("path", base).option("content", str(content).lower())
-            .option("prune", str(prune).lower()).load())
+    r = (spark.read.format("repo_tree").option("path", base).option("content", str(content).lower())
+         .option("prune", str(prune).lower()))
+    if projects is not None:
+        r = r.option("projects", json.dumps(list(projects)))
+    return r.load()

@@ -1,123 +1,54 @@
-"""Catalog tables on a shared file system.
+"""Catalog tables (S10, M9): plain tables of Spark's own catalog.
 
-Layout below a catalog root (a folder in the cluster's shared storage)::
-
-    <root>/versions/<version>/<table>/   Parquet, one folder per table
-    <root>/published/<version>           empty marker, created last
-
-Version names start with a zero-padded millisecond clock, so the current
-version is the greatest marker.  ``publish`` writes every table of a new
-version first and creates its marker last (a single atomic file create on
-HDFS and object stores), so readers see either the old or the new catalog,
-never a mix, and there is no moment without a current version.  Old versions
-stay until ``vacuum``.  Parquet has no MERGE; a catalog change is a new
-version computed with DataFrame joins (upserts in
-:mod:`treeline.operators.catalog`).
+A catalog is a Spark database; its tables are Parquet tables that Spark
+creates, reads, appends to and drops.  A table that is computed from its own
+old rows is written beside them first and then takes their place.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.session import ensure_checkpoint_dir
+from treeline.session import scratch_path
 
 
 class CatalogStore:
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
-        self.root = (root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/catalog").rstrip("/")
-        sc = spark.sparkContext
-        self._jvm = sc._jvm
-        self._conf = sc._jsc.hadoopConfiguration()
-
-    # -- file system helpers (Hadoop API: works on HDFS, S3A, local) --
-    def _path(self, p: str):
-        return self._jvm.org.apache.hadoop.fs.Path(p)
-
-    def _fs(self):
-        return self._path(self.root).getFileSystem(self._conf)
+    """The tables of one database.  ``location`` is the folder for its files
+    (a shared one; below spark.checkpoint.dir by default)."""
 
-    def current_version(self) -> str | None:
-        fs = self._fs()
-        p = self._path(f"{self.root}/published")
-        if not fs.exists(p):
-            return None
-        names = [st.getPath().getName() for st in fs.listStatus(p)]
-        names = [n for n in names if not n.startswith((".", "_"))]
-        return max(names) if names else None
+    def __init__(self, spark: SparkSession, database: str = "treeline", location: str | None = None):
+        self.spark, self.database = spark, database
+        self.location = location or scratch_path(spark, "catalog")
+        self._create()
 
-    def _mark_published(self, version: str) -> None:
-        fs = self._fs()
-        fs.create(self._path(f"{self.root}/published/{version}"), False).close()
+    def _create(self) -> None:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.location}'")
 
-    # -- API --
-    def publish(self, tables: dict[str, DataFrame], carry_over: bool = True) -> str:
-        """Write a new version holding ``tables`` (plus, with ``carry_over``,
-        every other table of the current version) and make it current."""
-        cur = self.current_version()
-        stamp = int(time.time() * 1000)
-        if cur:
-            stamp = max(stamp, int(cur.split("-")[0]) + 1)   # strictly increasing versions
-        version = f"{stamp:015d}-{uuid.uuid4().hex[:8]}"
-        base = f"{self.root}/versions/{version}"
-        names = dict(tables)
-        if carry_over and cur:
-            for t in self.tables(cur):
-                if t not in names:
-                    names[t] = self.spark.read.parquet(f"{self.root}/versions/{cur}/{t}")
-        for name, df in names.items():
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
-        self._mark_published(version)
-        return version
-
-    def append(self, name: str, rows: DataFrame) -> str:
-        """Publish a version in which ``name`` also holds ``rows`` (small
-        append-only tables such as scan logs; copy-on-write)."""
-        cur = self.current_version()
-        if cur and name in self.tables(cur):
-            rows = self.read(name).unionByName(rows, allowMissingColumns=True)
-        return self.publish({name: rows})
-
-    def tables(self, version: str | None = None) -> list[str]:
-        v = version or self.current_version()
-        if not v:
-            return []
-        fs = self._fs()
-        p = self._path(f"{self.root}/versions/{v}")
-        if not fs.exists(p):
-            return []
-        return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
+    def tables(self) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
 
     def read(self, name: str) -> DataFrame:
-        v = self.current_version()
-        if not v:
-            raise FileNotFoundError(f"catalog at {self.root} has no published version")
-        return self.spark.read.parquet(f"{self.root}/versions/{v}/{name}")
-
-    def drop(self, name: str) -> str:
-        """Publish a version without ``name``."""
-        cur = self.current_version()
-        keep = {t: self.read(t) for t in self.tables(cur) if t != name}
-        return self.publish(keep, carry_over=False)
-
-    def reset(self, schemas: dict[str, str] | None = None) -> str:
-        """M9: a new, empty catalog version (optionally with empty tables)."""
-        empty = {n: self.spark.createDataFrame([], s) for n, s in (schemas or {}).items()}
-        return self.publish(empty, carry_over=False)
-
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete all but the newest ``keep`` versions (never the current one)."""
-        fs = self._fs()
-        p = self._path(f"{self.root}/versions")
-        if not fs.exists(p):
-            return []
-        vs = sorted(st.getPath().getName() for st in fs.listStatus(p))
-        cur = self.current_version()
-        gone = [v for v in vs[:-keep] if v != cur] if keep else [v for v in vs if v != cur]
-        for v in gone:
-            fs.delete(self._path(f"{self.root}/published/{v}"), False)
-            fs.delete(self._path(f"{self.root}/versions/{v}"), True)
-        return gone
+        return self.spark.table(f"{self.database}.{name}")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows; no stored row is touched."""
+        rows.write.mode("append").format("parquet").saveAsTable(f"{self.database}.{name}")
+
+    def publish(self, tables: dict[str, DataFrame]) -> None:
+        """Creates or replaces tables, which may be computed from the ones
+        they replace: all are written before the first old one is dropped."""
+        for name, df in tables.items():
+            self.drop(f"{name}__next")
+            df.write.format("parquet").saveAsTable(f"{self.database}.{name}__next")
+        for name in tables:
+            self.drop(name)
+            self.spark.sql(f"ALTER TABLE {self.database}.{name}__next RENAME TO {self.database}.{name}")
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{name}")
+
+    def reset(self, schemas: dict[str, str] | None = None) -> None:
+        """M9: an empty catalog, with empty tables of the given schemas."""
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+        self._create()
+        self.publish({n: self.spark.createDataFrame([], s) for n, s in (schemas or {}).items()})
