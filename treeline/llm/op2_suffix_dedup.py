@@ -185,15 +185,17 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, kgram: int = KGRAM, most: in
     may overlap; together they are all such bytes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _checksum().alias("text_id"), "text")
     found = materialize(_all_segments(docs, size, kgram), "stage")
+    # aggregates are written before they are joined: a join of two shuffled sides can split a frequent k-gram's rows
     shared = found.groupBy("gram").agg(F.count("*").alias("rows"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("rows > 1")
-    several = materialize(found.join(shared.select("gram", (F.col("low") == F.col("high")).alias("equal")), "gram"), "stage")
+    shared = materialize(shared.select("gram", (F.col("low") == F.col("high")).alias("equal")), "stage")
+    several = materialize(found.join(shared, "gram"), "stage")
     stop = (F.col("last") + size).alias("stop")
     out = several.where("equal").select(*_KEYS, F.col("first").alias("start"), stop)
     mixed = several.where("not equal")
     kinds = materialize(mixed.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_id", "first", "last")).alias("one")), "stage")
     copied = mixed.join(kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
     out = out.union(copied.select(*_KEYS, F.col("first").alias("start"), stop))
-    crowds = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).select("gram", (F.col("kinds") > most).alias("crowded"))
+    crowds = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).select("gram", (F.col("kinds") > most).alias("crowded")), "stage")
     asked = kinds.join(crowds, "gram").select("gram", "one.*", "n", "crowded").groupBy(F.col("doc_id").alias("id"), F.col("text_id").alias("tid")).agg(
         F.collect_list(F.struct("gram", "first", "last", "n", "crowded")).alias("asked"))  # at most a document's own segments
     texts = docs.join(asked, docs.doc_id.eqNullSafe(asked.id) & (docs.text_id == asked.tid)).select(*_KEYS, "text", "asked")
