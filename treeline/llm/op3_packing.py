@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.common import materialize, read, tokenizer_path
-from treeline.llm.pretokens import PieceCache, dropped_pieces, load
+from treeline.llm.pretokens import word_ids
 from treeline.llm.registry import register
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,15 +39,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE,
     schema += [("ids", "binary")] if ids else []
 
     def run(batches):
-        cache = PieceCache(load(tokenizer_path(vocabulary)), lambda x: x.tobytes(), lambda p: p + " ")
-        get, width = cache.__getitem__, 4 * size
-        for b in batches:
-            texts = b["text"].to_pylist()
-            cut = [dropped_pieces(t) if t else [] for t in texts]
-            cache.learn(set().union(*(c for c in cut if c)))
+        words, width = word_ids(tokenizer_path(vocabulary)), 4 * size
+        for b in _joined(batches):
             owner, piece, length, crc, data = [], [], [], [], []
-            for k, (c, t) in enumerate(zip(cut, texts)):
-                whole = (cache.whole(t) if c is None else b"".join(map(get, c))) + bytes(4)
+            for k, of_text in enumerate(words.of(b["text"].to_pylist())):
+                whole = of_text + bytes(4)
                 for j, at in enumerate(range(0, len(whole), width)):
                     part = whole[at:at + width]
                     owner.append(k)
@@ -63,6 +59,19 @@ def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE,
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in schema))
 
 
+def _joined(batches, nbytes: int = 8 << 20):
+    """The batches of a task, joined up to about ``nbytes``: a stretch of text is then looked up once for many documents."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= nbytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def patterns(size: int, lengths: np.ndarray) -> np.ndarray:
     """Rows of up to four lengths (0: none) that sum to ``size``: all pairs,
     and for every longest document some ways to fill the rest with two or

@@ -9,10 +9,13 @@ results never depend on the fast path.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Control characters, superscripts and fractions, and everything beyond Latin
 #: Extended-B (dashes, quotation marks and the euro sign excepted) are left to the library.
@@ -47,11 +50,6 @@ def spaced_pieces(text: str) -> list[str] | None:
     return [" " + first, *rest]
 
 
-def dropped_pieces(text: str) -> list[str] | None:
-    """Pieces of a text whose white space is dropped (word vocabularies)."""
-    return text.split() if plain(text) else None
-
-
 class PieceCache(dict):
     """What the tokenizer gives for a piece: tier one is a fixed table of
     frequent pieces, tier two a worker cache.  Tier two is emptied when it
@@ -96,3 +94,79 @@ class PieceCache(dict):
         cut = np.searchsorted(ends, starts, side="right")
         for j, p in enumerate(pieces):
             self[p] = self.value(ids[cut[j]:cut[j + 1]])
+
+
+#: Fixed value: the pre-token pattern of the word vocabulary, for lower-cased text that ``plain`` accepts.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class WordIds:
+    """Ids, as little-endian bytes, of texts under a vocabulary that lower-cases
+    and marks word ends.  Stretches between white space are remembered, and
+    below them words; only words that are new go to the library, many in one
+    call, and word-end tokens tell where each one's ids stop.  Both memories
+    are emptied when they hold ``most`` entries."""
+
+    def __init__(self, tokenizer, most: int = 800_000):
+        self.tokenizer, self.most = tokenizer, most
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocab = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text; null: none.  Stretches are told apart in
+        Arrow, so Python sees each distinct one of a batch once."""
+        easy = [t is None or plain(t) for t in texts]
+        lists = pc.utf8_split_whitespace(pa.array([t if t and e else "" for t, e in zip(texts, easy)], pa.string()))
+        kinds = lists.flatten().dictionary_encode()
+        stretches = kinds.dictionary.to_pylist()
+        self._learn(stretches)
+        each = [self.stretches[p] if len(p) <= LONGEST else self.whole(p) for p in stretches]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids, start = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+        at = kinds.indices.to_numpy()
+        count = size[at]
+        stop = np.cumsum(count)
+        ids = ids[np.repeat(start[at] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+        edge = np.append(0, stop)[lists.offsets.to_numpy()].tolist()
+        return [ids[s:e].tobytes() if ok else self.whole(t) for s, e, ok, t in zip(edge, edge[1:], easy, texts)]
+
+    def _learn(self, stretches: list[str]) -> None:
+        known = self.stretches
+        new = [p for p in stretches if p not in known and len(p) <= LONGEST]
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = [p for p in stretches if len(p) <= LONGEST]
+        parts = [_WORDS.findall(p.lower()) for p in new]
+        wanted = set().union(*parts)
+        if len(self.words) + len(wanted) > self.most:
+            self.words.clear()
+        words = [w for w in wanted if w not in self.words]
+        for k in range(0, len(words), 8192):
+            self._encode(words[k:k + 8192])
+        get = self.words.__getitem__
+        known.update((p, b"".join(map(get, ws))) for p, ws in zip(new, parts))
+
+    def _encode(self, words: list[str]) -> None:
+        groups = [words[k:k + 128] for k in range(0, len(words), 128)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(group):
+                self.words.update((w, self.whole(w)) for w in group)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, s in zip(group, (stop * 4).tolist()):
+                self.words[w] = data[at:s]
+                at = s
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that its tasks share what they have learnt."""
+    return WordIds(load(path))
