@@ -206,3 +206,28 @@ def test_module_search_unknown_project_means_no_filter(spark):
     q = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, query_vec array<float>")
     assert [r.id for r in vectors.search_modules(vecs, q, 5, names, "nobody").orderBy("rank").collect()] == [1, 2]
     assert [r.id for r in vectors.search_modules(vecs, q, 5, names, "two").collect()] == [2]
+
+
+def test_lsh_recall_over_query_blocks_against_brute_force(spark, monkeypatch):
+    from treeline.plans.vector_queries import x5_lsh_recall
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    queries = [i for i in ids if i % 20 == 0]
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 8)
+    assert len(queries) > 8
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    q = e.where("id % 20 = 0").selectExpr("id as query_id", "embedding as query_vec")
+    exact, approx = ({} for _ in range(2))
+    for out, df in ((exact, vectors.knn_blocks(e, q.union(q.limit(3)), 10)), (approx, vectors.lsh_candidates(e, q, 10))):
+        for r in df.collect():
+            out.setdefault(r.query_id, []).append(r.id)
+    want = {}
+    for i in queries:
+        d = ((v - v[ids.index(i)]) ** 2).sum(axis=1)
+        want[i] = {ids[j] for j in sorted(range(len(ids)), key=lambda j: (d[j], ids[j]))[:10]}
+    assert {i: set(x) for i, x in exact.items()} == want and all(len(x) == 10 for x in exact.values())
+    recall = {i: len(want[i] & set(approx.get(i, ()))) / 10 for i in queries}
+    assert sum(recall.values()) >= 0.9 * len(queries)
+    assert {r.query_id: round(r.recall, 6) for r in x5_lsh_recall(spark, sf).collect()} == recall

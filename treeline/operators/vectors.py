@@ -18,7 +18,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Most queries of one search; a larger batch is refused, for the caller to split.
+# Most queries of one search; a larger batch is refused, knn_blocks splits it.
 MAX_QUERIES = 16_384
 
 
@@ -95,8 +95,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_
 
     Returns ``(query_id, id, distance, score, rank)``; ties broken by id.
     Ids may be of any ordered type.  An empty query batch gives an empty
-    result; one of more than MAX_QUERIES is refused.  Null ids and vectors
-    are no neighbours.
+    result; one of more than MAX_QUERIES is refused, see :func:`knn_blocks`.
+    Null ids and vectors are no neighbours.
     """
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_type
@@ -116,6 +116,32 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_
     return ranked.withColumn("score", similarity(F.col("distance")))
 
 
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+               qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2") -> DataFrame:
+    """X5 exact for any number of queries (repeated rows are one): :func:`knn`
+    over hashed blocks of at most MAX_QUERIES, one pass each.  Passes are
+    written one by one, so the driver holds one block at a time."""
+    from treeline.session import materialize
+
+    q = queries.select(qid_col, qvec_col).distinct()
+    n = q.count()
+    if n <= MAX_QUERIES:
+        return knn(vectors, q, k, id_col, vec_col, qid_col, qvec_col, metric)
+    blocks = -(-2 * n // MAX_QUERIES)
+    while True:
+        dealt = q.withColumn("_block", F.pmod(F.xxhash64(qid_col, qvec_col), F.lit(blocks)))
+        used = {r[0]: r[1] for r in dealt.groupBy("_block").count().collect()}
+        if max(used.values()) <= MAX_QUERIES:
+            break
+        blocks *= 2
+    dealt = materialize(dealt, "stage")
+    out = None
+    for b in sorted(used):
+        part = materialize(knn(vectors, dealt.where(F.col("_block") == b), k, id_col, vec_col, qid_col, qvec_col, metric), "stage")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def hash_features(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 384) -> DataFrame:
     """X3 offline encoder as rows ``id_cols, bucket, weight``: term
     frequencies of tokens hashed by the first 16 bits of their MD5, scaled
@@ -177,10 +203,12 @@ def lsh_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     q = queries.select(F.col(qid_col).alias("query_id"), array_to_vector(_as_double_array(F.col(qvec_col))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(v)
-    hv = model.transform(v).select("id", "features", F.posexplode("hashes").alias("table", "h"))
-    hq = model.transform(q).select("query_id", F.col("features").alias("qf"), F.posexplode("hashes").alias("table", "h"))
-    pairs = (hq.join(hv, ["table", "h"]).select("query_id", "id", "features", "qf")
-             .dropDuplicates(["query_id", "id"]))
+    # a pair is taken from the first table it meets in, so it needs no removal of repeated pairs and their vectors
+    hv = model.transform(v).select("id", "features", F.col("hashes").alias("vh"), F.posexplode("hashes").alias("table", "h"))
+    hq = model.transform(q).select("query_id", F.col("features").alias("qf"), F.col("hashes").alias("qh"), F.posexplode("hashes").alias("table", "h"))
+    pairs = hq.join(hv, ["table", "h"])
+    for t in range(num_tables - 1):
+        pairs = pairs.where((F.col("table") <= t) | (F.get("vh", F.lit(t)) != F.get("qh", F.lit(t))))
     from pyspark.ml.functions import vector_to_array
     d = pairs.select("query_id", "id", distance(vector_to_array(F.col("features")), vector_to_array(F.col("qf"))).alias("distance"))
     w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id"))

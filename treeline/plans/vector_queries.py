@@ -129,7 +129,7 @@ def x5_lsh_recall(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     v = e.select(F.col("vec_id").alias("id"), "embedding")
     q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    exact = vectors.knn(v, q, 10).select("query_id", "id")
+    exact = vectors.knn_blocks(v, q, 10).select("query_id", "id")
     approx = vectors.lsh_candidates(v, q, 10).select("query_id", "id", F.lit(1).alias("hit"))
     j = exact.join(approx, ["query_id", "id"], "left")
     return j.groupBy("query_id").agg((F.count("hit") / F.lit(10.0)).alias("recall"))
