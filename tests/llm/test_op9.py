@@ -76,3 +76,12 @@ def test_mined_rules_against_brute_force(llm):
 def test_empty(llm):
     pages = llm.createDataFrame([], "page_id long, url string")
     assert op.judge(pages, op.mine(pages, llm.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
+
+
+def test_a_rule_does_not_depend_on_the_table_size(llm):
+    pages = llm.range(10_000).selectExpr("id as page_id", "if(id < 50, concat('http://bad.example.net/', id), concat('http://good', id % 7, '.example.net/', id)) as url")
+    labels = llm.range(10_000).selectExpr("id as doc_id", "int(id >= 50) as quality", "int(null) as toxic")
+    for n in (5_000, 10_000):
+        mined = op.mine(pages, labels.where(f"doc_id < {n}"))
+        assert ["host:bad"] in [r.antecedent for r in mined.collect()]
+        assert {r.page_id for r in op.judge(pages, mined).where("verdict = 'block'").collect()} == set(range(50))

@@ -1,8 +1,8 @@
 """URL filtering by host and path rules, and by mined association rules.
 
 Fixed rules decide first (longest fitting rule).  For all other urls, Spark's
-FP-growth mines combinations of URL tokens from labelled pages; the rules
-"tokens -> bad" that keep enough support, confidence and evidence are matched
+FP-growth mines combinations of URL tokens from the bad pages; the rules
+"tokens -> bad" that keep enough evidence and confidence are matched
 through an inverted index keyed by each rule's rarest token.
 """
 
@@ -18,7 +18,6 @@ from treeline.llm.registry import register
 #: Fixed values: (verdict, host, path) of the rules that the query applies.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-_BAD = "label:bad"
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -48,35 +47,40 @@ def tokens() -> Column:
     return F.filter(F.array_distinct(F.concat(host, path, query)), lambda x: ~F.endswith(x, F.lit(":")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.01, min_confidence: float = 0.6,
-         min_count: int = 5) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, min_confidence: float = 0.6, min_count: int = 5) -> DataFrame:
     """Rules ``antecedent`` (array of tokens), confidence, support and
     ``pivot`` (its rarest token), mined from all labelled pages.
 
     ``pages``: page_id, url; ``labels``: doc_id (a page_id), quality, toxic;
     quality 0 or toxic 1 is bad, nulls count as neither.  A rule stays if its
     tokens lie in at least ``min_count`` bad pages and the lower end of the
-    95 % interval of its confidence reaches ``min_confidence``.  No labels:
-    no rules.
+    95 % interval of its confidence reaches ``min_confidence``, whatever else
+    is labelled: combinations are mined from the bad pages by their count,
+    and counted over all pages after that.  No labels: no rules.
     """
+    spark = pages.sparkSession
     bad = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     marked = with_parts(pages.select("page_id", "url")).join(bad, F.col("page_id") == F.col("doc_id")).select(
-        F.when(F.col("bad") == 1, F.concat(tokens(), F.array(F.lit(_BAD)))).otherwise(tokens()).alias("items"))
+        tokens().alias("items"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
     marked = materialize(marked.where(F.size("items") > 0), "stage")
-    n = marked.count()
-    spark = pages.sparkSession
-    if not n:
+    n, n_bad = marked.agg(F.count("*"), F.sum("bad")).first()
+    if not n or n_bad < min_count:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, pivot string")
-    fitted = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
-    z, p, seen = 1.96, F.col("confidence"), F.col("support") * n / F.col("confidence")
-    lower = (p + z * z / (2 * seen) - z * F.sqrt(p * (1 - p) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
-    rules = fitted.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD)
-                                          & (F.col("support") * n >= min_count) & (lower >= min_confidence))
-    rules = rules.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
-    alone = fitted.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    pivot = (rules.select("antecedent", F.explode("antecedent").alias("token")).join(alone, "token")
+    # half a page below the count, as the product is rounded up again
+    fitted = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n_bad).fit(marked.where("bad = 1").select("items"))
+    sets = materialize(fitted.freqItemsets.select(F.sort_array("items").alias("antecedent"), F.col("freq").alias("hits")), "stage")
+    # urls of one form are counted once; a form meets the index at a combination's rarest token only
+    forms = materialize(marked.groupBy(F.sort_array("items").alias("items")).agg(F.count("*").alias("n")), "stage")
+    alone = forms.select("n", F.explode("items").alias("token")).groupBy("token").agg(F.sum("n").alias("freq"))
+    pivot = (sets.select("antecedent", F.explode("antecedent").alias("token")).join(alone, "token")
              .groupBy("antecedent").agg(F.min(F.struct("freq", "token")).alias("least")))
-    return rules.join(pivot, "antecedent").select("antecedent", "confidence", "support", F.col("least.token").alias("pivot"))
+    index = materialize(sets.join(pivot, "antecedent").select("antecedent", "hits", F.col("least.token").alias("pivot")), "stage")
+    asked = forms.select("items", "n", F.explode("items").alias("pivot"))
+    held = asked.join(index, "pivot").where(F.size(F.array_except("antecedent", "items")) == 0)
+    counted = held.groupBy("antecedent", "hits", "pivot").agg(F.sum("n").alias("seen"))
+    z, p, seen = 1.96, F.col("hits") / F.col("seen"), F.col("seen")
+    lower = (p + z * z / (2 * seen) - z * F.sqrt(p * (1 - p) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
+    return counted.where(lower >= min_confidence).select("antecedent", p.alias("confidence"), (F.col("hits") / n).alias("support"), "pivot")
 
 
 def matched_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
