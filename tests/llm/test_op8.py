@@ -106,3 +106,38 @@ def test_odd_rows(llm, fixture_docs):
     for r in rows:
         assert [(s.start, op.KINDS.index(s.kind), s.stop) for s in r.personal if s.base] == brute(r.text)
     assert op.find_personal_data(fixture_docs.limit(0), tagger).count() == 0
+
+
+class ByPattern:
+    """Tags what a pattern finds in a stretch, surely."""
+
+    def read(self, parts):
+        out = []
+        for p in parts:
+            tags = np.zeros(len(p), np.int64)
+            for m in re.finditer(r"a+@b_c+\.de", "".join(chr(c - 1) for c in p)):
+                tags[m.start():m.end()] = 2
+                tags[m.start()] = 1
+            out.append((tags, np.ones(len(p))))
+        return out
+
+
+def test_stretches_hold_whole_words_and_spans_over_edges():
+    rng = random.Random(5)
+    address = "info@bücher-versand-deutschland.de"
+    for t in (address, f"{'x' * 40} {address} {'y' * 40}", f"write\nto {address}, or {address}\tby 5 p.m."):
+        at = [m.start() for m in re.finditer(address, t)]
+        assert all(any(s <= x and x + len(address) <= e for s, e in op.stretches(t)) for x in at)
+    for _ in range(300):
+        t = "".join(rng.choice(["1", "@", " ", "\n", "word", "long" * 9, "\u3000"]) for _ in range(rng.randrange(30)))
+        where = op.stretches(t)
+        assert all(x[1] <= y[0] for x, y in zip(where, where[1:]))
+        for m in re.finditer(r"\S*[0-9@]\S*", t):
+            assert any(s <= m.start() and m.end() <= e for s, e in where), t
+    t, want = "", []
+    while len(t) < 40_000:
+        t += "0x" * rng.randrange(10, 40)
+        span = "a" * rng.randrange(1, 60) + "@b_" + "c" * rng.randrange(1, 60) + ".de"
+        want.append((len(t), 0, len(t) + len(span)))
+        t += span
+    assert op.all_spans([t], ByPattern()) == [([], want)]

@@ -3,9 +3,10 @@
 The patterns' matches always stay.  The tagger adds spans: it is trained in
 numpy on labelled spans of a bounded sample and on made-up spans placed into
 sampled text.  Every kind of span holds a digit or an ``@``, so the tagger
-reads the stretches of text around those; overlapping windows over a stretch
-are scored by the network, their scores are averaged, and the CRF decodes each
-whole stretch at once.
+reads the stretches of text around those, on to white space; overlapping
+windows over a stretch are scored by the network, their scores are averaged,
+and the CRF decodes each whole stretch at once (very long ones in parts that
+share more than a span's length).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT, _TRIGGER = re.compile("[0-9]"), re.compile("[0-9@]+")
+_DIGIT, _TRIGGER, _SPACE = re.compile("[0-9]"), re.compile("[0-9@]+"), re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -72,10 +73,11 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 # --- the tagger -------------------------------------------------------------
 
-#: Characters of a window and how far apart windows start; characters kept around a digit or @.
+#: Characters of a window and how far apart windows start; characters kept around a digit or @, at least.
 WINDOW, STRIDE, MARGIN = 64, 32, 16
-#: Longest stretch that is decoded at once; a longer one is decoded in parts that share MARGIN characters.
-LONGEST = 8192
+#: Longest stretch that is decoded at once; a longer one is decoded in parts that share OVERLAP characters,
+#: more than any kind of span has (an address: 320), and a span is taken from the part that its middle is deeper in.
+LONGEST, OVERLAP = 8192, 1024
 #: Most sampled windows that a tagger is trained on, and made-up ones.
 MAX_WINDOWS, MADE_UP = 2000, 1200
 #: Least mean probability of the tags of an added span.
@@ -83,16 +85,37 @@ SURE = 0.95
 TAGS = 1 + 2 * len(KINDS)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Where the tagger reads: around each digit or @, joined where they meet."""
+def _near(text: str, spaces: bool = False) -> list[list[int]]:
+    """Around each digit or @, joined where they meet; with ``spaces``, on to the next white space."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
+        if spaces and out and m.end() + MARGIN <= out[-1][1]:
+            continue
         s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if out and s <= out[-1][1]:
-            out[-1][1] = e
-        else:
-            out.append([s, e])
-    return [(k, min(k + LONGEST, e)) for s, e in out for k in range(s, e if e - s <= LONGEST else e - MARGIN, LONGEST - MARGIN)]
+            s = out.pop()[0]
+        elif spaces:
+            floor = out[-1][1] if out else 0
+            while s > floor and not text[s - 1].isspace():
+                s -= 1
+            if out and s == floor:
+                s = out.pop()[0]
+        if spaces:
+            space = _SPACE.search(text, e) if e and not text[e - 1].isspace() else None
+            e = space.start() if space else e if text[e - 1].isspace() else len(text)
+        out.append([s, e])
+    return out
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Where the tagger reads: around each digit or @ and on to white space, joined where they meet, long ones in overlapping parts."""
+    return [(k, min(k + LONGEST, e)) for s, e in _near(text, True) for k in range(s, e if e - s <= LONGEST else e - OVERLAP, LONGEST - OVERLAP)]
+
+
+def _owned(parts: list[tuple[int, int]]) -> list[tuple[float, float]]:
+    """For each of a text's stretches, from where to where the middles of its spans are: parts meet halfway in what they share."""
+    edges = [(e + s) / 2 if s < e else s for (_, e), (s, _) in zip(parts, parts[1:])]
+    return list(zip([-1, *edges], [*edges, float("inf")]))
 
 
 def codes(text: str) -> np.ndarray:
@@ -291,10 +314,10 @@ def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list, list]
     """For each text its pattern matches, and these with what the tagger adds:
     added spans have a kind's general form and touch no pattern match."""
     base = [base_spans(t) for t in texts]
-    where = [(k, s, e) for k, t in enumerate(texts) if t for s, e in stretches(t)]
+    where = [(k, s, e, own) for k, t in enumerate(texts) if t for p in (stretches(t),) for (s, e), own in zip(p, _owned(p))]
     found: list[list] = [[] for _ in texts]
-    for (k, s, _), (tags, sure) in zip(where, tagger.read([codes(texts[k][s:e]) for k, s, e in where])):
-        found[k] += tagged_spans(tags, sure, s)
+    for (k, s, _, (low, high)), (tags, sure) in zip(where, tagger.read([codes(texts[k][s:e]) for k, s, e, _ in where])):
+        found[k] += [x for x in tagged_spans(tags, sure, s) if low <= (x[0] + x[2]) / 2 < high]
     out = []
     for t, own, more in zip(texts, base, found):
         added, end = [], 0
@@ -340,7 +363,7 @@ def training_windows(docs: DataFrame, most: int = MAX_WINDOWS) -> tuple[np.ndarr
             rows = []
             for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 spans = base_spans(t)
-                for s, e in stretches(t or ""):
+                for s, _ in _near(t or ""):
                     w = t[s:s + WINDOW]
                     tags = tags_of(spans, s, s + len(w))
                     if not any(x < s + len(w) < y for x, _, y in spans):
