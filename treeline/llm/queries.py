@@ -11,5 +11,6 @@ from treeline.llm import (  # noqa: F401
     op8_pii,
     op9_url_rules,
     op10_decontamination,
+    op11_collocations,
 )
 from treeline.llm.registry import ORACLE, QUERIES  # noqa: F401
