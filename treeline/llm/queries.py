@@ -12,5 +12,6 @@ from treeline.llm import (  # noqa: F401
     op9_url_rules,
     op10_decontamination,
     op11_collocations,
+    op12_quality,
 )
 from treeline.llm.registry import ORACLE, QUERIES  # noqa: F401
