@@ -13,5 +13,6 @@ from treeline.llm import (  # noqa: F401
     op10_decontamination,
     op11_collocations,
     op12_quality,
+    op13_whitening,
 )
 from treeline.llm.registry import ORACLE, QUERIES  # noqa: F401
