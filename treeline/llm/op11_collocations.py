@@ -36,7 +36,7 @@ FILTER_BITS = 1 << 27
 #: Bits of a row of a filter while it is made (what Spark's bitmap functions fix).
 ROW_BITS = 1 << 15
 #: Bytes of text that a task looks at together; longer texts are parted between two pieces.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Groups that a language's ranking is prepared in.
 SALTS = 64
 
