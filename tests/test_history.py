@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -47,9 +48,34 @@ def test_stream_on_change_with_late_rows(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true") \
         .parquet(os.path.join(d, "in"))
     out = spark.read.parquet(jobs.stream_record_on_change(spark, stream, out_root=os.path.join(d, "out")))
-    got = {r.snapshot_id: r.late for r in out.collect()}
-    assert got[1] is False and got[3] is False and 2 not in got
-    assert got[9] is True and got[10] is False
+    got = {r.snapshot_id: (r.recorded, r.late) for r in out.collect()}
+    assert got == {1: (True, False), 2: (False, False), 3: (True, False), 9: (False, True), 10: (True, False)}
+
+
+def test_on_change_history_equals_batch_after_late_rows_and_a_restart(spark):
+    """Rows in any order over several files and chunks; the stream is stopped and resumed between them."""
+    rng = random.Random(5)
+    rows = []
+    for p in (1, 2, 3, None):
+        for k in range(120):
+            t = None if rng.random() < .03 else T(2024, 1, 1) + dt.timedelta(days=rng.randrange(150), hours=rng.randrange(3))
+            rows.append((p, 1000 * (p or 0) + k, t, rng.choice([5, 6, None]), k))
+    d = tempfile.mkdtemp(prefix="t2-restart-")
+    schema = _snaps(spark, ROWS).schema
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for part in range(3):
+            _snaps(spark, rows[part::3]).coalesce(1).write.parquet(os.path.join(d, "in", f"b{part}"))
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(os.path.join(d, "in"))
+            path = jobs.stream_record_on_change(spark, stream, out_root=os.path.join(d, "out"))
+            seen = [r for k, r in enumerate(rows) if k % 3 <= part]
+            out = spark.read.parquet(path)
+            assert out.count() == len(seen) and out.where("late").count() > 20
+            want = sorted(r.snapshot_id for r in history.record_on_change(_snaps(spark, seen)).collect())
+            assert sorted(r.snapshot_id for r in jobs.on_change_history(out).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_append_on_change(spark):

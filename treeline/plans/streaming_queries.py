@@ -42,9 +42,7 @@ def t2_stream_on_change(spark, sf_dir):
         F.col("ts").alias("recorded_at"), F.floor(F.col("value") * 100).cast("long").alias("lines_of_code"),
         (F.col("event_id") % 97).alias("file_count"))
     path = jobs.stream_record_on_change(spark, snaps)
-    return (spark.read.parquet(path).where(~F.col("late"))
-            .select("project_id", "snapshot_id", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"),
-                    "lines_of_code", "file_count"))
+    return jobs.on_change_history(spark.read.parquet(path))
 
 
 @register("t3_commit_dedup", "WITH " + COMMITS_SQL + """

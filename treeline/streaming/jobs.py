@@ -2,10 +2,10 @@
 
 * T1 ``stream_incremental_scan``: each arriving inventory snapshot is
   diffed against the catalog (renames, orphans, changed set, upsert).
-* T2 ``stream_record_on_change``: LOC history rows per project with the
-  last recorded LOC kept in per-key state (``applyInPandasWithState``);
-  rows older than the state go to a late output instead of rewriting
-  history.
+* T2 ``stream_record_on_change``: LOC history rows per project, judged by a
+  stateful processor against the newest row (``transformWithStateInPandas``,
+  RocksDB state); rows that come late are marked, and ``on_change_history``
+  splices them in and judges their successors again.
 * T3 ``stream_commit_dedup``: commits deduplicated on (project, sha) within
   a watermark.
 * T4 ``stream_daily_activity``: commits per project and day (event-time
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.session import scratch_path
@@ -107,66 +107,118 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
 
 # ------------------------------------------------------------------- T2
 
-T2_STATE = "last_loc long, last_time timestamp_ntz, seen boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+T2_OUT = ("project_id long, snapshot_id long, recorded_at timestamp_ntz, lines_of_code long, "
+          "file_count long, recorded boolean, late boolean")
 
 
-def _on_change(key, pdfs, state):
-    """applyInPandasWithState body: emit history rows for LOC changes.
-
-    Vectorised per project and micro-batch: rows are ordered by
-    (recorded_at, snapshot_id); a row is recorded when it is the project's
-    first or its LOC differs from the previous row (the state carries the
-    last row of earlier batches); rows older than the state are late.
-    """
+def _on_change_processor():
+    """The D5 stateful processor of T2 (made where pandas is at hand)."""
     import pandas as pd
-
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True).sort_values(["recorded_at", "snapshot_id"], kind="mergesort")
-    if state.exists:
-        last_loc, last_time, _ = state.get
-    else:
-        last_loc, last_time = None, None
-    late = (pdf["recorded_at"] < pd.Timestamp(last_time)) if last_time is not None else pd.Series(False, index=pdf.index)
-    on_time = pdf[~late]
-    out = [pdf[late].assign(late=True)]
-    if len(on_time):
-        prev = on_time["lines_of_code"].shift(1)
-        if last_time is not None:
-            prev.iloc[0] = last_loc
-        keep = prev.isna() | (on_time["lines_of_code"] != prev)
-        if last_time is None:
-            keep.iloc[0] = True
-        out.append(on_time[keep].assign(late=False))
-        tail = on_time.iloc[-1]
-        state.update((int(tail["lines_of_code"]), tail["recorded_at"].to_pydatetime(), True))
-    res = pd.concat(out, ignore_index=True)
-    if len(res):
-        yield res[["project_id", "snapshot_id", "recorded_at", "lines_of_code", "file_count", "late"]]
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class RecordOnChange(StatefulProcessor):
+        """Judges LOC snapshots of one project as they arrive.
+
+        State: time, id and LOC of the newest row judged.  Rows come in
+        chunks of one Arrow batch; a chunk is put in order by (recorded_at,
+        snapshot_id) and judged against the state, so a project's rows are
+        never held together.  A row older than the state, and one without a
+        time, is passed on as late: it neither changes the state nor history.
+        """
+
+        def init(self, handle) -> None:
+            self.newest = handle.getValueState("newest", "time timestamp_ntz, id long, loc long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            newest = self.newest.get() if self.newest.exists() else None
+            for chunk in rows:
+                if not len(chunk):
+                    continue
+                chunk = chunk.sort_values(["recorded_at", "snapshot_id"], kind="mergesort")
+                late = chunk["recorded_at"].isna()
+                if newest is not None:
+                    at, last = chunk["recorded_at"], pd.Timestamp(newest[0])
+                    late |= (at < last) | ((at == last) & (chunk["snapshot_id"] < newest[1]))
+                on_time = chunk[~late]
+                recorded = pd.Series(False, index=chunk.index)
+                if len(on_time):
+                    loc, before = on_time["lines_of_code"], on_time["lines_of_code"].shift(1)
+                    differs = (loc != before) & ~(loc.isna() & before.isna())
+                    first = loc.iloc[0]
+                    differs.iloc[0] = newest is None or (not pd.isna(first) if newest[2] is None else pd.isna(first) or first != newest[2])
+                    recorded[on_time.index] = differs
+                    tail = on_time.iloc[-1]
+                    newest = (tail["recorded_at"].to_pydatetime(), int(tail["snapshot_id"]), None if pd.isna(tail["lines_of_code"]) else int(tail["lines_of_code"]))
+                yield chunk.assign(recorded=recorded, late=late)[["project_id", "snapshot_id", "recorded_at", "lines_of_code", "file_count", "recorded", "late"]]
+            if newest is not None:
+                self.newest.update(newest)
+
+        def close(self) -> None:
+            pass
+
+    return RecordOnChange()
 
 
 def stream_record_on_change(spark: SparkSession, snapshots: DataFrame, out_root: str | None = None) -> str:
-    """Stateful record-on-change over a stream of LOC snapshots.
+    """Record-on-change over a stream of LOC snapshots, by a stateful
+    processor (``transformWithStateInPandas``, state in RocksDB).
 
     ``snapshots(project_id, snapshot_id, recorded_at timestamp, lines_of_code, file_count)``.
-    Within a micro-batch rows are ordered by (recorded_at, snapshot_id);
-    across batches arrival order holds.  Output rows carry ``late`` =
-    true for arrivals older than the project's state (a late table).
+    Every row reaches the sink with ``recorded`` (its LOC differs from the
+    row judged before it) and ``late`` (it came after a newer one was
+    judged).  :func:`on_change_history` reads the history back with the late
+    rows put in their place.  Calling again with the same root goes on from
+    the checkpoint.  Returns the sink's folder.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
     root = out_root or scratch_path(spark, "loc-history-stream")
-    out_schema = ("project_id long, snapshot_id long, recorded_at timestamp_ntz, lines_of_code long, "
-                  "file_count long, late boolean")
-    res = snapshots.groupBy("project_id").applyInPandasWithState(
-        _on_change, out_schema, T2_STATE, "append", GroupStateTimeout.NoTimeout)
-    run_available(lambda _: res.writeStream.format("parquet").option("path", f"{root}/out")
-                  .option("checkpointLocation", f"{root}/_checkpoint").outputMode("append")
-                  .trigger(availableNow=True).start())
+    columns = ["project_id", "snapshot_id", "recorded_at", "lines_of_code", "file_count"]
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        res = snapshots.select(*columns).groupBy("project_id").transformWithStateInPandas(_on_change_processor(), T2_OUT, "Append", "None")
+        run_available(lambda _: res.writeStream.format("parquet").option("path", f"{root}/out")
+                      .option("checkpointLocation", f"{root}/_checkpoint").outputMode("append")
+                      .trigger(availableNow=True).start())
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
     return f"{root}/out"
 
 
+def on_change_history(rows: DataFrame, period: str = "month") -> DataFrame:
+    """The history of T2's sink with late rows spliced in: equals W4 over all rows.
+
+    Only the periods of a project that late rows fall in are judged again,
+    and the first row after such a period; every other row keeps the
+    stream's verdict.  The ends of periods are combined map-side, windows
+    cover one project and period.
+    """
+    d = rows.withColumn("_period", F.date_trunc(period, "recorded_at"))
+    order = F.struct("recorded_at", "snapshot_id")
+    # every period of the projects with late rows: its first row, its last LOC, whether it has late rows
+    some = rows.where("late").select(F.col("project_id").alias("_late_in")).distinct()
+    ends = d.join(some, F.col("project_id").eqNullSafe(F.col("_late_in")), "left_semi").groupBy("project_id", "_period").agg(
+        F.max_by(F.struct("lines_of_code"), order).alias("_end"), F.min(order).alias("_opener"), F.max("late").alias("_again"))
+    w = Window.partitionBy("project_id").orderBy("_period")
+    ends = ends.withColumn("_before", F.lag("_end").over(w)).withColumn("_follows", F.coalesce(F.lag("_again").over(w), F.lit(False)))
+    ends = ends.where(F.col("_again") | F.col("_follows")).select(
+        F.col("project_id").alias("_project"), F.col("_period").alias("_in"), "_opener", "_before", "_again")
+    j = d.join(ends, F.col("project_id").eqNullSafe(F.col("_project")) & F.col("_period").eqNullSafe(F.col("_in")), "left")
+    within = Window.partitionBy("project_id", "_period").orderBy("recorded_at", "snapshot_id")
+    opens = order == F.col("_opener")
+    differs = ~F.col("lines_of_code").eqNullSafe(F.when(F.col("_opens"), F.col("_before.lines_of_code")).otherwise(F.col("_lag")))
+    again = (j.where("_again").withColumn("_lag", F.lag("lines_of_code").over(within)).withColumn("_opens", F.row_number().over(within) == 1)
+             .withColumn("recorded", (F.col("_opens") & F.col("_before").isNull()) | differs))
+    rest = j.where("_again is null or not _again").withColumn(
+        "recorded", F.when(F.coalesce(opens, F.lit(False)), F.col("_before").isNull() | ~F.col("lines_of_code").eqNullSafe(F.col("_before.lines_of_code"))).otherwise(F.col("recorded")))
+    columns = ["project_id", "snapshot_id", "recorded_at", "lines_of_code", "file_count"]
+    return again.where("recorded").select(*columns).unionByName(rest.where("recorded").select(*columns))
+
+
 # ------------------------------------------------------------------- T3
 
 def stream_commit_dedup(spark: SparkSession, commits: DataFrame, event_time: str = "event_time",
