@@ -232,6 +232,11 @@ def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
 
 
+def content_hash(fields=("text",)) -> Column:
+    """MD5 of the indexed fields."""
+    return F.md5(F.concat_ws("\u0000", *[F.coalesce(F.col(f), F.lit("")) for f in fields]))
+
+
 def needs_index(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", fields=("text",)) -> DataFrame:
     """Documents whose indexed content hash is missing or differs.
 
@@ -239,8 +244,7 @@ def needs_index(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", field
     content hashes (instead of timestamps) means a save that does not
     change the text never triggers a re-index.
     """
-    h = F.md5(F.concat_ws("\u0000", *[F.coalesce(F.col(f), F.lit("")) for f in fields]))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), h.alias("content_hash"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), content_hash(fields).alias("content_hash"))
     j = d.join(state.select("doc_id", F.col("content_hash").alias("indexed_hash")), "doc_id", "left")
     return j.select("doc_id", "content_hash",
                     (F.col("indexed_hash").isNull() | (F.col("indexed_hash") != F.col("content_hash"))).alias("needs_index"))
