@@ -130,34 +130,6 @@ def test_pluggable_encoder(spark):
     assert got == {1: [3.0, 1.0], 2: [0.0, 1.0]}
 
 
-def test_stored_index_equals_scan(spark):
-    import os
-    import uuid
-
-    from treeline.session import ensure_checkpoint_dir
-
-    docs = _docs(spark, TEXTS * 3)
-    path = os.path.join(ensure_checkpoint_dir(spark), f"idx-{uuid.uuid4().hex[:8]}")
-    text_index.write_index(text_index.build_postings(docs), text_index.build_doc_stats(docs), path, buckets=3)
-    postings, stats = text_index.read_index(spark, path)
-    a = {r.doc_id: round(r.score, 9) for r in text_index.phrase_search(postings, stats, "the on", 50).collect()}
-    b = {r.doc_id: round(r.score, 9) for r in text_index.phrase_search_scan(docs, "the on", 50).collect()}
-    assert a == b and a
-
-
-def test_incremental_refresh_equals_rebuild(spark):
-    old_docs = _docs(spark, ["the on", "x y", "gone"])
-    new_docs = _docs(spark, ["the on", "x y z", "new text"])
-    state = spark.createDataFrame([(0,), (1,), (2,)], "doc_id long").join(
-        text_index.needs_index(old_docs, spark.createDataFrame([], "doc_id long, content_hash string"))
-        .select("doc_id", "content_hash"), "doc_id")
-    todo = text_index.needs_index(new_docs, state).where("needs_index")
-    assert sorted(r.doc_id for r in todo.collect()) == [1, 2]
-    refreshed = text_index.refresh_postings(text_index.build_postings(old_docs), new_docs, todo)
-    rebuilt = text_index.build_postings(new_docs)
-    assert sorted(map(tuple, refreshed.collect())) == sorted(map(tuple, rebuilt.collect()))
-
-
 def test_vector_rows_text_and_refresh(spark):
     projects = spark.createDataFrame(
         [(1, "proj", "short", "", ["a", "b"], "readme"), (2, "other", None, None, [], None)],

@@ -37,11 +37,6 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^\.*[^.].*?(\.[^.]+)$", 1))
 
 
-def raw_suffix(name: Column) -> Column:
-    """Final suffix with its original case."""
-    return F.regexp_extract(name, r"^\.*[^.].*?(\.[^.]+)$", 1)
-
-
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

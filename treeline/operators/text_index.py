@@ -1,15 +1,14 @@
-"""Full-text index (X1) and phrase search with BM25 ranking.
-
-The index is a pair of tables:
+"""Full-text postings (X1) and phrase search with BM25 ranking.
 
 * ``postings(doc_id, field, pos, token, dl)`` -- one row per token
   occurrence.  ``dl`` (the document's token count over all fields) is
   carried on every posting so a search never joins back to the document
-  table.  Written sorted by token so Parquet min/max statistics prune a
-  lookup to the few row groups holding the query's tokens.
+  table.
 * ``doc_stats(doc_id, dl)`` -- one row per indexed document, including
   documents without tokens; gives N and the average length.
 
+How they are stored, refreshed and searched is in :mod:`treeline.operators.segments`.
+
 A phrase query is answered from postings alone: every posting of a query
 token votes for the phrase start ``pos - offset``; a start that collects
 all offsets is one phrase occurrence.  That replaces the k-way self join
@@ -75,17 +74,6 @@ def build_postings(docs: DataFrame, id_col: str = "doc_id", fields: list[str] |
     return _token_rows(docs, id_col, fields)
 
 
-def query_postings(docs: DataFrame, query_tokens_: list[str], id_col: str = "doc_id",
-                   fields: list[str] | tuple[str, ...] = ("text",)) -> DataFrame:
-    """Postings of the query's tokens only, straight from the documents.
-
-    Used when no materialised index exists.  The token filter applies to
-    the generator's output rows (it cannot be pushed into the tokeniser),
-    so no predicate ever re-evaluates the token array.
-    """
-    return _token_rows(docs, id_col, fields).where(F.col("token").isin(sorted(set(query_tokens_))))
-
-
 _TOKEN_RUN = r"[\p{L}\p{N}]+"
 
 
@@ -218,20 +206,6 @@ def rank_scores(hits: DataFrame, order: list[Column], denominator: str = "return
     return hits.withColumn("rank", i.cast("int")).withColumn("rank_score", F.lit(1.0) - i / n)
 
 
-def write_index(postings: DataFrame, doc_stats: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Persist the index: postings clustered by token, doc_stats by id."""
-    spark = postings.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (postings.repartitionByRange(n, "token", "doc_id")
-     .sortWithinPartitions("token", "doc_id", "field", "pos")
-     .write.mode("overwrite").parquet(f"{path}/postings"))
-    doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-
-
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
-
-
 def content_hash(fields=("text",)) -> Column:
     """MD5 of the indexed fields."""
     return F.md5(F.concat_ws("\u0000", *[F.coalesce(F.col(f), F.lit("")) for f in fields]))
@@ -250,18 +224,6 @@ def needs_index(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", field
                     (F.col("indexed_hash").isNull() | (F.col("indexed_hash") != F.col("content_hash"))).alias("needs_index"))
 
 
-def refresh_postings(old_postings: DataFrame, docs: DataFrame, todo: DataFrame, id_col: str = "doc_id",
-                     fields=("text",), removed: DataFrame | None = None) -> DataFrame:
-    """X1 / X9 incremental: drop postings of re-indexed (and removed)
-    documents, add postings of the re-indexed ones.  Equals a rebuild."""
-    ids = todo.select("doc_id")
-    if removed is not None:
-        ids = ids.unionByName(removed.select("doc_id"))
-    kept = old_postings.join(ids, "doc_id", "left_anti")
-    fresh = build_postings(docs.join(todo.select(F.col("doc_id").alias(id_col)), id_col, "left_semi"), id_col, fields)
-    return kept.unionByName(fresh)
-
-
 def fold_and_stem(token: str) -> str:
     """Accent folding (NFD, combining marks dropped) then Porter stemming."""
     import unicodedata

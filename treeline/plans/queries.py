@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeline.io import table
-from treeline.operators import search, text_index, vectors
+from treeline.operators import search, segments, text_index, vectors
 from treeline.plans import oracle
 from treeline.plans.registry import register
 from treeline.plans.standins import PROJECTS_SQL, projects
+from treeline.plans.stored import document_index
 from treeline.session import scratch_path
 
 # Driver-binding parameters (fixed for the registered queries).
@@ -33,30 +34,29 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _postings(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return text_index.build_postings(docs, "doc_id", ["text"]), text_index.build_doc_stats(docs, "doc_id", ["text"])
-
-
-def _query_postings(spark, sf_dir, phrase=PHRASE):
-    """Postings of the phrase's tokens (no stored index) and doc stats."""
-    docs = _docs(spark, sf_dir)
-    q = text_index.query_tokens(phrase)
-    return text_index.query_postings(docs, q), text_index.build_doc_stats(docs)
-
-
 @register("x1_postings", oracle.ORACLE["x1_postings"])
 def x1_postings(spark, sf_dir):
-    postings, _ = _postings(spark, sf_dir)
-    return postings
+    return text_index.build_postings(_docs(spark, sf_dir))
 
 
 @register("x2_phrase_bm25", oracle.ORACLE["x2_phrase_bm25"])
 def x2_phrase_bm25(spark, sf_dir):
+    """Phrase search through the stored index; the text isn't read."""
+    hits = _phrase_hits(spark, sf_dir, 20)
+    return hits.select("doc_id", "tf", "dl", r6(F.col("score")).alias("score"))
+
+
+@register("x2_scan", oracle.ORACLE["x2_phrase_bm25"])
+def x2_scan(spark, sf_dir):
+    """The same without an index: one regex pass over the text."""
     hits = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=20)
     return hits.select("doc_id", "tf", "dl", r6(F.col("score")).alias("score"))
 
 
+def _phrase_hits(spark, sf_dir, limit):
+    return segments.phrase_search(spark, document_index(spark, sf_dir), PHRASE, limit)
+
+
 def _semantic_hits(spark, sf_dir, k):
     emb = table(spark, sf_dir, "embeddings")
     q = emb.where(F.col("vec_id") == QUERY_VEC_ID).select(
@@ -73,8 +73,7 @@ def x5_knn(spark, sf_dir):
 
 def hybrid_plan(spark, sf_dir, limit=HYBRID_LIMIT, with_semantic=True):
     docs = table(spark, sf_dir, "documents")
-    fts = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=2 * limit).select(
-        F.col("doc_id").alias("id"), "score")
+    fts = _phrase_hits(spark, sf_dir, 2 * limit).select(F.col("doc_id").alias("id"), "score")
     sem = None
     if with_semantic:
         sem = _semantic_hits(spark, sf_dir, 2 * limit).select("id", "score")
@@ -106,10 +105,12 @@ def j2_attach(spark, sf_dir):
 
 @register("x2_indexed", oracle.ORACLE["x2_phrase_bm25"])
 def x2_indexed(spark, sf_dir):
-    """The same search through a stored index: built, written, read back; the text isn't touched again."""
+    """The same search through an index that grew in four segments, which were then merged into one."""
     path = scratch_path(spark, "stage-index")
-    text_index.write_index(*_postings(spark, sf_dir), path)
-    hits = text_index.phrase_search(*text_index.read_index(spark, path), PHRASE, 20)
+    for part in range(4):
+        segments.add_segment(spark, path, _docs(spark, sf_dir).where(F.pmod("doc_id", F.lit(4)) == part))
+    segments.merge(spark, path)
+    hits = segments.phrase_search(spark, path, PHRASE, 20)
     return hits.select("doc_id", "tf", "dl", r6(F.col("score")).alias("score"))
 
 
@@ -128,7 +129,7 @@ def x1_five_fields(spark, sf_dir):
 @register("u1_union_ids", oracle._bm25_top(40) + ",\n" + oracle._KNN + """
 SELECT doc_id AS id FROM fts UNION SELECT id FROM knn_r WHERE rank <= 40""")
 def u1_union_ids(spark, sf_dir):
-    fts = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=40).select(F.col("doc_id").alias("id"))
+    fts = _phrase_hits(spark, sf_dir, 40).select(F.col("doc_id").alias("id"))
     sem = _semantic_hits(spark, sf_dir, 40).select("id")
     return search.union_ids(fts, sem)
 
@@ -147,7 +148,7 @@ r AS (SELECT doc_id, (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::INTE
 SELECT doc_id AS id, rank, round(1.0 - rank / greatest(n, 1), 6) AS rank_score,
        round(1.0 - rank / 30.0, 6) AS cli_rank_score FROM r""")
 def w1_rank_score(spark, sf_dir):
-    hits = text_index.phrase_search_scan(_docs(spark, sf_dir), PHRASE, limit=30).select(F.col("doc_id").alias("id"), "score")
+    hits = _phrase_hits(spark, sf_dir, 30).select(F.col("doc_id").alias("id"), "score")
     api = text_index.rank_scores(hits, [F.desc("score"), F.asc("id")])
     cli = F.lit(1.0) - F.col("rank") / F.lit(30.0)
     return api.select("id", "rank", r6(F.col("rank_score")).alias("rank_score"), r6(cli).alias("cli_rank_score"))

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeline.io import table
-from treeline.plans import oracle
+from treeline.operators import segments
+from treeline.plans import oracle, vector_queries  # noqa: F401  (the SQL of x3_embed)
 from treeline.plans.catalog_queries import AS_OF
 from treeline.plans.registry import ORACLE, register
 from treeline.plans.standins import COMMITS_SQL, SEP, catalog_before, disk_after
@@ -82,9 +83,21 @@ def t4_activity(spark, sf_dir):
         "project", F.col("day").cast("timestamp_ntz").alias("day_start"), F.col("commits").cast("long").alias("commits"))
 
 
-@register("t5_stream_index", oracle.ORACLE["x1_postings"])
-def t5_stream_index(spark, sf_dir):
+def _indexed_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     docs = jobs.stream_table(spark, sf_dir, "documents.parquet", schema)
-    root = jobs.stream_index(spark, docs.select("doc_id", "text"))
-    return jobs.read_stream_index(spark, root).select("doc_id", "field", "pos", "token", "dl")
+    return jobs.stream_index(spark, docs.select("doc_id", "text"))
+
+
+@register("t5_stream_index", oracle.ORACLE["x1_postings"])
+def t5_stream_index(spark, sf_dir):
+    root = _indexed_stream(spark, sf_dir)
+    return segments.current(spark, root, "postings").select("doc_id", "field", "pos", "token", "dl")
+
+
+@register("t5_stream_vectors", ORACLE["x3_embed"].replace("round(tf / sqrt(", "round((tf / sqrt(").replace("(PARTITION BY doc_id)), 6)", "(PARTITION BY doc_id)))::FLOAT::DOUBLE, 6)"))
+def t5_stream_vectors(spark, sf_dir):
+    """The vectors that the index stream stores, as (bucket, weight) of their non-zero places."""
+    v = segments.current(spark, _indexed_stream(spark, sf_dir), "vectors")
+    each = v.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
+    return each.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))

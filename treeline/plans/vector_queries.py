@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeline.io import table
-from treeline.operators import text_index, vectors
+from treeline.operators import segments, text_index, vectors
 from treeline.plans import oracle
 from treeline.plans.registry import register
 from treeline.plans.standins import BRIDGE_SQL, PROJECTS_SQL, keyword_bridge, projects
+from treeline.session import scratch_path
 
 VEC_SQL = """vecs AS (
   SELECT vec_id AS id, embedding, label AS project_id,
@@ -154,13 +155,14 @@ def p9_needs_index(spark, sf_dir):
 
 @register("x9_incremental_index", oracle.ORACLE["x1_postings"])
 def x9_incremental_index(spark, sf_dir):
-    """Incremental refresh from an index built on the previous texts
-    (documents whose state hash is stale or missing); must equal a rebuild."""
+    """An index of the previous texts, refreshed: documents that are new or
+    whose hash is stale go into one more segment; must equal a rebuild."""
     d = table(spark, sf_dir, "documents")
     state = _index_state(spark, sf_dir)
     previous = (d.join(state.select("doc_id"), "doc_id", "left_semi")
                 .withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.col("text"), F.lit(" stale")))
                             .otherwise(F.col("text"))))
-    old_postings = text_index.build_postings(previous)
-    todo = text_index.needs_index(d, state).where("needs_index")
-    return text_index.refresh_postings(old_postings, d, todo)
+    path = scratch_path(spark, "stage-index")
+    segments.add_segment(spark, path, previous.select("doc_id", "text"))
+    segments.refresh(spark, path, d.select("doc_id", "text"))
+    return segments.current(spark, path, "postings").select("doc_id", "field", "pos", "token", "dl")

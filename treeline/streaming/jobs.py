@@ -10,7 +10,7 @@
   a watermark.
 * T4 ``stream_daily_activity``: commits per project and day (event-time
   window, watermark, update mode, upserted into the sink table).
-* T5 ``stream_index``: new documents -> postings appended per micro-batch.
+* T5 ``stream_index``: new documents -> postings and vectors, an index segment per micro-batch.
 
 Sinks are Parquet folders below the shared checkpoint folder.  Every
 ``foreachBatch`` writes to a folder named by its batch id with overwrite,
@@ -265,31 +265,35 @@ def stream_daily_activity(spark: SparkSession, commits: DataFrame, event_time: s
 
 # ------------------------------------------------------------------- T5
 
+#: Distance of the segment numbers of two batches; merges and refreshes take the numbers between.
+SEGMENT_STEP = 1000
+
+
 def stream_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", fields=("text",),
-                 out_root: str | None = None) -> str:
-    """T5: postings of arriving documents, one segment per micro-batch, and
-    beside it the ids that arrived, so that a document's latest batch
-    replaces its earlier postings (:func:`read_stream_index`)."""
-    from treeline.operators import text_index
+                 out_root: str | None = None, dim: int = 384) -> str:
+    """T5: postings and vectors of arriving documents, one index segment per
+    micro-batch, numbered by it: a replayed batch writes the same segment
+    again.  A document's latest batch replaces its earlier rows; of several
+    rows with one id in a batch, one is taken.  Small segments are merged
+    after the stream has ended.  Returns the index folder (see
+    :mod:`treeline.operators.segments`)."""
+    from treeline.operators import segments, vectors
 
     root = out_root or scratch_path(spark, "index-stream")
 
+    def embed(rows: DataFrame) -> DataFrame:
+        text = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.concat_ws(" ", *fields).alias("text"))
+        return vectors.embed_hashed(text, "text", dim=dim, id_cols=["doc_id"]).drop("text")
+
     def index(batch: DataFrame, batch_id: int) -> None:
-        text_index.build_postings(batch, id_col, fields).write.mode("overwrite").parquet(
-            f"{root}/postings/batch={batch_id}")
-        batch.select(id_col).distinct().write.mode("overwrite").parquet(f"{root}/arrived/batch={batch_id}")
+        segments.add_segment(batch.sparkSession, root, batch.dropDuplicates([id_col]), id_col, fields, segment=(batch_id + 1) * SEGMENT_STEP, embed=embed)
 
     run_available(lambda _: docs.writeStream.foreachBatch(index)
                   .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    segments.merge(spark, root)
     return root
 
 
-def read_stream_index(spark: SparkSession, root: str, id_col: str = "doc_id") -> DataFrame:
-    """The current postings: those of each document's latest batch."""
-    latest = spark.read.parquet(f"{root}/arrived").groupBy(id_col).agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{root}/postings").join(latest, [id_col, "batch"], "left_semi").drop("batch")
-
-
 def ntz_as_utc_instant(ntz):
     """Event time for watermarks from a naive (NTZ) timestamp, reading the
     wall clock as UTC whatever the session time zone is, so event-time
