@@ -49,3 +49,15 @@ def test_cleanup_scratch(spark):
     assert cleanup_scratch(spark, older_than_seconds=1e9) == []       # nothing that old
     gone = cleanup_scratch(spark, older_than_seconds=-60)             # everything this library made
     assert any("/stage-" in g for g in gone)
+
+
+def test_discard(spark):
+    import pytest
+
+    from treeline.session import discard, materialize, path_exists
+
+    a, b = materialize(spark.range(3)), materialize(spark.range(4))
+    discard(a)
+    assert not path_exists(spark, a.stage_path) and b.count() == 4
+    with pytest.raises(ValueError):
+        discard(spark.range(1))

@@ -76,7 +76,25 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete materialised stages whose consumers have been written.  Only
+    what :func:`materialize` returned is touched; the driver's collector is
+    run so that Spark's cleaner also drops the shuffle files of finished jobs."""
+    sc = None
+    for df in stages:
+        path = getattr(df, "stage_path", None)
+        if path is None:
+            raise ValueError("not a materialised stage")
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    if sc is not None:
+        sc._jvm.System.gc()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
