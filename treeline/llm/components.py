@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import materialize
+from treeline.llm.common import discard, materialize
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before, now = mark, materialize(_stars(now), "stage")
+        before, last, now = mark, now, materialize(_stars(now), "stage")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
