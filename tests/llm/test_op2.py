@@ -36,7 +36,7 @@ def test_query(llm):
     want = brute([d.text for d in docs], 400)
     assert sum(bool(w[1]) for w in want) > 3
     for d, (n, spans, kept) in zip(docs, want):
-        assert got[d.doc_id] == (n, sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()), d.doc_id
+        assert got[d.doc_id] == (n, sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")), d.doc_id
 
 
 def corpus(seed, n=60):

@@ -79,3 +79,14 @@ def test_hot_length(llm):
     assert len(out) == 5000
     h = np.bincount([r[2] for r in rows], minlength=2049)
     assert valid(out) <= sum(c for _, c in op.best_fit(h, 2048))
+
+
+def test_the_arrow_pattern_finds_the_same_characters():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from treeline.llm import pretokens
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000] + ["<|", "<", "|", "a<|b"]
+    slow = pc.match_substring_regex(pa.array(chars), pretokens._SLOW_ARROW).to_pylist()
+    assert slow == [not pretokens.plain(c) for c in chars]

@@ -127,7 +127,7 @@ def _slices(size: int):
             for d, i, t, asked in zip(*(b[c].to_pylist() for c in ("doc_id", "text_id", "text", "asked"))):
                 data = t.encode()
                 rows += [{"gram": a["gram"], "doc_id": d, "text_id": i, "first": a["first"], "n": a["n"], "crowded": a["crowded"], "data": data[a["first"]:a["last"] + size]} for a in asked]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int32()), ("first", pa.int32()), ("n", pa.int64()), ("crowded", pa.bool_()), ("data", pa.binary())]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int32()), ("first", pa.int32()), ("n", pa.int64()), ("crowded", pa.bool_()), ("data", pa.binary()), ("text", pa.string())]))
     return run
 
 
@@ -188,7 +188,8 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, kgram: int = KGRAM, most: in
     # aggregates are written before they are joined: a join of two shuffled sides can split a frequent k-gram's rows
     shared = found.groupBy("gram").agg(F.count("*").alias("rows"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("rows > 1")
     shared = materialize(shared.select("gram", (F.col("low") == F.col("high")).alias("equal")), "stage")
-    several = materialize(found.join(shared, "gram"), "stage")
+    # dealt by place: a frequent k-gram's rows then come from many tasks, so that the next join can split them
+    several = materialize(found.join(shared, "gram").repartition("doc_id", "text_id", "first"), "stage")
     stop = (F.col("last") + size).alias("stop")
     out = several.where("equal").select(*_KEYS, F.col("first").alias("start"), stop)
     mixed = several.where("not equal")
@@ -211,8 +212,9 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, kgram: int = KGRAM, most: in
 
 def without_repeats(docs: DataFrame, size: int = SIZE, into: str = "kept") -> DataFrame:
     """``docs`` (doc_id, text) with a struct column ``into``: n_bytes (UTF-8),
-    spans (maximal removed byte runs, stop exclusive) and data, the bytes
-    that stay.
+    spans (maximal removed byte runs, stop exclusive), data, the bytes
+    that stay, and text, the same as a string (a character that a cut parts
+    becomes U+FFFD).
 
     Null texts count as empty.  Matches never cross documents; all copies of
     a repeated string go.  Repeated rows are documents of their own, so they
@@ -225,7 +227,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, into: str = "kept") -> Da
     return joined.withColumn(into, _cut_out()("text", "__spans")).drop("__id", "__tid", "__text_id", "__spans")
 
 
-_KEPT = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("data", pa.binary())])
+_KEPT = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("data", pa.binary()), ("text", pa.string())])
 
 
 def _cut_out():
@@ -240,17 +242,19 @@ def _cut_out():
         for s, e in runs:
             kept.append(data[at:s])
             at = e
-        return {"n_bytes": len(data), "spans": [{"start": s, "stop": e} for s, e in runs], "data": b"".join([*kept, data[at:]])}
+        left = b"".join([*kept, data[at:]]) if runs else data
+        return {"n_bytes": len(data), "spans": [{"start": s, "stop": e} for s, e in runs], "data": left, "text": left.decode("utf-8", "replace") if runs else text or ""}
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, spans in batches:
             yield pa.array([one(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist())], _KEPT)
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "n_bytes long, spans array<struct<start: long, stop: long>>, data binary").asNondeterministic()
+    return F.arrow_udf(run, "n_bytes long, spans array<struct<start: long, stop: long>>, data binary, text string").asNondeterministic()
 
 
 @register("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes and runs that went, and what stays, as a digest and as text."""
     out = without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("kept.spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return out.select("doc_id", "kept.n_bytes", removed.alias("n_removed"), F.size("kept.spans").cast("long").alias("n_spans"), F.sha2("kept.data", 256).alias("kept_sha256"))
+    return out.select("doc_id", "kept.n_bytes", removed.alias("n_removed"), F.size("kept.spans").cast("long").alias("n_spans"), F.sha2("kept.data", 256).alias("kept_sha256"), F.col("kept.text").alias("text"))

@@ -26,8 +26,8 @@ from treeline.llm.registry import register
 
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
-#: Groups that the pieces of one length are ranked in.
-SALTS = 256
+#: Pieces for each of the groups that one length's pieces are ranked in: all pieces may have one length.
+RANKED_ROWS = 50_000
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, ids: bool = False) -> DataFrame:
@@ -164,7 +164,7 @@ def plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[list[tuple[int,
         return full + best_fit(left, size)
     x = fitted_counts(rows, left)
     # a histogram of few documents may lose by rounding up: the rounding that needs the fewest sequences is taken
-    tried = [_rounded(rows, n.astype(np.int64), left, size) for n in (np.rint(x), np.floor(x), np.floor(0.8 * x), np.floor(0.4 * x), 0 * x)]
+    tried = [_rounded(rows, n.astype(np.int64), left, size) for n in (np.rint(x), np.floor(x), np.floor(0.8 * x), np.floor(0.4 * x))]
     return full + min(tried, key=lambda t: sum(n for _, n in t))
 
 
@@ -213,7 +213,11 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     ``sequence_id`` and ``offset``: every sequence is filled without gaps
     from 0 and holds at most ``size``.  An empty table gives an empty one."""
     spark = pieces.sparkSession
-    pieces = materialize(pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "stage")
+    pieces = materialize(pieces, "stage")
+    groups = max(1, pieces.count() // RANKED_ROWS)
+    # digests of the ids, where present, tell apart pieces of documents that share an id
+    told = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
+    pieces = pieces.withColumn("__salt", F.pmod(F.xxhash64(*told), F.lit(groups)).cast("int"))
     counts = pieces.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     histogram = np.zeros(size + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect():
@@ -229,4 +233,5 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
 @register("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2,048 tokens."""
     return pack(cut_pieces(read(spark, sf_dir, "documents")))

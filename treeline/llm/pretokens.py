@@ -10,6 +10,7 @@ results never depend on the fast path.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Callable
 
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 #: Control characters, superscripts and fractions, and everything beyond Latin
 #: Extended-B (dashes, quotation marks and the euro sign excepted) are left to the library.
 _SLOW = re.compile("[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbeɐ-‒―-‗„-‥‧-₫₭-\U0010ffff]|<\\|")
+#: The same characters as _SLOW, for Arrow's regular expressions.
+_SLOW_ARROW = "".join(f"\\x{{{ord(c):x}}}" if c not in "[]-|<\\" else c for c in _SLOW.pattern)
 #: White space that a cut at each single space would not keep together.
 _RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 #: Pieces longer than this are encoded each time, never kept.
@@ -121,10 +124,20 @@ class WordIds:
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text; null: none.  Stretches are told apart in
         Arrow, so Python sees each distinct one of a batch once."""
-        easy = [t is None or plain(t) for t in texts]
-        lists = pc.utf8_split_whitespace(pa.array([t if t and e else "" for t, e in zip(texts, easy)], pa.string()))
+        collecting = gc.isenabled()
+        gc.disable()  # many strings and no cycles here: the collector would look through both memories over and over
+        try:
+            return self._of(pa.array(texts, pa.string()), texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _of(self, column: pa.Array, texts: list[str | None]) -> list[bytes]:
+        slow = pc.fill_null(pc.match_substring_regex(column, _SLOW_ARROW), False)
+        easy = pc.invert(slow).to_pylist()
+        lists = pc.utf8_split_whitespace(pc.if_else(slow, "", pc.fill_null(column, "")))
         kinds = lists.flatten().dictionary_encode()
-        stretches = kinds.dictionary.to_pylist()
+        stretches = kinds.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._learn(stretches)
         each = [self.stretches[p] if len(p) <= LONGEST else self.whole(p) for p in stretches]
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
