@@ -67,11 +67,59 @@ def go_module(manifests: DataFrame) -> DataFrame:
         F.lit(True).alias("has_file"))
 
 
-# A [table] header line, then everything up to the next header.
-_TOML_TABLE = r"(?s)\n[ \t]*\[[ \t]*([^\[\]\n]+?)[ \t]*\][ \t]*(?:#[^\n]*)?(?=\n)(.*?)(?=\n[ \t]*\[[^\n]*\][ \t]*(?:#[^\n]*)?\n|\z)"
-# A quoted string, and an array of them that may span lines.
-_TOML_STRING = r"\"([^\"\n]*)\"|'([^'\n]*)'"
-_TOML_ARRAY = r"\[((?:[^\]\"']|\"[^\"\n]*\"|'[^'\n]*')*)\]"
+# TOML is brought into a plain form first: no comments, every string on one
+# line in double quotes.  The patterns loop over runs of characters, so that
+# long texts don't deepen the matcher's stack.
+_BASIC = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_LITERAL = r"'[^'\n]*+'"
+_LONG_BASIC = r'"""[^"\\]*+(?:(?:\\.|"{1,2}(?!"))[^"\\]*+)*+"""'
+_LONG_LITERAL = r"'''[^']*+(?:'{1,2}(?!')[^']*+)*+'''"
+_COMMENT = rf"(?s)({_LONG_BASIC}|{_LONG_LITERAL}|{_BASIC}|{_LITERAL})|#[^\n]*+"
+# A [table] or [[table]] header line, then everything up to the next one.
+_TOML_TABLE = (r"(?s)\n[ \t]*\[\[?[ \t]*([^\[\]\n]+?)[ \t]*\]\]?[ \t]*(?=\n)"
+               r"(.*?)(?=\n[ \t]*\[\[?[^\[\]\n]+\]\]?[ \t]*\n|\z)")
+_TOML_ARRAY = rf'\[((?:[^\]"]++|{_BASIC})*+)\]'
+
+
+def _doubled(c: Column, what: str) -> Column:
+    """``c`` with a backslash before every ``what``."""
+    return F.replace(c, F.lit(what), F.lit("\\" + what))
+
+
+def _long_strings(text: Column, quotes: str, literal: bool) -> Column:
+    """Strings in triple quotes as strings in double quotes on one line (a
+    quotation mark right beside the triple ones is not told from them)."""
+    def one(part: Column, i: Column) -> Column:
+        inside = F.regexp_replace(part, r"\A\n", "")
+        if literal:
+            inside = _doubled(_doubled(inside, "\\"), '"')
+        else:
+            inside = F.regexp_replace(inside, r"(?<!\\)((?:\\\\)*)\\[ \t]*\n[ \t\n]*", "$1")  # a backslash ends the line
+            inside = F.regexp_replace(inside, r'(?<!\\)((?:\\\\)*)"', r'$1\\"')
+        inside = F.replace(inside, F.lit("\n"), F.lit("\\n"))
+        return F.when(i % 2 == 1, F.concat(F.lit('"'), inside, F.lit('"'))).otherwise(part)
+    return F.array_join(F.transform(F.split(text, quotes, -1), one), "")
+
+
+def plain_toml(content: Column) -> Column:
+    """The text without comments, all strings in double quotes on one line."""
+    text = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n?", "\n"), F.lit("\n"))
+    text = F.regexp_replace(text, _COMMENT, "$1")
+    text = _long_strings(_long_strings(text, '"""', False), "'''", True)
+    # 'literal' strings, one by one: what is special between double quotes is escaped
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)({_BASIC}|{_LITERAL}|[^\"']++|[\"'])"), F.lit(1))
+
+    def one(piece: Column) -> Column:
+        inside = _doubled(_doubled(F.substring(piece, F.lit(2), F.length(piece) - 2), "\\"), '"')
+        return F.when(piece.startswith("'") & (F.length(piece) > 1), F.concat(F.lit('"'), inside, F.lit('"'))).otherwise(piece)
+    return F.array_join(F.transform(pieces, one), "")
+
+
+def _unquoted(text: Column) -> Column:
+    """The value of a string in double quotes: TOML's escapes are JSON's, beside raw tabs and ``\\U``."""
+    safe = F.regexp_replace(F.replace(text, F.lit("\t"), F.lit("\\t")), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    value = F.get(F.from_json(F.concat(F.lit("["), safe, F.lit("]")), "array<string>"), F.lit(0))
+    return F.coalesce(value, F.substring(text, F.lit(2), F.length(text) - 2))
 
 
 def _toml_table(table: str) -> Column:
@@ -82,17 +130,16 @@ def _toml_table(table: str) -> Column:
 
 def _toml_text(body: Column, key: str) -> Column:
     """A string value of a table's body, null without it."""
-    rx = rf"\n[ \t]*{key}[ \t]*=[ \t]*(?:{_TOML_STRING})"
-    found = F.regexp_like(body, F.lit(rx))
-    return F.when(found, F.concat(F.regexp_extract(body, rx, 1), F.regexp_extract(body, rx, 2)))
+    rx = rf'\n[ \t]*"?{key}"?[ \t]*=[ \t]*({_BASIC})'
+    return F.when(F.regexp_like(body, F.lit(rx)), _unquoted(F.regexp_extract(body, rx, 1)))
 
 
 def _toml_sections(manifests: DataFrame, name: str) -> DataFrame:
     """project, toml: array of (table, body) of the files of that name."""
-    text = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), F.lit("\n"))
+    own = manifests.where(F.col("name") == name).select("project", plain_toml(F.col("content")).alias("text"))
     rx = F.lit(_TOML_TABLE)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(1)).alias("0"), F.regexp_extract_all(text, rx, F.lit(2)).alias("1"))
-    return manifests.where(F.col("name") == name).select("project", pairs.alias("toml"))
+    tables = F.transform(F.regexp_extract_all("text", rx, F.lit(1)), lambda t: F.regexp_replace(t, r'[ \t"]', ""))
+    return own.select("project", F.arrays_zip(tables.alias("0"), F.regexp_extract_all("text", rx, F.lit(2)).alias("1")).alias("toml"))
 
 
 def toml_records(manifests: DataFrame) -> DataFrame:
@@ -103,9 +150,8 @@ def toml_records(manifests: DataFrame) -> DataFrame:
     py = _toml_sections(manifests, "pyproject.toml").select("project", _toml_table("project").alias("pep"), _toml_table("tool.poetry").alias("poetry"),
                                                             _toml_table("tool.poetry.dependencies").alias("listed"))
     py = py.where("pep is not null or poetry is not null or listed is not null")
-    array = rf"\n[ \t]*dependencies[ \t]*=[ \t]*{_TOML_ARRAY}"
-    items = F.regexp_extract_all(F.regexp_extract("pep", array, 1), F.lit(_TOML_STRING), F.lit(0))
-    items = F.transform(items, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    array = rf'\n[ \t]*"?dependencies"?[ \t]*=[ \t]*{_TOML_ARRAY}'
+    items = F.transform(F.regexp_extract_all(F.regexp_extract("pep", array, 1), F.lit(f"({_BASIC})"), F.lit(1)), _unquoted)
     keys = F.regexp_extract_all("listed", F.lit(r"\n[ \t]*[\"']?([A-Za-z0-9_.-]+)[\"']?[ \t]*="), F.lit(1))
     deps = F.when(F.regexp_like("pep", F.lit(array)), items).otherwise(F.coalesce(keys, none))
     py = py.select("project", F.lit("python").alias("ecosystem"),

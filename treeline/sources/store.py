@@ -1,8 +1,11 @@
 """Catalog tables (S10, M9): plain tables of Spark's own catalog.
 
 A catalog is a Spark database; its tables are Parquet tables that Spark
-creates, reads, appends to and drops.  A table that is computed from its own
-old rows is written beside them first and then takes their place.
+creates, reads, appends to and drops.  Tables that are computed from their own
+old rows are written beside them first and then take their place together:
+once all are written, a table ``publish__ready`` names them.  A job that dies
+before that has changed nothing; one that dies later is finished by the next
+:class:`CatalogStore` of the same database.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from treeline.session import scratch_path
 
 
+#: Table that names the tables of a publish once all of them are written.
+READY = "publish__ready"
+
+
 class CatalogStore:
     """The tables of one database.  ``location`` is the folder for its files
     (a shared one; below spark.checkpoint.dir by default)."""
@@ -23,9 +30,30 @@ class CatalogStore:
 
     def _create(self) -> None:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.location}'")
+        self.recover()
+
+    def _all(self) -> set[str]:
+        return {t.name for t in self.spark.catalog.listTables(self.database)}
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        return sorted(n for n in self._all() if not n.endswith(("__next", "__ready")))
+
+    def recover(self) -> None:
+        """Finishes a publish that was cut short after all its tables were
+        written, and forgets the tables of one that was not."""
+        if READY in self._all():
+            self._swap([r.name for r in self.read(READY).collect()])
+        for n in self._all():
+            if n.endswith("__next"):
+                self.drop(n)
+
+    def _swap(self, names: list[str]) -> None:
+        """Puts the written tables in place of the old.  May be repeated after any step."""
+        for name in names:
+            if f"{name}__next" in self._all():
+                self.drop(name)
+                self.spark.sql(f"ALTER TABLE {self.database}.{name}__next RENAME TO {self.database}.{name}")
+        self.drop(READY)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.database}.{name}")
@@ -36,13 +64,13 @@ class CatalogStore:
 
     def publish(self, tables: dict[str, DataFrame]) -> None:
         """Creates or replaces tables, which may be computed from the ones
-        they replace: all are written before the first old one is dropped."""
+        they replace.  All of them or, after a crash, none."""
         for name, df in tables.items():
             self.drop(f"{name}__next")
             df.write.format("parquet").saveAsTable(f"{self.database}.{name}__next")
-        for name in tables:
-            self.drop(name)
-            self.spark.sql(f"ALTER TABLE {self.database}.{name}__next RENAME TO {self.database}.{name}")
+        rows = [(name,) for name in tables]
+        self.spark.createDataFrame(rows, "name string").coalesce(1).write.format("parquet").saveAsTable(f"{self.database}.{READY}")
+        self._swap(list(tables))
 
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{name}")
