@@ -61,3 +61,27 @@ def test_a_crash_while_tables_are_written_changes_nothing(spark):
     assert again.tables() == ["a"] and _rows(again, "a") == list(range(7))
     again.publish({"a": again.read("a").where("id < 2")})
     assert _rows(again, "a") == [0, 1]
+
+
+def test_touched_buckets_only(spark):
+    from pyspark.sql import functions as F
+
+    store = _store(spark)
+    rows = spark.range(40).select("id", F.lit(1).alias("v"), (F.col("id") % 4).cast("int").alias("bucket"))
+    store.publish({"t": rows})
+
+    def files(b):
+        return {r.f for r in store.read("t").where(F.col("bucket") == b).select(F.input_file_name().alias("f")).distinct().collect()}
+    before = {b: files(b) for b in range(4)}
+    old = store.read("t")
+    # bucket 1 gets new values, bucket 2 loses all rows, a row of bucket 3 must not be written
+    new = old.where("bucket <> 2").withColumn("v", F.when(F.col("bucket") == 1, F.lit(7)).otherwise(F.lit(9)))
+    store.publish({"t": new}, touched=[1, 2])
+    assert {(r.bucket, r.v): r["count"] for r in store.read("t").groupBy("bucket", "v").count().collect()} == {(0, 1): 10, (1, 7): 10, (3, 1): 10}
+    assert files(0) == before[0] and files(3) == before[3] and not files(1) & before[1]
+    # a crash after the buckets were written, before they took their place
+    rows = spark.range(4).select("id", F.lit(5).alias("v"), F.lit(0).alias("bucket"))
+    rows.write.format("parquet").partitionBy("bucket").saveAsTable(f"{store.database}.t__next")
+    spark.createDataFrame([("t", [0])], "name string, buckets array<int>").write.format("parquet").saveAsTable(f"{store.database}.{READY}")
+    again = CatalogStore(spark, store.database, store.location)
+    assert again.read("t").where("bucket = 0").agg(F.sum("v")).first()[0] == 20 and again.read("t").count() == 24

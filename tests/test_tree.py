@@ -131,3 +131,26 @@ def test_viewer_guard_on_tree(tree):
     _, files = tree
     v = {r.path: (r.viewable, r.reason) for r in grep.viewable(files).where(F.col("project") == "alpha").collect()}
     assert v["big.txt"] == (False, "File too large to display") and v["_x.py"] == (True, None)
+
+
+def test_jobs_list_the_same_rows_as_the_reader(spark, tree):
+    from treeline.sources.repo_tree import list_tree, read_contents
+
+    base, files = tree
+    columns = ["project", "path", "name", "size_bytes", "modified_at"]
+    listed = list_tree(spark, base)
+    want = sorted(tuple(r) for r in files.select(*columns).collect())
+    assert sorted(tuple(r) for r in listed.select(*columns).collect()) == want
+    read = read_contents(listed, base, bytes_per_task=200_000)
+    assert read.rdd.getNumPartitions() == 6
+    assert sorted(tuple(r) for r in read.select(*columns, "content").collect()) == sorted(tuple(r) for r in files.select(*columns, "content").collect())
+
+
+def test_project_filters_reach_the_source(spark, tree):
+    base, files = tree
+    some = read_tree(spark, base, content=False).where(F.col("project").isin("alpha", "marker_only") & (F.col("size_bytes") > 0))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert {r.project for r in some.collect()} == {"alpha", "marker_only"}
+    assert some.rdd.getNumPartitions() == 2 and "project" not in plan.split("Filter")[1].split("BatchScan")[0].split("\n")[0]
+    one = read_tree(spark, base, content=False).where("project = 'marker_only'")
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 1

@@ -87,11 +87,16 @@ def inventory(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- aggregations
 
+def _line_count(files: DataFrame):
+    """The lines of a file: a column ``lines`` where they were counted before, else from ``content``."""
+    return F.col("lines") if "lines" in files.columns else exprs.line_count(F.col("content"))
+
+
 def project_stats(files: DataFrame) -> DataFrame:
     """A1: file_count (dot-files included), size_bytes, lines_of_code over
-    known-language files, on the pruned tree.  Needs ``content``."""
+    known-language files, on the pruned tree.  Needs ``content`` or ``lines``."""
     f = with_language(with_flags(files).where(~F.col("excluded")))
-    loc = F.when(F.col("language").isNotNull(), exprs.line_count(F.col("content"))).otherwise(F.lit(0))
+    loc = F.when(F.col("language").isNotNull(), _line_count(files)).otherwise(F.lit(0))
     return f.groupBy("project").agg(
         F.count(F.lit(1)).alias("file_count"),
         F.sum("size_bytes").cast("long").alias("size_bytes"),
@@ -102,7 +107,7 @@ def project_stats(files: DataFrame) -> DataFrame:
 def language_loc(files: DataFrame) -> DataFrame:
     """Per (project, language) lines of code, pruned tree, known languages only."""
     f = with_language(with_flags(files).where(~F.col("excluded"))).where(F.col("language").isNotNull())
-    return f.groupBy("project", "language").agg(F.sum(exprs.line_count(F.col("content"))).cast("long").alias("loc"))
+    return f.groupBy("project", "language").agg(F.sum(_line_count(files)).cast("long").alias("loc"))
 
 
 def languages(files: DataFrame) -> DataFrame:

@@ -28,7 +28,9 @@ import json
 import os
 from datetime import datetime, timezone
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 SCHEMA = ("project string, path string, name string, size_bytes long, modified_at timestamp_ntz, "
           "content string, error string")
@@ -62,6 +64,37 @@ def _excluded(name: str, patterns: list[str]) -> bool:
     return any(fnmatchcase(name, p) for p in patterns) or name.startswith(".")
 
 
+def file_row(project: str, root: str, rel: str, content: bool) -> tuple:
+    """The row of one file; one that can't be read has an error instead."""
+    full, name = os.path.join(root, rel), os.path.basename(rel)
+    try:
+        st = os.stat(full)
+        mtime = datetime.fromtimestamp(st.st_mtime, timezone.utc).replace(tzinfo=None)
+        text = None
+        if content:
+            with open(full, "rb") as fh:
+                text = fh.read().decode("utf-8", errors="ignore")
+        return (project, rel, name, int(st.st_size), mtime, text, None)
+    except OSError as e:
+        return (project, rel, name, None, None, None, f"{type(e).__name__}: {e}")
+
+
+def _batches(rows):
+    import pyarrow as pa
+
+    schema = pa.schema([("project", pa.string()), ("path", pa.string()), ("name", pa.string()), ("size_bytes", pa.int64()),
+                        ("modified_at", pa.timestamp("us")), ("content", pa.string()), ("error", pa.string())])
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[5] or "")
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+
+
 class RepoTreeReader(DataSourceReader):
     def __init__(self, options):
         from treeline.functions import fixed
@@ -74,6 +107,19 @@ class RepoTreeReader(DataSourceReader):
         self.patterns = pats.split(",") if pats else list(fixed.EXCLUDE_DIRS)
         self.projects = json.loads(options["projects"]) if options.get("projects") else None
 
+    def pushFilters(self, filters):
+        """``project = x`` and ``project IN (...)`` choose the folders that are listed at all."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("project",):
+                wanted = [f.value]
+            elif isinstance(f, In) and f.attribute == ("project",):
+                wanted = list(f.value)
+            else:
+                yield f
+                continue
+            wanted = {x for x in wanted if x is not None}
+            self.projects = sorted(wanted if self.projects is None else wanted & set(self.projects))
+
     def partitions(self):
         parts = []
         try:
@@ -93,34 +139,11 @@ class RepoTreeReader(DataSourceReader):
         return parts or [_Chunk("", [])]
 
     def _row(self, project: str, root: str, rel: str):
-        full = os.path.join(root, rel)
-        name = os.path.basename(rel)
-        try:
-            st = os.stat(full)
-            mtime = datetime.fromtimestamp(st.st_mtime, timezone.utc).replace(tzinfo=None)
-            text = None
-            if self.content:
-                with open(full, "rb") as fh:
-                    text = fh.read().decode("utf-8", errors="ignore")
-            return (project, rel, name, int(st.st_size), mtime, text, None)
-        except OSError as e:
-            return (project, rel, name, None, None, None, f"{type(e).__name__}: {e}")
+        return file_row(project, root, rel, self.content)
 
     def read(self, partition):
         """Arrow batches of at most BATCH_ROWS rows or about BATCH_BYTES of text."""
-        import pyarrow as pa
-
-        schema = pa.schema([("project", pa.string()), ("path", pa.string()), ("name", pa.string()), ("size_bytes", pa.int64()),
-                            ("modified_at", pa.timestamp("us")), ("content", pa.string()), ("error", pa.string())])
-        rows, size = [], 0
-        for row in self._rows(partition):
-            rows.append(row)
-            size += len(row[5] or "")
-            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        yield from _batches(self._rows(partition))
 
     def _rows(self, partition):
         project, entries = partition.project, partition.entries
@@ -149,9 +172,84 @@ def register(spark) -> None:
     spark.dataSource.register(RepoTreeDataSource)
 
 
+def _list_folders(base: str, prune: bool, patterns: list[str]):
+    """mapInArrow body: what lies in each folder (project, path).  Files are
+    rows as the reader's, subfolders to go on with have ``folder`` true."""
+    import pyarrow as pa
+
+    def rows(project: str, path: str):
+        root = os.path.join(base, project)
+        full = os.path.join(root, path) if path else root
+        try:
+            entries = sorted(os.scandir(full), key=lambda e: e.name)
+        except OSError as e:
+            yield (project, path, os.path.basename(path), None, None, None, f"{type(e).__name__}: {e}", False)
+            return
+        closed = prune and "/" not in path and path and _excluded(path, patterns)  # of a pruned top folder, its own files
+        for e in entries:
+            rel = f"{path}/{e.name}" if path else e.name
+            if not project:
+                if e.is_dir():
+                    yield (e.name, "", "", None, None, None, None, True)
+            elif e.is_dir(follow_symlinks=False):
+                if not closed and not (prune and path and _excluded(e.name, patterns)):
+                    yield (project, rel, e.name, None, None, None, None, True)
+            elif not e.is_dir() and (path or e.is_file()):
+                yield (*file_row(project, root, rel, False), False)
+
+    def run(batches):
+        for b in batches:
+            for project, path in zip(b["project"].to_pylist(), b["path"].to_pylist()):
+                held = list(rows(project, path))
+                for k in range(0, len(held), BATCH_ROWS):
+                    part = held[k:k + BATCH_ROWS]
+                    base_batch = next(iter(_batches(r[:7] for r in part)))
+                    yield base_batch.append_column("folder", pa.array([r[7] for r in part]))
+    return run
+
+
+#: Folders that one task lists, bytes of files that one task reads.
+FOLDERS_PER_TASK, BYTES_PER_TASK = 32, 128 << 20
+
+
+def list_tree(spark: SparkSession, base: str, prune: bool = True) -> DataFrame:
+    """The reader's rows without content, as jobs: one for each level of the
+    tree, in which the folders found by the level above are dealt out by
+    their names.  Nothing that grows with the tree passes the driver, and a
+    project's folders lie in as many tasks as they need."""
+    from treeline.functions import fixed
+    from treeline.session import materialize
+
+    schema = SCHEMA + ", folder boolean"
+    body, out = _list_folders(base, prune, list(fixed.EXCLUDE_DIRS)), None
+    folders = spark.createDataFrame([("", "")], "project string, path string")
+    while True:
+        level = materialize(folders.mapInArrow(body, schema), "stage")
+        files = level.where("not folder").drop("folder", "content")
+        out = files if out is None else out.unionByName(files)
+        folders = level.where("folder").select("project", "path")
+        n = folders.count()
+        if not n:
+            return out
+        folders = folders.repartition(n // FOLDERS_PER_TASK + 1, "project", "path")
+
+
+def read_contents(listing: DataFrame, base: str, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
+    """The listed files (project, path, size_bytes) with their content, and no
+    others: rows as the reader's.  As many tasks as the files' bytes ask for."""
+    files = listing.where("error is null").select("project", "path", "size_bytes")
+    total = files.agg(F.sum("size_bytes")).first()[0] or 0
+
+    def run(batches):
+        yield from _batches(file_row(p, os.path.join(base, p), rel, True) for b in batches for p, rel in zip(b["project"].to_pylist(), b["path"].to_pylist()))
+    return files.repartition(int(total // bytes_per_task) + 1, "project", "path").mapInArrow(run, SCHEMA)
+
+
 def read_tree(spark, base: str, content: bool = True, prune: bool = True, projects: list[str] | None = None):
-    """Convenience: register the source and read ``base``, or only the named projects below it."""
+    """Convenience: register the source and read ``base``, or only the named projects below it.
+    Filters on ``project`` reach the source too."""
     register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     r = (spark.read.format("repo_tree").option("path", base).option("content", str(content).lower())
          .option("prune", str(prune).lower()))
     if projects is not None:
