@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.common import read
@@ -370,7 +370,10 @@ def training_windows(docs: DataFrame, most: int = MAX_WINDOWS) -> tuple[np.ndarr
                         rows.append({"h": xxhash.xxh32_intdigest(f"{d}:{s}"), "w": w, "tags": tags.astype(np.int8).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("h", pa.int64()), ("w", pa.string()), ("tags", pa.binary())]))
 
-    rows = docs.select("doc_id", "text").mapInArrow(cut, "h long, w string, tags binary").orderBy("h", "w").limit(most).collect()
+    # the least hashes of each group; a task sends its own least ones to the groups' tasks, these send theirs to the driver
+    found = docs.select("doc_id", "text").mapInArrow(cut, "h long, w string, tags binary").withColumn("group", F.col("h") % SAMPLE_GROUPS)
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("h", "w", "tags"))).where(F.col("place") <= -(-most // SAMPLE_GROUPS))
+    rows = sorted(found.select("h", "w", "tags").collect())[:most]
     rng = random.Random(6)
     texts, tags = [r.w for r in rows], [np.frombuffer(r.tags, np.int8) for r in rows]
     plain = [re.sub("[0-9@]", "", t) for t in texts] or ["the text of a document, "]
@@ -388,6 +391,10 @@ def training_windows(docs: DataFrame, most: int = MAX_WINDOWS) -> tuple[np.ndarr
     return c, y
 
 
+#: Groups that a sample is drawn in, so that the driver gets little more than it keeps.
+SAMPLE_GROUPS = 32
+
+
 def train(docs: DataFrame, most: int = MAX_WINDOWS) -> Tagger:
     """A tagger from a bounded sample of ``docs`` (doc_id, text); without any text, from made-up spans alone."""
     return Tagger().fit(*training_windows(docs, most))
@@ -412,6 +419,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, into: str = "personal")
 
 @register("op8_pii")
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: personal data by kind, the patterns' spans as a digest, all spans."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs, train(docs))
 
