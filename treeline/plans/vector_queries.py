@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeline.io import table
-from treeline.operators import segments, text_index, vectors
+from treeline.operators import search, segments, text_index, vectors
 from treeline.plans import oracle
 from treeline.plans.registry import register
 from treeline.plans.standins import BRIDGE_SQL, PROJECTS_SQL, keyword_bridge, projects
-from treeline.session import scratch_path
+from treeline.session import materialize, scratch_path
 
 VEC_SQL = """vecs AS (
   SELECT vec_id AS id, embedding, label AS project_id,
@@ -123,6 +123,39 @@ def x3_embed(spark, sf_dir):
     return vectors.hash_features(d, ["doc_id"], "text").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+@register("x4_refresh", "WITH " + PROJECTS_SQL + ",\n" + BRIDGE_SQL + r""",
+kw AS (SELECT project_id, list(keyword ORDER BY keyword) AS k FROM bridge GROUP BY 1),
+p2 AS (SELECT id, name, readme_content, CASE WHEN id % 3 = 0 THEN short_description ELSE 'old ' || coalesce(short_description, '') END AS sd FROM proj),
+x AS (SELECT id, concat_ws('. ', name, nullif(sd, ''), CASE WHEN len(coalesce(k, [])) > 0 THEN 'Keywords: ' || array_to_string(k, ', ') END,
+             nullif(substr(readme_content, 1, 1000), '')) AS text FROM p2 LEFT JOIN kw ON p2.id = kw.project_id),
+t AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token FROM x),
+n AS (SELECT id, token, count(*) AS n, md5(token) AS h FROM t GROUP BY ALL),
+d AS (SELECT id, n, (4096 * (instr('0123456789abcdef', h[1]) - 1) + 256 * (instr('0123456789abcdef', h[2]) - 1)
+        + 16 * (instr('0123456789abcdef', h[3]) - 1) + instr('0123456789abcdef', h[4]) - 1) % 384 AS bucket FROM n),
+f AS (SELECT id, bucket::INTEGER AS bucket, sum(n)::DOUBLE AS tf FROM d GROUP BY ALL)
+SELECT id, bucket, round((tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)))::FLOAT::DOUBLE, 6) AS weight FROM f""")
+def x4_refresh(spark, sf_dir):
+    """F9, X3 and X4 in a row: vectors of every project's older text, then the
+    texts that changed (every third) are embedded anew and replace theirs;
+    the collection as (bucket, weight) of its non-zero places."""
+    kw = keyword_bridge(spark, sf_dir).groupBy(F.col("project_id").alias("id")).agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    now = projects(spark, sf_dir).join(kw, "id", "left").withColumn("long_description", F.lit(None).cast("string"))
+    before = now.withColumn("short_description", F.concat(F.lit("old "), F.coalesce("short_description", F.lit(""))))
+    first = materialize(vectors.refresh_vectors(None, vectors.project_vector_rows(before)))
+    v = vectors.refresh_vectors(first, vectors.project_vector_rows(now.where(F.col("id") % 3 == 0)))
+    each = v.select("id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
+    return each.select("id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
+@register("j10_module_rows", "WITH " + VEC_SQL + _dist_sql("v.kind = 'module' AND v.project_id = 1", 10).replace("\nSELECT query_id", ",\nhit AS (SELECT query_id") + """)
+SELECT hit.rank, hit.id, hit.score, d.source, d.lang, length(d.text)::INTEGER AS chars FROM hit JOIN documents d ON d.doc_id = hit.id""")
+def j10_module_rows(spark, sf_dir):
+    """Module hits with the rows of the modules they name."""
+    hits = vectors.search_modules(_vecs(spark, sf_dir), _query(spark, sf_dir), 10, _names(spark, sf_dir), "group 1")
+    modules = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", F.length("text").alias("chars"))
+    return search.attach(hits, modules).select("rank", "id", F.round("score", 6).alias("score"), "source", "lang", "chars")
+
+
 @register("x5_lsh_recall")
 def x5_lsh_recall(spark, sf_dir):
     """Recall@10 of LSH candidates against the exact neighbours; queries are
