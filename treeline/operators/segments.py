@@ -141,9 +141,10 @@ def add_segment(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "
     docs = docs.where(F.col(id_col).isNotNull())
     rows = materialize(text_index.build_postings(docs, id_col, fields), "stage")
     postings = _write_postings(rows, path, segment, buckets, heavy)
-    lengths = text_index.build_doc_stats(docs, id_col, fields)
+    # lengths come from the written rows: the texts are tokenized once
+    lengths = rows.groupBy("doc_id").agg(F.max("dl").alias("dl"))
     hashes = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_index.content_hash(fields).alias("content_hash"))
-    _write(lengths.join(hashes, "doc_id"), path, "documents", segment)
+    _write(hashes.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), "content_hash"), path, "documents", segment)
     if embed is not None:
         _write(embed(docs), path, "vectors", segment)
     ids = _table(spark, path, "documents", [segment]).select("doc_id")
