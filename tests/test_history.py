@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from treeline.operators import history
+from treeline.operators import history, segments
 from treeline.streaming import jobs
 
 T = dt.datetime
@@ -83,3 +83,19 @@ def test_append_on_change(spark):
     cur = spark.createDataFrame([(1, 900, 49), (2, 6, 1), (3, 1, 1)], "project_id long, lines_of_code long, file_count long")
     got = sorted(r.project_id for r in history.append_on_change(hist, cur, "2025-01-01 00:00:00").collect())
     assert got == [2, 3]
+
+
+def test_a_streamed_table_may_be_a_file_or_a_folder(spark):
+    """A table's folder holds files of any name; the index stream used to find none there and wrote no vectors."""
+    from treeline.plans.registry import REGISTRY, load_all
+
+    load_all()
+    docs = spark.createDataFrame([(i, f"word{i} common text") for i in range(40)], "doc_id long, text string")
+    folder, single = tempfile.mkdtemp(prefix="t5-folder-"), tempfile.mkdtemp(prefix="t5-file-")
+    docs.repartition(3).write.parquet(os.path.join(folder, "documents.parquet"))
+    docs.toPandas().to_parquet(os.path.join(single, "documents.parquet"))
+    for d in (folder, single):
+        stream = jobs.stream_table(spark, d, "documents.parquet", docs.schema)
+        root = jobs.stream_index(spark, stream)
+        assert segments.current(spark, root).count() == 40 and segments.current(spark, root, "vectors").count() == 40
+        assert REGISTRY["t5_stream_vectors"](spark, d).select("doc_id").distinct().count() == 40

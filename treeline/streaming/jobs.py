@@ -25,15 +25,18 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.session import scratch_path
+from treeline.session import is_folder, scratch_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema, max_files: int | None = None) -> DataFrame:
-    """A Parquet table file (or folder of files) as a streaming source."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*")
+    """A Parquet table as a streaming source: one file ``name`` in the folder,
+    several whose names begin with it, or a folder of that name."""
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    # the filter looks at the files' own names, which in a table's folder aren't the table's
+    inner = f"{folder.rstrip('/')}/{name}"
+    return r.parquet(inner) if is_folder(spark, inner) else r.option("pathGlobFilter", f"{name}*").parquet(folder)
 
 
 def run_available(query_builder: Callable[[str], object]) -> None:
