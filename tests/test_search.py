@@ -203,3 +203,31 @@ def test_lsh_recall_over_query_blocks_against_brute_force(spark, monkeypatch):
     recall = {i: len(want[i] & set(approx.get(i, ()))) / 10 for i in queries}
     assert sum(recall.values()) >= 0.9 * len(queries)
     assert {r.query_id: round(r.recall, 6) for r in x5_lsh_recall(spark, sf).collect()} == recall
+
+
+def test_lsh_lists_no_pairs_and_equals_brute_force(spark, monkeypatch):
+    """Vectors of length 1 fill a handful of buckets, so joined pairs would be nearly all vectors x queries."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[40:60] = x[40]  # copies: ties go to the smaller id
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(7, [float(a) for a in x[7]])]
+    e = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    q = e.where("id % 20 = 0").selectExpr("id as query_id", "embedding as query_vec")
+    q = q.unionByName(q.where("query_id = 40"))
+    monkeypatch.setattr(vectors, "BLOCK", 500)
+    out = vectors.lsh_candidates(e, q, 10, bucket_length=1.5, num_tables=2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    f = e.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.5, numHashTables=2, seed=7).fit(f)
+    h = {r.id: [v[0] for v in r.hashes] for r in model.transform(f).collect()}
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.distance))
+    assert any(a != b for a in h.values() for b in h.values())
+    for i in range(0, 300, 20):
+        near = [(float(((x[j].astype(float) - x[i]) ** 2).sum()), j) for j, _ in rows if any(a == b for a, b in zip(h[i], h[j]))]
+        near = sorted(near * (2 if i == 40 else 1))[:10]
+        assert [(j, pytest.approx(d)) for d, j in near] == [(j, d) for _, j, d in sorted(got[i])]

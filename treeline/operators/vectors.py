@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # Most queries of one search; a larger batch is refused, knn_blocks splits it.
 MAX_QUERIES = 16_384
+# Distances of one block of rows and queries that a task holds at once.
+BLOCK = 2_000_000
 
 
 def _as_double_array(c: Column) -> Column:
@@ -62,26 +64,92 @@ def _distances(vecs, q, metric: str):
     raise ValueError(f"unknown metric {metric}")
 
 
-def _task_topk(queries, k: int, metric: str, id_type):
+def _matrix(column):
+    """An Arrow list column without nulls as a matrix in double; entries that are null are NaN."""
+    import numpy as np
+
+    sizes = column.value_lengths().to_numpy()
+    if len(sizes) and sizes[0] and (sizes == sizes[0]).all():
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+    return np.array(column.to_pylist(), np.float64)
+
+
+def _task_topk(queries, k: int, metric: str, id_type, bucketed: bool = False):
     """mapInArrow body: the k nearest rows of every query among a task's
-    rows (smaller distance, then smaller id), merged batch by batch."""
+    rows (smaller distance, then smaller id), merged batch by batch.
+
+    Squared distances are screened a block at a time by one matrix product;
+    what the product's rounding leaves in doubt is computed again.
+    ``bucketed``: only pairs that share a bucket in some hash table count,
+    and a block is one bucket of one table."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
         best: dict = {}
-        qids, Q = queries.value
+        qids, Q, times, buckets = queries.value
+        limit = 1e290
+        sound = np.array([metric == "l2" and q.ndim == 1 and np.abs(q).max(initial=0.0) < 1e140 for q in Q], bool)  # NaN: not sound
+        matrices: dict = {}
         for b in batches:
-            keep = [i for i, x in enumerate(b["v"].to_pylist()) if x is not None and b["id"][i].is_valid]
-            if not keep:
+            keep = b["v"].is_valid() if bucketed else pc.and_(b["v"].is_valid(), b["id"].is_valid())
+            b = b.filter(keep)
+            if not b.num_rows:
                 continue
-            ids = b["id"].take(pa.array(keep)).to_pylist()
-            vecs = np.array(b["v"].take(pa.array(keep)).to_pylist(), np.float64)
-            for j, q in enumerate(Q):
-                d = _distances(vecs, q, metric)
-                near = range(len(d)) if len(d) <= k else np.nonzero(d <= np.partition(d, k - 1)[k - 1])[0]
-                best[j] = sorted([*best.get(j, ()), *((float(d[i]), ids[i]) for i in near)])[:k]
-        rows = [(qids[j], x, d) for j, top in best.items() for d, x in top]
+            ids = b["id"].to_pylist()
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
+            ids = [ids[i] for i in order]
+            vecs = _matrix(b["v"])[order]
+
+            def merge(j, rows):
+                d = _distances(vecs[rows], Q[j], metric)
+                near = np.arange(len(d)) if len(d) <= k else np.nonzero(d <= np.partition(d, k - 1)[k - 1])[0]
+                near = near[np.argsort(d[near], kind="stable")[:k]]  # rows are in the order of their ids
+                best[j] = sorted([*best.get(j, ()), *((float(d[i]), ids[rows[i]]) for i in near)], key=lambda x: (x[0], x[1] is not None, x[1]))[:k]
+
+            def screen(rows, js, met=None):
+                some, product = vecs[rows], matrices[dim]
+                step = max(1, BLOCK // len(rows))
+                for at in range(0, len(js), step):
+                    part = js[at:at + step]
+                    s = norms[rows][None, :] + qnorms[part][:, None] - 2.0 * (product[part] @ some.T)
+                    if met is not None:
+                        s[met(rows, part)] = np.inf
+                    bound = np.array([best[j][-1][0] if len(best.get(j, ())) == k else np.inf for j in part])
+                    fresh = np.nonzero(~np.isfinite(bound))[0]
+                    if len(fresh) and len(rows) > k:
+                        bound[fresh] = np.partition(s[fresh], k - 1, axis=1)[:, k - 1]
+                    doubt = 2e-14 * (dim + 8) * (norms[rows].max() + qnorms[part])
+                    near = np.isfinite(s) & (s <= (bound + doubt)[:, None])
+                    for i in np.nonzero(near.any(axis=1))[0]:
+                        merge(part[i], rows[np.nonzero(near[i])[0]])
+
+            dim = vecs.shape[1]
+            norms = (vecs * vecs).sum(axis=1)
+            plain = np.nonzero(norms < limit)[0]
+            if dim not in matrices:
+                fits = sound & np.array([q.shape == (dim,) for q in Q], bool)
+                matrices[dim] = np.array([q if f else np.zeros(dim) for q, f in zip(Q, fits)]).reshape(len(Q), dim)
+                matrices[dim, "fits"] = fits
+            qnorms, fits = (matrices[dim] ** 2).sum(axis=1), matrices[dim, "fits"]
+            if bucketed:
+                h = np.array(b["h"].to_pylist(), np.float64).reshape(len(ids), -1)[order]
+                for t in range(h.shape[1]):
+                    def met(rows, js, t=t):
+                        return (h[rows][None, :, :t] == buckets[js][:, None, :t]).any(axis=2)
+                    for value in np.unique(h[plain, t]):
+                        js = np.nonzero(fits & (buckets[:, t] == value))[0]
+                        if len(js):
+                            screen(plain[h[plain, t] == value], js, met if t else None)
+                continue
+            huge = bool((np.isfinite(vecs).all(axis=1) & ~(norms < limit)).any())
+            quick = fits if len(plain) >= k and not huge else np.zeros(len(Q), bool)
+            if quick.any():
+                screen(plain, np.nonzero(quick)[0])
+            for j in np.nonzero(~quick)[0]:
+                merge(j, np.arange(len(ids)))
+        rows = [(qids[j], x, d) for j, top in best.items() for d, x in [r for r in top for _ in range(times[j])][:k]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], id_type[0]), pa.array([r[1] for r in rows], id_type[1]), pa.array([r[2] for r in rows], pa.float64())],
             ["query_id", "id", "distance"])
@@ -89,47 +157,36 @@ def _task_topk(queries, k: int, metric: str, id_type):
     return run
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-        qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2") -> DataFrame:
-    """X5 exact: for every query the ``k`` nearest vectors.
-
-    Returns ``(query_id, id, distance, score, rank)``; ties broken by id.
-    Ids may be of any ordered type.  An empty query batch gives an empty
-    result; one of more than MAX_QUERIES is refused, see :func:`knn_blocks`.
-    Null ids and vectors are no neighbours.
-    """
+def _nearest(v: DataFrame, q: DataFrame, k: int, metric: str, bucketed: bool = False) -> DataFrame:
+    """Rows ``v(id, v[, h])`` against one batch ``q(query_id, query_vec, times[, h])``."""
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = vectors.sparkSession
-    q = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("query_vec"))
     rows = q.limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in one batch")
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     types = [q.schema["query_id"].dataType, v.schema["id"].dataType]
-    sent = spark.sparkContext.broadcast(([r[0] for r in rows], [np.array(r[1], np.float64) for r in rows]))
+    buckets = np.array([r[3] for r in rows], np.float64) if bucketed and rows else None
+    sent = v.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [np.array(r[1], np.float64) for r in rows], [r[2] for r in rows], buckets))
     schema = f"query_id {types[0].simpleString()}, id {types[1].simpleString()}, distance double"
-    part = v.mapInArrow(_task_topk(sent, k, metric, [to_arrow_type(t) for t in types]), schema)
+    part = v.mapInArrow(_task_topk(sent, k, metric, [to_arrow_type(t) for t in types], bucketed and bool(rows)), schema)
     w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id"))
     ranked = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.withColumn("score", similarity(F.col("distance")))
 
 
-def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-               qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2") -> DataFrame:
-    """X5 exact for any number of queries (repeated rows are one): :func:`knn`
-    over hashed blocks of at most MAX_QUERIES, one pass each.  Passes are
-    written one by one, so the driver holds one block at a time."""
+def _in_blocks(q: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over hashed blocks of at most MAX_QUERIES of the different
+    queries ``q(query_id, query_vec, ...)``.  Passes are written one by one,
+    so the driver holds one block at a time."""
     from treeline.session import materialize
 
-    q = queries.select(qid_col, qvec_col).distinct()
     n = q.count()
     if n <= MAX_QUERIES:
-        return knn(vectors, q, k, id_col, vec_col, qid_col, qvec_col, metric)
+        return search(q)
     blocks = -(-2 * n // MAX_QUERIES)
     while True:
-        dealt = q.withColumn("_block", F.pmod(F.xxhash64(qid_col, qvec_col), F.lit(blocks)))
+        dealt = q.withColumn("_block", F.pmod(F.xxhash64("query_id", "query_vec"), F.lit(blocks)))
         used = {r[0]: r[1] for r in dealt.groupBy("_block").count().collect()}
         if max(used.values()) <= MAX_QUERIES:
             break
@@ -137,11 +194,33 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id
     dealt = materialize(dealt, "stage")
     out = None
     for b in sorted(used):
-        part = materialize(knn(vectors, dealt.where(F.col("_block") == b), k, id_col, vec_col, qid_col, qvec_col, metric), "stage")
+        part = materialize(search(dealt.where(F.col("_block") == b).drop("_block")), "stage")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+        qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2") -> DataFrame:
+    """X5 exact: for every query the ``k`` nearest vectors.
+
+    Returns ``(query_id, id, distance, score, rank)``; ties broken by id.
+    Ids may be of any ordered type.  An empty query batch gives an empty
+    result; one of more than MAX_QUERIES is refused, see :func:`knn_blocks`.
+    Null ids and vectors are no neighbours.
+    """
+    q = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("query_vec"), F.lit(1).alias("times"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return _nearest(v, q, k, metric)
+
+
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+               qid_col: str = "query_id", qvec_col: str = "query_vec", metric: str = "l2") -> DataFrame:
+    """X5 exact for any number of queries (repeated rows are one): :func:`knn`
+    over hashed blocks of at most MAX_QUERIES, one pass each."""
+    q = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("query_vec")).distinct()
+    return _in_blocks(q, lambda some: knn(vectors, some, k, id_col, vec_col, metric=metric))
+
+
 def hash_features(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 384) -> DataFrame:
     """X3 offline encoder as rows ``id_cols, bucket, weight``: term
     frequencies of tokens hashed by the first 16 bits of their MD5, scaled
@@ -194,26 +273,22 @@ def lsh_candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
                    qid_col: str = "query_id", qvec_col: str = "query_vec", bucket_length: float = 2.0,
                    num_tables: int = 4, seed: int = 7) -> DataFrame:
     """X5 approximate: bucketed random projection LSH candidates, re-ranked
-    exactly.  Candidate pairs come from an equi-join on bucket signatures,
-    so the cost follows the bucket sizes instead of queries x vectors."""
+    exactly.  Candidates are the pairs that share a bucket in some table.
+    A query batch goes to the tasks with its buckets; a task compares the
+    rows of a bucket with the queries of that bucket only, so the cost
+    follows the bucket sizes and no pair is shuffled or listed.  A repeated
+    query meets every candidate as often."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = vectors.select(F.col(id_col).alias("id"), array_to_vector(_as_double_array(F.col(vec_col))).alias("features"))
-    q = queries.select(F.col(qid_col).alias("query_id"), array_to_vector(_as_double_array(F.col(qvec_col))).alias("features"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), array_to_vector(_as_double_array(F.col(vec_col))).alias("features"))
+    q = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("query_vec"), array_to_vector(_as_double_array(F.col(qvec_col))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(v)
-    # a pair is taken from the first table it meets in, so it needs no removal of repeated pairs and their vectors
-    hv = model.transform(v).select("id", "features", F.col("hashes").alias("vh"), F.posexplode("hashes").alias("table", "h"))
-    hq = model.transform(q).select("query_id", F.col("features").alias("qf"), F.col("hashes").alias("qh"), F.posexplode("hashes").alias("table", "h"))
-    pairs = hq.join(hv, ["table", "h"])
-    for t in range(num_tables - 1):
-        pairs = pairs.where((F.col("table") <= t) | (F.get("vh", F.lit(t)) != F.get("qh", F.lit(t))))
-    from pyspark.ml.functions import vector_to_array
-    d = pairs.select("query_id", "id", distance(vector_to_array(F.col("features")), vector_to_array(F.col("qf"))).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id"))
-    return (d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("score", similarity(F.col("distance"))))
+    h = F.array(*[F.get(vector_to_array(F.get("hashes", F.lit(t))), F.lit(0)) for t in range(num_tables)]).alias("h")
+    hv = model.transform(v).select("id", "v", h)
+    hq = model.transform(q).select("query_id", "query_vec", h).groupBy("query_id", "query_vec", "h").agg(F.count("*").alias("times"))
+    return _in_blocks(hq.select("query_id", "query_vec", "times", "h"), lambda some: _nearest(hv, some, k, "l2", bucketed=True))
 
 
 def project_vector_rows(projects: DataFrame) -> DataFrame:
