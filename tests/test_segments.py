@@ -121,3 +121,31 @@ def test_nulls_and_empty(spark):
     none = scratch_path(spark, "stage-segments")
     segments.add_segment(spark, none, docs.limit(0))
     assert segments.phrase_search(spark, none, "the on").count() == 0
+
+
+def test_no_token_document_pairs_are_grouped_and_files_are_sorted(spark, monkeypatch):
+    """Counts come from a document's own array, postings are sorted by the tasks that hold their documents."""
+    arrays = text_index.token_arrays(_docs(spark, dict(enumerate(["b a b", "a", "", "c b"]))))
+    counts = text_index.token_counts(arrays)
+    assert sorted(tuple(r) for r in counts.collect()) == [("a", 2, 2), ("b", 2, 3), ("c", 1, 1)]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.split("\n") if "hashpartitioning" in line and "doc_id" in line] == []
+
+    path = scratch_path(spark, "index")
+    monkeypatch.setattr(segments, "TASK_POSTINGS", 40)
+    segments.add_segment(spark, path, _docs(spark, {i: f"w{i % 7} x{i} w{i % 7} y" for i in range(60)}), buckets=2, heavy=50)
+    files = [r[0] for r in spark.read.parquet(f"{path}/postings").select(F.input_file_name()).distinct().collect()]
+    assert len(files) > 6
+    for f in files:
+        got = [(r.token, r.doc_id, r.field, r.pos) for r in spark.read.parquet(f).collect()]
+        assert got == sorted(got)
+
+
+def test_merged_dictionary_leaves_gone_documents_out(spark):
+    path = scratch_path(spark, "index")
+    for part in range(4):
+        segments.add_segment(spark, path, _docs(spark, {0: "a b", 1: "b c c", 2: "d"} if part == 0 else {0: "a b", 10 + part: "e e e e"}))
+    (made,) = segments.merge(spark, path, tier=4)
+    got = segments._table(spark, path, "tokens", [made.id]).select("token", "df", "postings").collect()
+    assert sorted(tuple(r) for r in got) == [("a", 1, 1), ("b", 2, 2), ("c", 1, 2), ("d", 1, 1), ("e", 3, 12)]
+    assert made.postings == 18 and made.documents == 6

@@ -25,16 +25,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.operators import text_index
-from treeline.session import materialize, path_exists
+from treeline.session import discard, materialize, path_exists
 
 #: Buckets of a segment's postings, and least postings of a token that is dealt over several.
 BUCKETS, HEAVY = 16, 100_000
 #: Segments of one size tier (powers of this) that are merged.
 TIER = 4
+#: Postings that a task sorts into a new segment's buckets; they fit its memory.
+TASK_POSTINGS = 4_000_000
 #: Most documents of the rarest token that are broadcast; the dictionary knows their number.
 BROADCAST_IDS = 1_000_000
 
@@ -101,19 +103,36 @@ def _write(rows: DataFrame, path: str, name: str, segment: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/{name}/segment={segment}")
 
 
-def _write_postings(rows: DataFrame, path: str, segment: int, buckets: int, heavy: int) -> int:
-    """Writes written token rows as a segment's postings and dictionary."""
-    per = rows.groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("postings"))
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """(token, df, postings) of posting rows."""
+    return rows.groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("postings"))
+
+
+def _write_postings(rows: DataFrame, path: str, segment: int, buckets: int, heavy: int, counts: DataFrame | None = None) -> int:
+    """Writes token rows as a segment's postings and dictionary.  ``counts``
+    (token, df, postings): known counts; otherwise the rows are read for them.
+    ``rows`` may also be token arrays: then documents are dealt to tasks, and
+    each sorts its own into the buckets, so token rows aren't shuffled."""
+    counts = materialize(counts if counts is not None else _pair_counts(rows), "stage")
     home = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-    total = rows.count()
+    total = counts.agg(F.coalesce(F.sum("postings"), F.lit(0))).first()[0]
     # at most four tokens for each bucket can be over this share, so the list that is sent to the tasks is short
     share = max(heavy, total // (4 * buckets))
-    tokens = materialize(per.select("token", "df", "postings", home.alias("home"), F.least(F.ceil(F.col("postings") / share), F.lit(buckets)).cast("int").alias("spread")), "stage")
+    tokens = counts.select("token", "df", "postings", home.alias("home"), F.least(F.ceil(F.col("postings") / share), F.lit(buckets)).cast("int").alias("spread"))
     _write(tokens.sort("token"), path, "tokens", segment)
+    by_document = "token" not in rows.columns
+    if by_document:
+        # a small segment is still spread over the cores
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        tasks = max(1, -(-total // TASK_POSTINGS), min(cores, total // 500_000))
+        rows = text_index.posting_rows(rows.repartition(tasks, "doc_id"))
     dealt = rows.join(F.broadcast(tokens.where("spread > 1").select("token", "spread")), "token", "left")
     bucket = F.pmod(home + F.pmod(F.xxhash64("doc_id"), F.coalesce("spread", F.lit(1))), F.lit(buckets)).cast("int")
-    (dealt.select("token", "doc_id", "field", "pos", "dl", bucket.alias("bucket")).hint("rebalance", "bucket")
-     .sortWithinPartitions("bucket", "token", "doc_id", "field", "pos")
+    # field and position travel as one number, which also sorts as they do
+    place = F.shiftleft(F.col("field").cast("long"), 32) + F.col("pos")
+    dealt = dealt.select("token", "doc_id", place.alias("_place"), "dl", bucket.alias("bucket"))
+    ((dealt if by_document else dealt.hint("rebalance", "bucket")).sortWithinPartitions("bucket", "token", "doc_id", "_place")
+     .select("token", "doc_id", F.shiftright("_place", 32).cast("int").alias("field"), F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "dl", "bucket")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}"))
     return total
 
@@ -139,12 +158,13 @@ def add_segment(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "
     before = [s for s in committed(spark, path) if segment is None or s.id < segment]
     segment = segment if segment is not None else max([s.id for s in before], default=0) + 1
     docs = docs.where(F.col(id_col).isNotNull())
-    rows = materialize(text_index.build_postings(docs, id_col, fields), "stage")
-    postings = _write_postings(rows, path, segment, buckets, heavy)
-    # lengths come from the written rows: the texts are tokenized once
-    lengths = rows.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-    hashes = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_index.content_hash(fields).alias("content_hash"))
-    _write(hashes.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), "content_hash"), path, "documents", segment)
+    hashed = docs.withColumn("_hash", text_index.content_hash(fields))
+    # the texts are read and tokenized once, and written as token arrays: a row for each document, not for each token
+    arrays = materialize(text_index.token_arrays(hashed, id_col, fields, ["_hash"]), "stage")
+    postings = _write_postings(arrays.drop("_hash"), path, segment, buckets, heavy, text_index.token_counts(arrays))
+    length = F.max("dl").over(Window.partitionBy("doc_id"))
+    _write(arrays.select("doc_id", length.alias("dl"), F.col("_hash").alias("content_hash")), path, "documents", segment)
+    discard(arrays)
     if embed is not None:
         _write(embed(docs), path, "vectors", segment)
     ids = _table(spark, path, "documents", [segment]).select("doc_id")
@@ -188,8 +208,14 @@ def merge(spark: SparkSession, path: str, buckets: int = BUCKETS, heavy: int = H
             return made
         old, new = [s.id for s in full], max(s.id for s in segments) + 1
         gone = _gone(spark, path, segments)
-        rows = _live(_table(spark, path, "postings", old), gone).select("doc_id", "field", "pos", "token", "dl")
-        postings = _write_postings(materialize(rows, "stage"), path, new, buckets, heavy)
+        rows, counts = _table(spark, path, "postings", old), _table(spark, path, "tokens", old).select("token", "df", "postings")
+        if gone.where(F.col("of").isin(old)).limit(1).count():
+            # a live document is in one segment, so the dictionaries add up once its gone documents are taken off
+            lost = rows.join(gone.select(F.col("of").alias("segment"), "doc_id"), ["segment", "doc_id"], "left_semi")
+            lost = lost.groupBy("segment", "token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("postings"))
+            rows, counts = _live(rows, gone), counts.unionByName(lost.select("token", -F.col("df"), -F.col("postings")).toDF("token", "df", "postings"))
+        counts = counts.groupBy("token").agg(F.sum("df").alias("df"), F.sum("postings").alias("postings")).where("postings > 0")
+        postings = _write_postings(rows.select("doc_id", "field", "pos", "token", "dl"), path, new, buckets, heavy, counts)
         _write(_live(_table(spark, path, "documents", old), gone).drop("segment"), path, "documents", new)
         if path_exists(spark, f"{path}/vectors"):
             _write(_live(spark.read.parquet(f"{path}/vectors").where(F.col("segment").isin(old)), gone).drop("segment"), path, "vectors", new)

@@ -44,34 +44,50 @@ def query_tokens(text: str) -> list[str]:
     return [t for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t]
 
 
-def _token_rows(docs: DataFrame, id_col: str, fields) -> DataFrame:
-    """(doc_id, dl, field, pos, token): one row per token occurrence.
-
-    Two generators (fields, then positions) and no lambdas, so the whole
-    pipeline stays in generated code.
-    """
+def token_arrays(docs: DataFrame, id_col: str = "doc_id", fields=("text",), keep=()) -> DataFrame:
+    """(doc_id, dl, *keep, _t0, _t1, ...): the tokens of each field and their number over all fields."""
     fields = list(fields)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep,
                     *[tokens(F.col(f)).alias(f"_t{k}") for k, f in enumerate(fields)])
     dl = F.lit(0)
     for k in range(len(fields)):
         dl = dl + F.size(f"_t{k}")
     # dl is computed *before* the generator: referenced next to posexplode it
     # would keep the whole token array on every exploded row.
-    d = d.select("doc_id", dl.cast("long").alias("dl"), *[f"_t{k}" for k in range(len(fields))])
-    if len(fields) == 1:
-        return (d.select("doc_id", "dl", F.lit(0).alias("field"), F.posexplode("_t0").alias("pos", "token"))
+    return d.select("doc_id", dl.cast("long").alias("dl"), *keep, *[f"_t{k}" for k in range(len(fields))])
+
+
+def posting_rows(arrays: DataFrame) -> DataFrame:
+    """(doc_id, field, pos, token, dl): one row per token occurrence of
+    :func:`token_arrays`.
+
+    Two generators (fields, then positions) and no lambdas, so the whole
+    pipeline stays in generated code.
+    """
+    n = sum(c.startswith("_t") for c in arrays.columns)
+    if n == 1:
+        return (arrays.select("doc_id", "dl", F.lit(0).alias("field"), F.posexplode("_t0").alias("pos", "token"))
                 .select("doc_id", "field", "pos", "token", "dl"))
-    per = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"_t{k}").alias("t")) for k in range(len(fields))])
-    f = d.select("doc_id", "dl", F.explode(per).alias("f"))
+    per = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"_t{k}").alias("t")) for k in range(n)])
+    f = arrays.select("doc_id", "dl", F.explode(per).alias("f"))
     f = f.select("doc_id", "dl", F.col("f.field").alias("field"), F.col("f.t").alias("t"))
     return (f.select("doc_id", "dl", "field", F.posexplode("t").alias("pos", "token"))
             .select("doc_id", "field", "pos", "token", "dl"))
 
 
+def token_counts(arrays: DataFrame) -> DataFrame:
+    """(token, df, postings) of :func:`token_arrays`.  A document's different
+    tokens are found in its own array, so what is grouped is tokens, never
+    (token, document) pairs."""
+    words = F.concat(*[F.col(c) for c in arrays.columns if c.startswith("_t")])
+    once = arrays.select(F.explode(F.array_distinct(words)).alias("token"), F.lit(1).alias("df"), F.lit(0).alias("n"))
+    each = arrays.select(F.explode(words).alias("token"), F.lit(0).alias("df"), F.lit(1).alias("n"))
+    return once.unionByName(each).groupBy("token").agg(F.sum("df").alias("df"), F.sum("n").alias("postings"))
+
+
 def build_postings(docs: DataFrame, id_col: str = "doc_id", fields: list[str] | tuple[str, ...] = ("text",)) -> DataFrame:
     """Postings of the given text fields, positions counted per field."""
-    return _token_rows(docs, id_col, fields)
+    return posting_rows(token_arrays(docs, id_col, fields))
 
 
 _TOKEN_RUN = r"[\p{L}\p{N}]+"
