@@ -231,3 +231,13 @@ def test_lsh_lists_no_pairs_and_equals_brute_force(spark, monkeypatch):
         near = [(float(((x[j].astype(float) - x[i]) ** 2).sum()), j) for j, _ in rows if any(a == b for a, b in zip(h[i], h[j]))]
         near = sorted(near * (2 if i == 40 else 1))[:10]
         assert [(j, pytest.approx(d)) for d, j in near] == [(j, d) for _, j, d in sorted(got[i])]
+
+
+def test_embedding_tasks_are_cut_by_the_length_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TASK_CHARS", 200)
+    df = spark.createDataFrame([(i, "k", "a b c d " * 5 if i % 9 else None) for i in range(100)], "id long, kind string, text string").coalesce(1)
+    out = vectors.embed_hashed(df, "text", dim=8, id_cols=["kind", "id"])
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == 100 and sum(rows[9].embedding) == 0 and rows[1].embedding == rows[2].embedding
+    assert sum(x * x for x in rows[1].embedding) == pytest.approx(1)

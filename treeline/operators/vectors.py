@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # Most queries of one search; a larger batch is refused, knn_blocks splits it.
 MAX_QUERIES = 16_384
+# Characters of the texts that one task turns into hashed features.
+TASK_CHARS = 2_000_000
 # Distances of one block of rows and queries that a task holds at once.
 BLOCK = 2_000_000
 
@@ -241,7 +243,14 @@ def embed_hashed(df: DataFrame, text_col: str, out_col: str = "embedding", dim:
     """X3 offline default encoder: :func:`hash_features` as an array column.
     ``id_cols`` name a row (default: the first column); a text without
     tokens has a vector of zeros."""
+    from treeline.session import materialize
+
     ids = id_cols or df.columns[:1]
+    # a text becomes many token rows within its task, so tasks are cut by the texts' length, not by the bytes they arrive in
+    df = materialize(df, "stage")
+    chars = df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = df.repartition(max(1, -(-chars // TASK_CHARS), min(cores, chars // 500_000)), *ids)
     rows = hash_features(df, ids, text_col, dim).groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))  # at most dim entries
     at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)).cast("float"))
