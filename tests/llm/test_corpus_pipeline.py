@@ -92,5 +92,5 @@ def test_entry_lists_all():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert "op10_decontamination" in entry.oracle_sql()

@@ -110,7 +110,7 @@ class WordIds:
     call, and word-end tokens tell where each one's ids stop.  Both memories
     are emptied when they hold ``most`` entries."""
 
-    def __init__(self, tokenizer, most: int = 800_000):
+    def __init__(self, tokenizer, most: int = 400_000):
         self.tokenizer, self.most = tokenizer, most
         self.stretches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
